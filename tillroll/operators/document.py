@@ -57,20 +57,21 @@ def kpi_document(kpis: DataFrame, monthly: DataFrame, countries: DataFrame, prod
     return scalars.unionByName(months).unionByName(ctry).unionByName(prod).unionByName(alert).unionByName(lines)
 
 
-def _ordered_pairs(df: DataFrame, pos: str, name: str, alias: str) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(name).alias("name"), F.col("revenue").alias("value"))))
-    return df.agg(F.transform(pairs, lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"))).alias(alias))
+def _ordered_map(df: DataFrame, pos: str, name: str, alias: str) -> DataFrame:
+    """A name → revenue map whose entries follow ``pos`` (Spark keeps insertion order in JSON)."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(name).alias("key"), F.col("revenue").alias("value"))))
+    return df.agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"]))).alias(alias))
 
 
 def document_json(kpis: DataFrame, monthly: DataFrame, countries: DataFrame, products: DataFrame,
                   alerts: DataFrame, insights: DataFrame, output_path: str | None = None) -> DataFrame:
     """The document as one JSON string: ``{kpis, alertes, insights, output_path}``.
 
-    Breakdowns become arrays of ``{name, value}`` in their order, so the order
-    survives the JSON edge. Every input is small (months, k, alerts, lines).
+    Breakdowns are JSON objects whose keys keep their order (months in
+    calendar order, top-k by rank). Every input is small (months, k, alerts,
+    lines); the pieces are folded into one row without a join.
     """
-    scalars = kpis.select(F.struct(*[F.col(src).alias(name) for name, src in DOC_SCALARS]).alias("scalars"))
-    months = monthly.withColumn("_pos", F.col("year_month"))
+    scalars = kpis.select(*[F.col(src).alias(name) for name, src in DOC_SCALARS])
     alert_list = alerts.agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("alert_order", "kpi", "value", "level", "threshold", "message"))),
@@ -81,16 +82,25 @@ def document_json(kpis: DataFrame, monthly: DataFrame, countries: DataFrame, pro
     lines = insights.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("insights")
     )
+    maps = [
+        _ordered_map(monthly, "year_month", "year_month", SECTION_MONTHS),
+        _ordered_map(countries, "rank", "country", SECTION_COUNTRIES),
+        _ordered_map(products, "rank", "description", SECTION_PRODUCTS),
+    ]
+    # Maps are not orderable, so they cross the one-row fold as JSON text.
     parts = combine_rows(
         scalars,
-        _ordered_pairs(months, "_pos", "year_month", SECTION_MONTHS),
-        _ordered_pairs(countries, "rank", "country", SECTION_COUNTRIES),
-        _ordered_pairs(products, "rank", "description", SECTION_PRODUCTS),
+        *[m.select(F.to_json(m.columns[0]).alias(m.columns[0])) for m in maps],
         alert_list,
         lines,
     )
+    as_map = "map<string,double>"
+    kpi_fields = [F.col(name) for name, _ in DOC_SCALARS[:2]] + [F.from_json(SECTION_MONTHS, as_map).alias(SECTION_MONTHS),
+                  F.from_json(SECTION_COUNTRIES, as_map).alias(SECTION_COUNTRIES)]
+    kpi_fields += [F.col(name) for name, _ in DOC_SCALARS[2:6]] + [F.from_json(SECTION_PRODUCTS, as_map).alias(SECTION_PRODUCTS)]
+    kpi_fields += [F.col(name) for name, _ in DOC_SCALARS[6:]]
     body = F.struct(
-        F.struct("scalars", SECTION_MONTHS, SECTION_COUNTRIES, SECTION_PRODUCTS).alias("kpis"),
+        F.struct(*kpi_fields).alias("kpis"),
         F.col("alertes"),
         F.col("insights"),
         F.lit(output_path).cast("string").alias("output_path"),
