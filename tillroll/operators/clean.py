@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.nulls import not_true
+from tillroll.functions.nulls import is_missing, not_true
 from tillroll.functions.numeric import SALES_TYPE, line_amount, pct_half_even
 
 # Step names of the cleaning report, in rule order.
@@ -84,7 +84,7 @@ def clean(raw: DataFrame) -> DataFrame:
 def funnel_counts(raw: DataFrame) -> DataFrame:
     """One row: initial rows, removals per rule, nulls filled, final rows."""
     fate = line_fate(raw)
-    missing_customer = F.col("customer_id").isNull() | F.isnan(F.col("customer_id").cast("double"))
+    missing_customer = is_missing(F.col("customer_id"), raw.schema["customer_id"].dataType)
     return raw.select(fate.alias("fate"), missing_customer.alias("no_customer")).agg(
         F.count(F.lit(1)).alias("initial_rows"),
         F.count_if(F.col("fate") == CLEAN_STEPS[0]).alias("removed_1"),
