@@ -213,3 +213,14 @@ def test_metric_cards_percent_and_basket_fallback(spark):
     assert cards["Average Basket"].value == 20.13                     # basket 0 falls back to the mean
     assert cards["Data Quality"].value_text == "90.0%" and cards["Data Quality"].status == "warning"
     assert cards["Data Quality"].delta_text == "Cancellation rate 1.2%"
+
+
+def test_grouping_sets_breakdowns_equal_single_dimension_queries(spark, small_dir):
+    from tillroll.plans import inputs as I
+
+    clean = I.cleaned(spark, small_dir)
+    b = KP.revenue_breakdowns(clean)
+    assert sorted(KP.monthly_from(b).collect()) == sorted(KP.monthly_revenue(clean).collect())
+    assert KP.top_from(b, KP.DIM_COUNTRY, "country").orderBy("rank").collect() == KP.top_countries(clean).orderBy("rank").collect()
+    assert KP.top_from(b, KP.DIM_PRODUCT, "description").orderBy("rank").collect() == \
+        KP.top_products(clean).orderBy("rank").collect()

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators.alerts import kpi_alerts
+from tillroll.operators.alerts import kpi_alerts, kpi_insights
 from tillroll.operators.clean import clean
-from tillroll.operators.kpis import kpi_scalars, monthly_revenue, top_countries, top_products
+from tillroll.operators.kpis import (
+    DIM_COUNTRY,
+    DIM_PRODUCT,
+    kpi_scalars,
+    monthly_from,
+    monthly_revenue,
+    revenue_breakdowns,
+    top_countries,
+    top_from,
+    top_products,
+)
+from tillroll.session import scratch_dir
 from tillroll.sources.log_view import grants_frame, log_from_events
 from tillroll.sources.retail_view import retail_lines
 
@@ -53,3 +67,53 @@ def log(spark: SparkSession, d: str) -> DataFrame:
 
 def grants(spark: SparkSession) -> DataFrame:
     return grants_frame(spark)
+
+
+class SmallTables:
+    """The small derived tables of one query, each computed once.
+
+    The KPI row, the revenue breakdowns (months, countries, products), the
+    alerts and the insight lines are far smaller than the lines: one row,
+    one row per month, country or product. A query that uses several of them
+    would otherwise re-derive the invoice lines for each. Here the lines are
+    read twice in all (one scalar aggregate, one grouping-sets aggregate) and
+    both results are written once under the session's checkpoint folder and
+    read back, which also cuts their lineage.
+    """
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+        self.base = scratch_dir(spark, f"small-{uuid.uuid4().hex}")
+
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        return self._keep("kpis", kpis_clean(self.spark, self.d))
+
+    @cached_property
+    def breakdowns(self) -> DataFrame:
+        return self._keep("breakdowns", revenue_breakdowns(cleaned(self.spark, self.d)))
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        return monthly_from(self.breakdowns)
+
+    @cached_property
+    def countries(self) -> DataFrame:
+        return top_from(self.breakdowns, DIM_COUNTRY, "country")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return top_from(self.breakdowns, DIM_PRODUCT, "description")
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        return kpi_alerts(self.kpis)
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return kpi_insights(self.kpis, self.countries, self.alerts)

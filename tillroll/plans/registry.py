@@ -51,7 +51,7 @@ def to_output(df: DataFrame) -> DataFrame:
 
 
 def _insights(spark: SparkSession, d: str) -> DataFrame:
-    return AL.kpi_insights(I.kpis_clean(spark, d), I.countries(spark, d), I.alerts_clean(spark, d))
+    return I.SmallTables(spark, d).insights
 
 
 def _union_periods(spark: SparkSession, d: str) -> DataFrame:
@@ -62,10 +62,28 @@ def _union_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dashboard_payload(spark: SparkSession, d: str) -> DataFrame:
-    return DOC.document_json(
-        I.kpis_clean(spark, d), I.monthly(spark, d), I.countries(spark, d), I.products(spark, d),
-        I.alerts_clean(spark, d), _insights(spark, d), output_path=None,
-    )
+    t = I.SmallTables(spark, d)
+    return DOC.document_json(t.kpis, t.monthly, t.countries, t.products, t.alerts, t.insights, output_path=None)
+
+
+def _kpi_document(spark: SparkSession, d: str) -> DataFrame:
+    t = I.SmallTables(spark, d)
+    return DOC.kpi_document(t.kpis, t.monthly, t.countries, t.products, t.alerts, t.insights)
+
+
+def _headline_metrics(spark: SparkSession, d: str) -> DataFrame:
+    t = I.SmallTables(spark, d)
+    return DB.headline_metrics(t.kpis, t.monthly, t.countries, t.alerts, t.insights)
+
+
+def _chart_series(spark: SparkSession, d: str) -> DataFrame:
+    t = I.SmallTables(spark, d)
+    return DB.chart_series(t.monthly, t.countries, t.products)
+
+
+def _metric_cards(spark: SparkSession, d: str) -> DataFrame:
+    t = I.SmallTables(spark, d)
+    return DB.metric_cards(t.kpis, DB.month_over_month(t.monthly))
 
 
 QUERIES: dict[str, Query] = {
@@ -101,23 +119,19 @@ QUERIES: dict[str, Query] = {
     "return_rate": lambda s, d: I.kpis_raw(s, d).select("return_rate"),
     "kpi_alerts": lambda s, d: I.alerts_raw(s, d),
     "kpi_insights": _insights,
-    "kpi_document": lambda s, d: DOC.kpi_document(
-        I.kpis_clean(s, d), I.monthly(s, d), I.countries(s, d), I.products(s, d), I.alerts_clean(s, d), _insights(s, d)
-    ),
+    "kpi_document": _kpi_document,
     # Dashboard
     "month_over_month": lambda s, d: DB.month_over_month(I.monthly(s, d)),
     "report_period": lambda s, d: DB.report_period(I.monthly(s, d)),
     "lead_country": lambda s, d: DB.lead_country(I.countries(s, d)),
     "top5_product_share": lambda s, d: DB.top5_product_share(I.products(s, d)),
     "country_mix": lambda s, d: DB.country_mix(I.countries(s, d)),
-    "chart_series": lambda s, d: DB.chart_series(I.monthly(s, d), I.countries(s, d), I.products(s, d)),
+    "chart_series": _chart_series,
     "monthly_scaled": lambda s, d: DB.monthly_scaled(I.monthly(s, d)),
     "recent_months": lambda s, d: DB.recent_months(I.monthly(s, d)),
-    "headline_metrics": lambda s, d: DB.headline_metrics(
-        I.kpis_clean(s, d), I.monthly(s, d), I.countries(s, d), I.alerts_clean(s, d), _insights(s, d)
-    ),
+    "headline_metrics": _headline_metrics,
     "dashboard_payload": _dashboard_payload,
-    "metric_cards": lambda s, d: DB.metric_cards(I.kpis_clean(s, d), DB.month_over_month(I.monthly(s, d))),
+    "metric_cards": _metric_cards,
     "alert_panel": lambda s, d: AL.alert_panel(I.alerts_raw(s, d)),
     # Report
     "report_kpis": lambda s, d: RP.report_kpis(I.kpis_clean(s, d)),
