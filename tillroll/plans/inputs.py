@@ -90,9 +90,14 @@ class SmallTables:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    # KPI columns the document, cards, alerts and insights read; the distinct
+    # counts nobody reads (countries, cancelled invoices) are pruned away.
+    KPI_COLUMNS = ["ca_total", "revenue_mean", "n_customers", "n_orders", "avg_basket",
+                   "cancellation_rate", "return_rate", "completeness", "n_lines"]
+
     @cached_property
     def kpis(self) -> DataFrame:
-        return self._keep("kpis", kpis_clean(self.spark, self.d))
+        return self._keep("kpis", kpis_clean(self.spark, self.d).select(*self.KPI_COLUMNS))
 
     @cached_property
     def breakdowns(self) -> DataFrame:

@@ -67,16 +67,15 @@ def run_pipeline(spark: SparkSession, source: str | DataFrame, out_dir: str, run
 
     # Analyse (from the written clean table).
     clean = spark.read.parquet(clean_path)
-    kpis = KP.kpi_scalars(clean)
-    monthly = KP.monthly_revenue(clean)
-    countries = KP.top_countries(clean)
-    products = KP.top_products(clean)
-    for name, df in [("kpis", kpis), ("monthly", monthly), ("countries", countries), ("products", products)]:
-        df.write.mode("overwrite").parquet(f"{art}/{name}.parquet")
+    # Two passes over the lines: scalar KPIs, and one grouping-sets aggregate
+    # for the month / country / product breakdowns.
+    KP.kpi_scalars(clean).write.mode("overwrite").parquet(f"{art}/kpis.parquet")
+    KP.revenue_breakdowns(clean).write.mode("overwrite").parquet(f"{art}/breakdowns.parquet")
     kpis = spark.read.parquet(f"{art}/kpis.parquet")
-    monthly = spark.read.parquet(f"{art}/monthly.parquet")
-    countries = spark.read.parquet(f"{art}/countries.parquet")
-    products = spark.read.parquet(f"{art}/products.parquet")
+    breakdowns = spark.read.parquet(f"{art}/breakdowns.parquet")
+    monthly = KP.monthly_from(breakdowns)
+    countries = KP.top_from(breakdowns, KP.DIM_COUNTRY, "country")
+    products = KP.top_from(breakdowns, KP.DIM_PRODUCT, "description")
     alerts = AL.kpi_alerts(kpis)
     insights = AL.kpi_insights(kpis, countries, alerts)
     doc_path = f"{art}/insights.json"

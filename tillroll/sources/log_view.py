@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.sources.tables import read_table
+from tillroll.sources.tables import read_table, spread
 
 # Agent and tool names by position (event_id modulo count).
 AGENTS = ["data_engineer", "data_scientist", "bi_agent", "reporter", "orchestrator"]
@@ -31,7 +31,7 @@ ALL_TOOLS = "*"
 
 
 def log_from_events(spark: SparkSession, data_dir: str) -> DataFrame:
-    ev = read_table(spark, data_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    ev = spread(read_table(spark, data_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
     user = F.col("user_id").cast("string")
     agents = F.array(*[F.lit(a) for a in AGENTS])
     tools = F.array(*[F.lit(t) for t in TOOLS])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.sources.tables import read_table
+from tillroll.sources.tables import read_table, spread
 
 # The keys that plant problems into the view.
 CANCEL_FLAG = "R"
@@ -35,8 +35,10 @@ def _cancelled(returnflag: Column, orderkey: Column) -> Column:
 
 def retail_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     """Raw invoice lines (8 canonical columns) from the tables in ``data_dir``."""
-    li = read_table(spark, data_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"
+    li = spread(
+        read_table(spark, data_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"
+        )
     )
     od = read_table(spark, data_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = read_table(spark, data_dir, "customer").select("c_custkey", "c_nationkey")
