@@ -1,0 +1,73 @@
+"""The staged pipeline end to end, and planted bugs in the cleaning rules."""
+
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from frames import D, raw_frame
+from tillroll.functions.nulls import not_true
+from tillroll.operators import clean as CL
+from tillroll.plans import inputs as I
+from tillroll.plans.pipeline import run_pipeline
+from tillroll.sources import invoices as INV
+from tillroll.sources.csv import read_invoice_csv
+from tillroll.sources.jsonlog import read_kpi_document, read_run_metadata, read_tool_calls
+
+
+def test_pipeline_end_to_end(spark, small_dir):
+    out = tempfile.mkdtemp(prefix="tillroll-pipe-", dir="/tmp")
+    res = run_pipeline(spark, I.raw(spark, small_dir), out, "run_001")
+    want = I.kpis_clean(spark, small_dir).collect()[0].asDict()
+    assert res["kpis"] == want
+    assert res["clean"]["final_rows"] == I.cleaned(spark, small_dir).count()
+    runs = f"{out}/runs"
+    tools = [r.tool for r in read_tool_calls(spark, runs).orderBy("ts").collect()]
+    assert tools == ["load_dataset", "profile_data", "clean_data", "run_analysis", "publish_dashboard"]
+    meta = read_run_metadata(spark, runs).collect()[0]
+    assert meta.status == "completed" and meta.pending == ["reporter"]
+    doc_df = read_kpi_document(spark, f"{runs}/run_001/artifacts/insights.json")
+    doc = doc_df.collect()[0]
+    assert doc.kpis.CA_total == want["ca_total"] and doc.kpis.nb_commandes == want["n_orders"]
+    # Map order (months in calendar order) is checked inside Spark: Python dicts lose it.
+    entries = doc_df.select(F.posexplode("kpis.CA_par_mois")).orderBy("pos").collect()
+    months = [e.key for e in entries]
+    assert months == sorted(months)
+    clean = spark.read.parquet(res["artifacts"]["clean_table"])
+    assert clean.count() == res["clean"]["final_rows"]
+    assert sorted(r.year_month for r in clean.select("year_month").distinct().collect()) == months
+
+
+def test_missing_source_gives_error_record(spark):
+    rep = INV.load_report_for(spark, lambda p: read_invoice_csv(spark, p), "/tmp/does-not-exist-tillroll.csv")
+    r = rep.collect()[0]
+    assert r.status == "error" and r.message == "Fichier introuvable : /tmp/does-not-exist-tillroll.csv"
+
+
+ROWS = [
+    ("C1", "A", "x", 2, D(2010, 1, 1), 1.0, 1.0, "UK"),
+    ("2", "A", "x", 0, D(2010, 1, 1), 1.0, 1.0, "UK"),
+    ("3", "A", "x", 2, D(2010, 1, 1), 0.0, 1.0, "UK"),
+    ("4", "A", None, 2, D(2010, 1, 1), 1.0, None, "UK"),
+]
+
+
+def _mutant(skip: int):
+    """The clean plan with one removal rule left out."""
+    rules = [~CL.is_cancellation(F.col("invoice")), not_true(F.col("quantity") <= 0), not_true(F.col("price") <= 0)]
+
+    def clean(raw):
+        kept = raw
+        for i, rule in enumerate(rules):
+            if i != skip:
+                kept = kept.filter(rule)
+        return CL.clean(kept)
+    return clean
+
+
+@pytest.mark.parametrize("skip", [0, 1, 2])
+def test_each_removal_rule_is_needed(spark, skip):
+    raw = raw_frame(spark, ROWS)
+    good = sorted(r.invoice for r in CL.clean(raw).collect())
+    bad = sorted(r.invoice for r in _mutant(skip)(raw).collect())
+    assert good == ["4"] and bad != good

@@ -25,6 +25,30 @@ def load_report(df: DataFrame) -> DataFrame:
     )
 
 
+def missing_source_report(spark, path: str) -> DataFrame:
+    """S3 error record: the row the load report gives when the source is absent."""
+    return spark.createDataFrame(
+        [("error", f"Fichier introuvable : {path}")], "status string, message string"
+    )
+
+
+def load_report_for(spark, read, path: str) -> DataFrame:
+    """S3 for a path: the load report, or the error record if nothing is there.
+
+    ``read(path)`` builds the source DataFrame; Spark reports a missing path
+    when the read is planned, which is turned into the error record.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = read(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return missing_source_report(spark, path)
+        raise
+    return load_report(df)
+
+
 def load_preview(df: DataFrame, n: int = 3) -> DataFrame:
     """S3: the first ``n`` rows in a stated order (all columns ascending, nulls first).
 
