@@ -61,7 +61,7 @@ def _mutant(skip: int):
         for i, rule in enumerate(rules):
             if i != skip:
                 kept = kept.filter(rule)
-        return CL.clean(kept)
+        return CL.fill_and_derive(kept)
     return clean
 
 

@@ -57,13 +57,17 @@ def _customer_text(customer_id: Column) -> Column:
     return F.when(as_int == 0, F.lit(ANONYMOUS)).otherwise(as_int.cast("string"))
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    """The clean table: rules 1-7 applied to canonical raw lines."""
-    kept = (
+def remove_bad_lines(raw: DataFrame) -> DataFrame:
+    """Rules 1-3: drop cancellations, quantity <= 0 and price <= 0 (null tests keep the line)."""
+    return (
         raw.filter(~is_cancellation(F.col("invoice")))
         .filter(not_true(F.col("quantity") <= 0))
         .filter(not_true(F.col("price") <= 0))
     )
+
+
+def fill_and_derive(kept: DataFrame) -> DataFrame:
+    """Rules 4-7: customer and description fills, sales, date parts."""
     ts = F.col("invoice_date")
     return kept.select(
         F.col("invoice"),
@@ -81,6 +85,11 @@ def clean(raw: DataFrame) -> DataFrame:
     )
 
 
+def clean(raw: DataFrame) -> DataFrame:
+    """The clean table: rules 1-7 applied to canonical raw lines."""
+    return fill_and_derive(remove_bad_lines(raw))
+
+
 def funnel_counts(raw: DataFrame) -> DataFrame:
     """One row: initial rows, removals per rule, nulls filled, final rows."""
     fate = line_fate(raw)
