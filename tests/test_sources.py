@@ -154,3 +154,10 @@ def test_run_status_stream(spark, tmp):
     q.awaitTermination(120)
     got = {r.run_id: (r.n_calls, r.status) for r in latest_status(spark, out).collect()}
     assert got == {"run_001": (2, "failed"), "run_002": (1, "failed"), "run_003": (1, "running")}
+
+
+def test_artifact_list_append(spark, tmp):
+    sinks.append_artifacts(spark, tmp, "run_001", [("clean_csv", "a/clean.parquet", "data_engineer", "table")])
+    sinks.append_artifacts(spark, tmp, "run_001", [("insights", "a/insights.json", "data_scientist", "json")])
+    got = sorted((r.name, r.produced_by) for r in spark.read.schema(sinks.ARTIFACT_SCHEMA).json(f"{tmp}/run_001/artifacts.json").collect())
+    assert got == [("clean_csv", "data_engineer"), ("insights", "data_scientist")]
