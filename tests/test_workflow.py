@@ -1,4 +1,4 @@
-"""The staged pipeline end to end, and planted bugs in the cleaning rules."""
+"""The staged workflow end to end, and planted bugs in the cleaning rules."""
 
 import tempfile
 
@@ -9,15 +9,15 @@ from frames import D, raw_frame
 from tillroll.functions.nulls import not_true
 from tillroll.operators import clean as CL
 from tillroll.plans import inputs as I
-from tillroll.plans.pipeline import run_pipeline
+from tillroll.plans.workflow import run_workflow
 from tillroll.sources import invoices as INV
 from tillroll.sources.csv import read_invoice_csv
 from tillroll.sources.jsonlog import read_kpi_document, read_run_metadata, read_tool_calls
 
 
-def test_pipeline_end_to_end(spark, small_dir):
-    out = tempfile.mkdtemp(prefix="tillroll-pipe-", dir="/tmp")
-    res = run_pipeline(spark, I.raw(spark, small_dir), out, "run_001")
+def test_workflow_end_to_end(spark, small_dir):
+    out = tempfile.mkdtemp(prefix="tillroll-flow-", dir="/tmp")
+    res = run_workflow(spark, I.raw(spark, small_dir), out, "run_001")
     want = I.kpis_clean(spark, small_dir).collect()[0].asDict()
     assert res["kpis"] == want
     assert res["clean"]["final_rows"] == I.cleaned(spark, small_dir).count()

@@ -1 +1 @@
-"""End-to-end plans: the query registry, its SQL oracle and the written pipeline."""
+"""End-to-end plans: the query registry, its SQL oracle and the staged workflow."""

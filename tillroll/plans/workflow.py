@@ -29,7 +29,7 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def run_pipeline(spark: SparkSession, source: str | DataFrame, out_dir: str, run_id: str,
+def run_workflow(spark: SparkSession, source: str | DataFrame, out_dir: str, run_id: str,
                  encoding: str = "UTF-8") -> dict:
     out = out_dir.rstrip("/")
     runs = f"{out}/runs"

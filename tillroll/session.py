@@ -1,4 +1,4 @@
-"""Spark session settings for the invoice pipeline.
+"""Spark session settings for the invoice workflow.
 
 The settings are the ones that matter at cluster scale: adaptive execution
 (partition coalescing, skew-join splitting, runtime broadcast decisions),
