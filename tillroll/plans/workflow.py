@@ -46,11 +46,14 @@ def run_workflow(spark: SparkSession, source: str | DataFrame, out_dir: str, run
     sinks.append_log(spark, runs, run_id, "load_dataset", {"status": "success", "rows": load})
 
     # Profile and quality.
+    figures_path = f"{art}/profile_figures.parquet"
+    PR.profile_figures(raw).write.mode("overwrite").parquet(figures_path)
+    figures = spark.read.parquet(figures_path)
     profile = {
         "total_rows": load,
-        "missing_values": _rows(PR.null_profile(raw)),
-        "problems": _rows(PR.problem_counts(raw)),
-        "quality_score": _rows(PR.quality_score(raw))[0]["quality_score"],
+        "missing_values": _rows(PR.null_profile_from(figures, raw.columns)),
+        "problems": _rows(PR.problem_counts_from(figures)),
+        "quality_score": _rows(PR.quality_score_from(figures))[0]["quality_score"],
     }
     sinks.append_log(spark, runs, run_id, "profile_data", profile)
     quality = _rows(QU.dq_score_100(raw))[0]
