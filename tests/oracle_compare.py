@@ -43,6 +43,12 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+def text_rows(df: pd.DataFrame) -> list[tuple]:
+    """Rows as the text of each cell (columns by name), the way a text hash sees them."""
+    cols = sorted(df.columns)
+    return sorted(tuple(str(v) for v in row) for row in df[cols].astype(str).itertuples(index=False, name=None))
+
+
 def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> tuple[bool, str]:
     if sorted(spark_pdf.columns) != sorted(duck_pdf.columns):
         return False, f"columns differ: {sorted(spark_pdf.columns)} vs {sorted(duck_pdf.columns)}"
@@ -52,6 +58,10 @@ def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> tuple[bool, str]
     for x, y in zip(a, b):
         if x != y:
             return False, f"first differing row:\n  spark {x}\n  duck  {y}"
+    ta, tb = text_rows(spark_pdf), text_rows(duck_pdf)
+    for x, y in zip(ta, tb):
+        if x != y:
+            return False, f"same values, different text:\n  spark {x}\n  duck  {y}"
     return True, "ok"
 
 

@@ -57,6 +57,8 @@ def test_funnel_counts_after_earlier_rules(edge):
     assert f["remove_negative_qty"].rows_removed == 1
     assert f["remove_bad_price"].rows_removed == 1
     assert f["fill_customer_id"].rows_filled == 1              # only null, not id 0
+    assert f["fill_description"].rows_filled == 1
+    assert f["create_sales_column"].rows_removed == 0 and f["create_sales_column"].rows_filled == 0
     s = CL.clean_summary(edge).collect()[0]
     assert (s.initial_rows, s.final_rows, s.rows_removed, s.removal_rate) == (10, 6, 4, 40.0)
 

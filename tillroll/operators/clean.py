@@ -94,27 +94,36 @@ def funnel_counts(raw: DataFrame) -> DataFrame:
     """One row: initial rows, removals per rule, nulls filled, final rows."""
     fate = line_fate(raw)
     missing_customer = is_missing(F.col("customer_id"), raw.schema["customer_id"].dataType)
-    return raw.select(fate.alias("fate"), missing_customer.alias("no_customer")).agg(
+    missing_description = F.col("description").isNull()
+    return raw.select(fate.alias("fate"), missing_customer.alias("no_customer"),
+                      missing_description.alias("no_description")).agg(
         F.count(F.lit(1)).alias("initial_rows"),
         F.count_if(F.col("fate") == CLEAN_STEPS[0]).alias("removed_1"),
         F.count_if(F.col("fate") == CLEAN_STEPS[1]).alias("removed_2"),
         F.count_if(F.col("fate") == CLEAN_STEPS[2]).alias("removed_3"),
         F.count_if((F.col("fate") == KEPT) & F.col("no_customer")).alias("filled_customers"),
+        F.count_if((F.col("fate") == KEPT) & F.col("no_description")).alias("filled_descriptions"),
         F.count_if(F.col("fate") == KEPT).alias("final_rows"),
     )
 
 
 def clean_funnel(raw: DataFrame) -> DataFrame:
-    """Per step: (step_order, step, rows_removed, rows_filled)."""
+    """Per step: (step_order, step, rows_removed, rows_filled).
+
+    A step that removes nothing reports 0 removed; the two fill steps report
+    the values they filled (missing customers, missing descriptions), the
+    others 0.
+    """
     counts = funnel_counts(raw)
-    null_long = F.lit(None).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    filled = {3: F.col("filled_customers"), 4: F.col("filled_descriptions")}
     rows = F.array(
         *[
             F.struct(
                 F.lit(i + 1).alias("step_order"),
                 F.lit(step).alias("step"),
-                (F.col(f"removed_{i + 1}") if i < 3 else null_long).alias("rows_removed"),
-                (F.col("filled_customers") if i == 3 else null_long).alias("rows_filled"),
+                (F.col(f"removed_{i + 1}") if i < 3 else zero).alias("rows_removed"),
+                filled.get(i, zero).alias("rows_filled"),
             )
             for i, step in enumerate(CLEAN_STEPS)
         ]

@@ -97,7 +97,7 @@ def _missing(col: str, doubles: set[str]) -> str:
 
 
 def _present(col: str, doubles: set[str]) -> str:
-    return f"count_if(NOT {_missing(col, doubles)})"
+    return f"count(*) FILTER (WHERE NOT {_missing(col, doubles)})"
 
 
 def _kpi_ctes(name: str, source: str, amount: str, cells: list[str], doubles: set[str]) -> str:
@@ -113,8 +113,8 @@ def _kpi_ctes(name: str, source: str, amount: str, cells: list[str], doubles: se
     count(DISTINCT customer_id) AS n_customers,
     count(DISTINCT invoice) AS n_orders,
     count(DISTINCT CASE WHEN {CANCEL} THEN invoice END) AS n_cancelled_orders,
-    count_if({CANCEL}) AS n_cancel_lines,
-    count_if(quantity < 0) AS n_return_lines,
+    count(*) FILTER (WHERE {CANCEL}) AS n_cancel_lines,
+    count(*) FILTER (WHERE quantity < 0) AS n_return_lines,
     count(DISTINCT country) AS n_countries,
     ({present}) AS non_null_cells
   FROM {source}
@@ -253,14 +253,14 @@ STATUS = """
 status AS (
   SELECT run_id, CASE WHEN n_errors > 0 THEN 'failed' ELSE 'completed' END AS status,
     n_calls, n_errors, started_at, finished_at
-  FROM (SELECT run_id, count(*) AS n_calls, count_if(NOT success) AS n_errors,
+  FROM (SELECT run_id, count(*) AS n_calls, count(*) FILTER (WHERE NOT success) AS n_errors,
                min(ts) AS started_at, max(ts) AS finished_at FROM runlog GROUP BY run_id)
 )"""
 
 
 def _null_rows(digits: int, only_missing: bool) -> str:
     parts = [
-        f"SELECT {i + 1} AS col_pos, '{c}' AS column_name, count_if({_missing(c, RAW_DOUBLES)}) AS null_count, "
+        f"SELECT {i + 1} AS col_pos, '{c}' AS column_name, count(*) FILTER (WHERE {_missing(c, RAW_DOUBLES)}) AS null_count, "
         f"count(*) AS total FROM retail"
         for i, c in enumerate(RAW_COLS)
     ]
@@ -281,8 +281,8 @@ QSUM = f"""
 qsum AS (
   SELECT n_rows, CAST(8 AS BIGINT) AS n_columns, nulls_total, negative_columns, duplicate_rows FROM (
     SELECT count(*) AS n_rows,
-      ({' + '.join(f'count_if({_missing(c, RAW_DOUBLES)})' for c in RAW_COLS)}) AS nulls_total,
-      ({' + '.join(f'(CASE WHEN count_if({c} < 0) > 0 THEN 1 ELSE 0 END)' for c in RAW_NUMERIC)}) AS negative_columns
+      ({' + '.join(f'count(*) FILTER (WHERE {_missing(c, RAW_DOUBLES)})' for c in RAW_COLS)}) AS nulls_total,
+      ({' + '.join(f'(CASE WHEN count(*) FILTER (WHERE {c} < 0) > 0 THEN 1 ELSE 0 END)' for c in RAW_NUMERIC)}) AS negative_columns
     FROM retail
   ), (SELECT duplicate_rows FROM dups)
 )"""
@@ -291,7 +291,7 @@ qsum AS (
 def _neg_rows() -> str:
     pos = {c: i + 1 for i, c in enumerate(RAW_COLS)}
     parts = [
-        f"SELECT {pos[c]} AS col_pos, '{c}' AS column_name, count_if({c} < 0) AS n, count(*) AS total FROM retail"
+        f"SELECT {pos[c]} AS col_pos, '{c}' AS column_name, count(*) FILTER (WHERE {c} < 0) AS n, count(*) AS total FROM retail"
         for c in RAW_NUMERIC
     ]
     return " UNION ALL ".join(parts)
@@ -325,16 +325,16 @@ ORACLE["null_profile"] = with_views(_null_rows(2, True), R)
 ORACLE["null_profile_all"] = with_views(_null_rows(1, False), R)
 ORACLE["problem_counts"] = with_views(
     f"""SELECT problem_order, problem, n, {pct_half_even('n', 'total', 2)} AS pct FROM (
-      SELECT 1 AS problem_order, 'annulations' AS problem, count_if({CANCEL}) AS n, count(*) AS total FROM retail
-      UNION ALL SELECT 2, 'qty_negative', count_if(quantity < 0), count(*) FROM retail
-      UNION ALL SELECT 3, 'price_zero', count_if(price <= 0), count(*) FROM retail
-      UNION ALL SELECT 4, 'customer_id_null', count_if({_missing('customer_id', RAW_DOUBLES)}), count(*) FROM retail)""",
+      SELECT 1 AS problem_order, 'annulations' AS problem, count(*) FILTER (WHERE {CANCEL}) AS n, count(*) AS total FROM retail
+      UNION ALL SELECT 2, 'qty_negative', count(*) FILTER (WHERE quantity < 0), count(*) FROM retail
+      UNION ALL SELECT 3, 'price_zero', count(*) FILTER (WHERE price <= 0), count(*) FROM retail
+      UNION ALL SELECT 4, 'customer_id_null', count(*) FILTER (WHERE {_missing('customer_id', RAW_DOUBLES)}), count(*) FROM retail)""",
     R,
 )
 ORACLE["quality_score"] = with_views(
     f"""SELECT total_rows, total_issues, {ratio_half_even('total_rows - total_issues', 'total_rows', 3)} AS quality_score
     FROM (SELECT count(*) AS total_rows,
-                 count_if({CANCEL}) + count_if(quantity < 0) + count_if(price <= 0) AS total_issues FROM retail)""",
+                 count(*) FILTER (WHERE {CANCEL}) + count(*) FILTER (WHERE quantity < 0) + count(*) FILTER (WHERE price <= 0) AS total_issues FROM retail)""",
     R,
 )
 ORACLE["duplicate_rows"] = with_views(
@@ -359,11 +359,11 @@ ORACLE["dq_score_100"] = with_views(
 )
 _QP_MISSING = " UNION ALL ".join(
     f"SELECT {i + 1} AS problem_order, 'valeur_manquante' AS type, '{c}' AS column_name, "
-    f"count_if({_missing(c, RAW_DOUBLES)}) AS n, count(*) AS total FROM retail"
+    f"count(*) FILTER (WHERE {_missing(c, RAW_DOUBLES)}) AS n, count(*) AS total FROM retail"
     for i, c in enumerate(RAW_COLS)
 )
 _QP_NEG = " UNION ALL ".join(
-    f"SELECT {10 + j}, 'valeur_negative', '{c}', count_if({c} < 0), count(*) FROM retail" for j, c in enumerate(RAW_NUMERIC)
+    f"SELECT {10 + j}, 'valeur_negative', '{c}', count(*) FILTER (WHERE {c} < 0), count(*) FROM retail" for j, c in enumerate(RAW_NUMERIC)
 )
 ORACLE["quality_problems"] = with_views(
     f"""SELECT problem_order, type, column_name, n, {pct_half_even('n', 'total', 2)} AS pct FROM (
@@ -381,16 +381,17 @@ ORACLE["clean_table"] = with_views(
 _AFTER1 = f"NOT {CANCEL}"
 _AFTER2 = f"{_AFTER1} AND NOT coalesce(quantity <= 0, false)"
 ORACLE["clean_funnel"] = with_views(
-    f"""SELECT 1 AS step_order, 'remove_cancellations' AS step, count_if({CANCEL}) AS rows_removed,
-           CAST(NULL AS BIGINT) AS rows_filled FROM retail
-    UNION ALL SELECT 2, 'remove_negative_qty', count_if(quantity <= 0), NULL FROM retail WHERE {_AFTER1}
-    UNION ALL SELECT 3, 'remove_bad_price', count_if(price <= 0), NULL FROM retail WHERE {_AFTER2}
-    UNION ALL SELECT 4, 'fill_customer_id', NULL,
-        count_if({_missing('customer_id', RAW_DOUBLES)}) FROM retail
+    f"""SELECT 1 AS step_order, 'remove_cancellations' AS step, count(*) FILTER (WHERE {CANCEL}) AS rows_removed,
+           CAST(0 AS BIGINT) AS rows_filled FROM retail
+    UNION ALL SELECT 2, 'remove_negative_qty', count(*) FILTER (WHERE quantity <= 0), 0 FROM retail WHERE {_AFTER1}
+    UNION ALL SELECT 3, 'remove_bad_price', count(*) FILTER (WHERE price <= 0), 0 FROM retail WHERE {_AFTER2}
+    UNION ALL SELECT 4, 'fill_customer_id', 0,
+        count(*) FILTER (WHERE {_missing('customer_id', RAW_DOUBLES)}) FROM retail
         WHERE {_AFTER2} AND NOT coalesce(price <= 0, false)
-    UNION ALL SELECT 5, 'fill_description', NULL, NULL
-    UNION ALL SELECT 6, 'create_sales_column', NULL, NULL
-    UNION ALL SELECT 7, 'extract_date_columns', NULL, NULL""",
+    UNION ALL SELECT 5, 'fill_description', 0, count(*) FILTER (WHERE description IS NULL) FROM retail
+        WHERE {_AFTER2} AND NOT coalesce(price <= 0, false)
+    UNION ALL SELECT 6, 'create_sales_column', 0, 0
+    UNION ALL SELECT 7, 'extract_date_columns', 0, 0""",
     R,
 )
 ORACLE["clean_summary"] = with_views(
@@ -544,7 +545,7 @@ ORACLE["run_report"] = with_views(
     """SELECT s.run_id, s.status, s.n_calls, s.n_errors, least(s.n_calls, 20) AS n_decisions_shown,
            coalesce(t.n_retries, 0) AS n_retries, coalesce(t.n_skips, 0) AS n_skips
     FROM status s LEFT JOIN (
-      SELECT run_id, count_if(action = 'retry') AS n_retries, count_if(action = 'skip') AS n_skips FROM triage GROUP BY run_id
+      SELECT run_id, count(*) FILTER (WHERE action = 'retry') AS n_retries, count(*) FILTER (WHERE action = 'skip') AS n_skips FROM triage GROUP BY run_id
     ) t ON s.run_id = t.run_id""",
     LOG, STATUS, TRIAGE,
 )
