@@ -136,6 +136,26 @@ def chart_series(monthly: DataFrame, countries: DataFrame, products: DataFrame,
     return trend.unionByName(mix).unionByName(breakdown).unionByName(prods)
 
 
+# The dashboard charts by slot — chart type and title.
+CHARTS = [
+    ("trend", "line", "Sales Over Time"),
+    ("mix", "pie", "Sales by Country"),
+    ("breakdown", "bar", "Country Revenue Ranking"),
+    ("products", "bar", "Top Product Revenue"),
+]
+
+
+def chart_manifest(series: DataFrame) -> DataFrame:
+    """(chart_order, slot, chart_type, title, n_points) for the charts that have data."""
+    charts = series.sparkSession.createDataFrame(
+        [(i + 1, slot, kind, title) for i, (slot, kind, title) in enumerate(CHARTS)],
+        "chart_order int, slot string, chart_type string, title string",
+    )
+    points = series.groupBy("slot").agg(F.count(F.lit(1)).alias("n_points"))
+    # Four fixed chart rows: broadcast by construction.
+    return points.join(F.broadcast(charts), "slot").select("chart_order", "slot", "chart_type", "title", "n_points")
+
+
 def monthly_scaled(monthly: DataFrame) -> DataFrame:
     """Sparkline scaling ``(v - min) / (max - min)``; a zero span counts as 1."""
     w = Window.partitionBy()

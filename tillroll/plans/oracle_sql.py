@@ -478,6 +478,18 @@ ORACLE["chart_series"] = with_views(
         revenue, '£' || format('{:,.0f}', revenue) FROM topp WHERE rank <= 5""",
     R, C, MONTHLY, TOPC, TOPP,
 )
+ORACLE["chart_manifest"] = with_views(
+    """SELECT c.chart_order, c.slot, c.chart_type, c.title, p.n_points
+    FROM (SELECT slot, count(*) AS n_points FROM (
+            SELECT 'trend' AS slot FROM monthly
+            UNION ALL SELECT 'mix' FROM topc WHERE rank <= 5
+            UNION ALL SELECT 'breakdown' FROM topc WHERE rank <= 5
+            UNION ALL SELECT 'products' FROM topp WHERE rank <= 5) GROUP BY slot) p
+    JOIN (VALUES (1, 'trend', 'line', 'Sales Over Time'), (2, 'mix', 'pie', 'Sales by Country'),
+                 (3, 'breakdown', 'bar', 'Country Revenue Ranking'), (4, 'products', 'bar', 'Top Product Revenue'))
+         AS c(chart_order, slot, chart_type, title) ON p.slot = c.slot""",
+    R, C, MONTHLY, TOPC, TOPP,
+)
 ORACLE["monthly_scaled"] = with_views(
     """SELECT year_month, revenue, (revenue - vmin) / (CASE WHEN span = 0 THEN 1.0 ELSE span END) AS scaled
     FROM (SELECT year_month, revenue, min(revenue) OVER () AS vmin,

@@ -127,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "top5_product_share": lambda s, d: DB.top5_product_share(I.products(s, d)),
     "country_mix": lambda s, d: DB.country_mix(I.countries(s, d)),
     "chart_series": _chart_series,
+    "chart_manifest": lambda s, d: DB.chart_manifest(_chart_series(s, d)),
     "monthly_scaled": lambda s, d: DB.monthly_scaled(I.monthly(s, d)),
     "recent_months": lambda s, d: DB.recent_months(I.monthly(s, d)),
     "headline_metrics": _headline_metrics,
