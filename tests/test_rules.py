@@ -1,8 +1,5 @@
 """Null, zero, tie and rounding rules of SURVEY §1-§2, with values worked out by hand."""
 
-import datetime as dt
-import math
-
 import pytest
 
 from frames import D, raw_frame

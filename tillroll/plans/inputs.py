@@ -57,10 +57,6 @@ def alerts_raw(spark: SparkSession, d: str) -> DataFrame:
     return kpi_alerts(kpis_raw(spark, d))
 
 
-def alerts_clean(spark: SparkSession, d: str) -> DataFrame:
-    return kpi_alerts(kpis_clean(spark, d))
-
-
 def log(spark: SparkSession, d: str) -> DataFrame:
     return log_from_events(spark, d)
 
