@@ -34,8 +34,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in df.columns]
     keyed = df.select(F.xxhash64(*cols).alias("_h"), *cols)
     repeated = keyed.groupBy("_h").count().filter(F.col("count") > 1).select("_h")
-    candidates = keyed.join(repeated, "_h", "left_semi").drop("_h")
-    copies = candidates.groupBy(*[f"`{c}`" for c in df.columns]).count()
+    candidates = keyed.join(repeated, "_h", "left_semi")
+    # Grouping by the hash as well changes no group (the hash is a function of
+    # the row) but lets a sort-merge semi join's partitioning on _h serve the
+    # grouping, so full rows are shuffled at most once.
+    copies = candidates.groupBy("_h", *[f"`{c}`" for c in df.columns]).count()
     return copies.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
