@@ -22,3 +22,15 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
             if c not in names:
                 names.append(c)
     return stacked.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The check reads at most ``max_rows + 1`` rows (a bounded job). Beyond the
+    bound the join falls back to whatever Spark picks (sort-merge, with AQE
+    skew handling), so a side that grows with the data is never forced into
+    every task's memory.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
