@@ -24,13 +24,16 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in names])
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged.
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; reads at most ``max_rows + 1``.
 
-    The check reads at most ``max_rows + 1`` rows (a bounded job). Beyond the
-    bound the join falls back to whatever Spark picks (sort-merge, with AQE
-    skew handling), so a side that grows with the data is never forced into
-    every task's memory.
+    The size check behind an explicit broadcast: beyond the bound the join is
+    left to Spark (sort-merge with AQE skew handling), so a side that grows
+    with the data is never forced into every task's memory.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df

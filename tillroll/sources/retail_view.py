@@ -6,9 +6,10 @@ by key: cancellations, zero quantities and prices, missing descriptions and
 customers.
 
 Plan at scale: only the needed columns are read (column pruning reaches the
-Parquet scans). Orders get their country first (``customer ⋈ nation`` on the
-customer key, then ``orders ⋈`` that on the customer key), so the customer
-key shuffle moves order-sized data, not line-sized data. The lines then meet
+Parquet scans). Orders get their country first (``orders ⋈ customer`` on
+the customer key, then ``⋈ nation``), so the customer-key shuffle moves
+order-sized data, not line-sized data. The nation list is far under the
+broadcast threshold (Spark's size check), so that join has no shuffle. The lines then meet
 the enriched orders on the order key and ``part`` on the part key: two
 line-sized shuffles in all. Each dimension side is unique on its key, so a
 hot key on the line side is split by adaptive skew-join handling; Spark
@@ -21,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.frames import broadcast_if_small
+from tillroll.operators.frames import has_at_most
 from tillroll.sources.tables import read_table, spread
 
-# Nations form a small fixed list; joined to customers by broadcast below this size.
-NATION_BROADCAST_ROWS = 10_000
+# Orders (with their country) are broadcast to the lines only when the orders
+# table is checked to hold at most this many rows (about 40 MB of hash table).
+ORDERS_BROADCAST_ROWS = 1_000_000
 
 # The keys that plant problems into the view.
 CANCEL_FLAG = "R"
@@ -52,13 +54,17 @@ def retail_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     na = read_table(spark, data_dir, "nation").select("n_nationkey", "n_name")
     pa = read_table(spark, data_dir, "part").select("p_partkey", "p_name", "p_retailprice")
 
-    # A nation holds many customers; broadcasting the (checked) nation list
-    # keeps that join free of a shuffle on the nation key.
-    nations = broadcast_if_small(na, NATION_BROADCAST_ROWS)
-    customer_country = cu.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    orders_country = od.join(customer_country, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "o_custkey", "o_orderdate", "n_name"
+    orders_country = (
+        od.join(cu, F.col("o_custkey") == F.col("c_custkey"))
+        .join(na, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
     )
+    # Customers are unique on their key, so the enriched orders have exactly as
+    # many rows as ``orders``; the bounded check runs on the orders scan. Spark
+    # cannot size a join's output at planning time, so without this a small
+    # orders side would be shuffled with the lines instead of broadcast.
+    if has_at_most(od, ORDERS_BROADCAST_ROWS):
+        orders_country = F.broadcast(orders_country)
     joined = li.join(orders_country, F.col("l_orderkey") == F.col("o_orderkey")).join(
         pa, F.col("l_partkey") == F.col("p_partkey")
     )
