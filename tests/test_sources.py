@@ -161,3 +161,20 @@ def test_artifact_list_append(spark, tmp):
     sinks.append_artifacts(spark, tmp, "run_001", [("insights", "a/insights.json", "data_scientist", "json")])
     got = sorted((r.name, r.produced_by) for r in spark.read.schema(sinks.ARTIFACT_SCHEMA).json(f"{tmp}/run_001/artifacts.json").collect())
     assert got == [("clean_csv", "data_engineer"), ("insights", "data_scientist")]
+
+
+def test_run_status_stream_updates_across_batches(spark, tmp):
+    base, out, ckpt = f"{tmp}/runs", f"{tmp}/status", f"{tmp}/ckpt"
+    # Logs written by our sink: each append is a new part file in the run's log folder.
+    _write(f"{base}/run_100/tool_calls.jsonl/part-1.json", json.dumps(
+        {"timestamp": "2026-04-01T10:00:00", "run_id": "run_100", "tool": "load_dataset", "data": {"status": "success"}}) + "\n")
+    start_run_status(spark, base, out, checkpoint=ckpt, available_now=True).awaitTermination(120)
+    first = {r.run_id: (r.n_calls, r.status) for r in latest_status(spark, out).collect()}
+    assert first == {"run_100": (1, "running")}
+    # A later file for the same run carries a failure: the run's state row is updated.
+    _write(f"{base}/run_100/tool_calls.jsonl/part-2.json", json.dumps(
+        {"timestamp": "2026-04-01T10:05:00", "agent_name": "data_engineer", "tool_name": "clean_data",
+         "input": {}, "output": {}, "success": False, "error": "disk full"}) + "\n")
+    start_run_status(spark, base, out, checkpoint=ckpt, available_now=True).awaitTermination(120)
+    second = {r.run_id: (r.n_calls, r.status) for r in latest_status(spark, out).collect()}
+    assert second == {"run_100": (2, "failed")}

@@ -7,6 +7,11 @@ errors, first and last call), emitted in update mode. State grows with the
 number of runs, not with calls. ``foreachBatch`` writes each micro-batch's
 changed runs to ``<out>/epoch=<n>``, overwriting that folder on a retry, so a
 replayed batch leaves the same files; readers take the newest epoch per run.
+
+A file stream sees new files, not lines appended to a file it has already
+read. The log sink (``sources.sinks.append_log``) writes every record as a
+new part file inside the run's ``tool_calls.jsonl`` folder, which the stream
+picks up; a log kept as one growing file is read once, as it stood.
 """
 
 from __future__ import annotations
