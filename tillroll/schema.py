@@ -35,7 +35,7 @@ RAW_COLUMNS = [f.name for f in RAW_SCHEMA.fields]
 CLEAN_COLUMNS = [f.name for f in CLEAN_SCHEMA.fields]
 
 # Source header names per canonical column, first present wins
-# (the two published layouts of the online-retail invoice files).
+# (the two common header layouts of invoice-line files).
 ALIASES = {
     "invoice": ["Invoice", "InvoiceNo"],
     "stock_code": ["StockCode"],
