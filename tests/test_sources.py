@@ -178,3 +178,21 @@ def test_run_status_stream_updates_across_batches(spark, tmp):
     start_run_status(spark, base, out, checkpoint=ckpt, available_now=True).awaitTermination(120)
     second = {r.run_id: (r.n_calls, r.status) for r in latest_status(spark, out).collect()}
     assert second == {"run_100": (2, "failed")}
+
+
+def test_clean_csv_roundtrip_feeds_the_analysis(spark, tmp):
+    from tillroll.operators import clean as CL
+    from tillroll.operators import kpis as KP
+
+    text = HEADER + "1,A,mug,2,2010-01-05 10:00:00,1.25,17850.0,UK\n2,B,,3,2010-02-05 10:00:00,2.0,,FR\n"
+    _write(f"{tmp}/raw.csv", text)
+    cleaned = CL.clean(read_invoice_csv(spark, f"{tmp}/raw.csv"))
+    sinks.write_clean(cleaned, f"{tmp}/clean_csv", fmt="csv", source_headers=True)
+    back = read_invoice_csv(spark, f"{tmp}/clean_csv")
+    assert back.columns == ["invoice", "stock_code", "description", "quantity", "invoice_date", "price",
+                            "customer_id", "country", "sales", "year", "month", "year_month"]
+    rows = {r.invoice: r for r in back.collect()}
+    assert rows["2"].customer_id == "Anonymous" and rows["2"].description == "Unknown"
+    assert float(rows["1"].sales) == 2.5 and rows["1"].year_month == "2010-01" and rows["1"].month == 1
+    k = KP.kpi_scalars(back).collect()[0]
+    assert k.ca_total == 8.5 and k.n_customers == 2 and k.completeness == 1.0

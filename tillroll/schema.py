@@ -72,3 +72,8 @@ def rename_to_canonical(df: DataFrame) -> DataFrame:
     mapping = resolve_columns(df.columns)
     reverse = {src: canon for canon, src in mapping.items()}
     return df.select(*[F.col(f"`{c}`").alias(reverse.get(c, c)) for c in df.columns])
+
+
+def to_source_headers(df: DataFrame) -> DataFrame:
+    """Rename canonical columns to the first source header of each (``invoice`` → ``Invoice``)."""
+    return df.select(*[F.col(f"`{c}`").alias(ALIASES[c][0] if c in ALIASES else c) for c in df.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.nulls import normalize_null_tokens
-from tillroll.schema import RAW_SCHEMA, rename_to_canonical
+from tillroll.schema import CLEAN_SCHEMA, RAW_SCHEMA, rename_to_canonical
 
 # Date layouts of the invoice files, tried in order.
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "M/d/yyyy H:mm", "yyyy-MM-dd"]
@@ -21,7 +21,9 @@ DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:m
 
 def parse_invoice_date(text: Column, strict: bool = False) -> Column:
     """First format that parses; ``strict`` raises on text that none parses."""
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]).cast("timestamp_ntz")
+    # The stated layouts first, then Spark's ISO-8601 reading (fractions, 'T').
+    tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS] + [F.try_to_timestamp(text)]
+    parsed = F.coalesce(*tries).cast("timestamp_ntz")
     if not strict:
         return parsed
     bad = parsed.isNull() & text.isNotNull()
@@ -36,11 +38,18 @@ def _number(text: Column, to: str) -> Column:
     return as_double
 
 
-def typed_lines(text_df: DataFrame, strict_dates: bool = False) -> DataFrame:
-    """Canonical raw layout from a frame of text columns (missing columns are null)."""
+def typed_lines(text_df: DataFrame, strict_dates: bool = False, layout: str = "auto") -> DataFrame:
+    """Canonical layout from a frame of text columns (missing columns are null).
+
+    ``layout`` is ``raw`` (8 columns), ``clean`` (12 columns, customer id as
+    text) or ``auto``: clean when the file carries a Sales column.
+    """
     df = normalize_null_tokens(rename_to_canonical(text_df))
+    if layout == "auto":
+        layout = "clean" if "sales" in df.columns else "raw"
+    schema = CLEAN_SCHEMA if layout == "clean" else RAW_SCHEMA
     cols = []
-    for field in RAW_SCHEMA.fields:
+    for field in schema.fields:
         if field.name not in df.columns:
             cols.append(F.lit(None).cast(field.dataType).alias(field.name))
             continue
@@ -50,6 +59,10 @@ def typed_lines(text_df: DataFrame, strict_dates: bool = False) -> DataFrame:
             c = _number(c, "bigint")
         elif kind == "double":
             c = _number(c, "double")
+        elif kind == "int":
+            c = _number(c, "bigint").cast("int")
+        elif kind.startswith("decimal"):
+            c = c.try_cast(field.dataType)
         elif kind == "timestamp_ntz":
             c = parse_invoice_date(c, strict_dates)
         cols.append(c.alias(field.name))
@@ -69,6 +82,10 @@ def read_text_csv(spark: SparkSession, path: str | list[str], encoding: str = "U
 
 
 def read_invoice_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8",
-                     strict_dates: bool = False) -> DataFrame:
-    """Invoice lines from CSV (``encoding='ISO-8859-1'`` for Latin-1 files)."""
-    return typed_lines(read_text_csv(spark, path, encoding), strict_dates)
+                     strict_dates: bool = False, layout: str = "auto") -> DataFrame:
+    """Invoice lines from CSV (``encoding='ISO-8859-1'`` for Latin-1 files).
+
+    A file written by the cleaning step (with Sales, Year, Month, YearMonth)
+    is read in the clean layout, so the analysis can start from it.
+    """
+    return typed_lines(read_text_csv(spark, path, encoding), strict_dates, layout)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.schema import ALIASES, to_source_headers
+
 LOG_RECORD_SCHEMA = T.StructType(
     [
         T.StructField("timestamp", T.StringType()),
@@ -33,12 +35,21 @@ ARTIFACT_SCHEMA = T.StructType(
 )
 
 
-def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The clean table, one folder per ``year_month``."""
+def write_clean(df: DataFrame, path: str, fmt: str = "parquet", source_headers: bool = False) -> None:
+    """The clean table, one folder per month.
+
+    ``source_headers`` writes the original header names (``Invoice``,
+    ``Customer ID``, ...) for readers that expect the source layout.
+    """
     ordered = df.repartitionByRange("year_month", "invoice")
-    writer = ordered.write.mode("overwrite").partitionBy("year_month")
+    month = "year_month"
+    if source_headers:
+        ordered = to_source_headers(ordered)
+        month = ALIASES["year_month"][0]
+    writer = ordered.write.mode("overwrite").partitionBy(month)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        # Timestamps as pandas writes them, so pandas and this reader parse them back.
+        writer.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     else:
         writer.parquet(path)
 
