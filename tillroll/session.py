@@ -32,16 +32,35 @@ BASE_CONF = {
 }
 
 
+def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 256 * 1024**2,
+                           lowest: int = 200, highest: int = 100_000) -> int:
+    """Shuffle partitions so each holds about ``target_bytes`` of the largest shuffle.
+
+    AQE then coalesces small partitions and splits skewed ones at runtime, so
+    this is the starting point, sized from the largest expected shuffle (for
+    the invoice lines: rows × about 40 bytes of projected columns).
+    Example: 6e11 lines × 40 B = 24 TB → about 90,000 partitions of 256 MB.
+    """
+    wanted = -(-shuffle_bytes // target_bytes)
+    return int(max(lowest, min(highest, wanted)))
+
+
 def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     app_name: str = "tillroll",
     extra: dict[str, str] | None = None,
+    shuffle_bytes: int | None = None,
 ) -> SparkSession:
+    """Session with the base settings; partitions from ``shuffle_partitions``,
+    else sized from ``shuffle_bytes`` (see :func:`shuffle_partitions_for`)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if not shuffle_partitions and shuffle_bytes:
+        shuffle_partitions = shuffle_partitions_for(shuffle_bytes)
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "256m"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
