@@ -196,3 +196,10 @@ def test_clean_csv_roundtrip_feeds_the_analysis(spark, tmp):
     assert float(rows["1"].sales) == 2.5 and rows["1"].year_month == "2010-01" and rows["1"].month == 1
     k = KP.kpi_scalars(back).collect()[0]
     assert k.ca_total == 8.5 and k.n_customers == 2 and k.completeness == 1.0
+
+
+def test_decision_log_append_and_read(spark, tmp):
+    sinks.append_decision(spark, tmp, "run_001", "devops", "failure_clean_data", "disk full")
+    sinks.append_decision(spark, tmp, "run_001", "devops", "retry", "Première/deuxième tentative sur clean_data")
+    got = sorted((r.run_id, r.agent, r.decision) for r in read_decisions(spark, tmp).collect())
+    assert got == [("run_001", "devops", "failure_clean_data"), ("run_001", "devops", "retry")]

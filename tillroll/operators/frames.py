@@ -33,7 +33,3 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     """
     return df.limit(max_rows + 1).count() <= max_rows
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
