@@ -9,9 +9,9 @@ Plan at scale: only the needed columns are read (column pruning reaches the
 Parquet scans). Orders get their country first (``orders ⋈ customer`` on
 the customer key, then ``⋈ nation``), so the customer-key shuffle moves
 order-sized data, not line-sized data. The nation list is far under the
-broadcast threshold (Spark's size check), so that join has no shuffle. The lines then meet
-the enriched orders on the order key and ``part`` on the part key: two
-line-sized shuffles in all. Each dimension side is unique on its key, so a
+broadcast threshold (Spark's size check), so that join has no shuffle. The
+lines then meet the enriched orders on the order key and ``part`` on the
+part key: two line-sized shuffles in all. Each dimension side is unique on its key, so a
 hot key on the line side is split by adaptive skew-join handling; Spark
 broadcasts a side only when its measured size is under
 ``spark.sql.autoBroadcastJoinThreshold``.
@@ -59,7 +59,7 @@ def retail_lines(spark: SparkSession, data_dir: str) -> DataFrame:
         .join(na, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
     )
-    # Customers are unique on their key, so the enriched orders have exactly as
+    # Customers are unique on their key, so the enriched orders have at most as
     # many rows as ``orders``; the bounded check runs on the orders scan. Spark
     # cannot size a join's output at planning time, so without this a small
     # orders side would be shuffled with the lines instead of broadcast.
