@@ -1,12 +1,12 @@
 """Registered queries: one callable ``(spark, data_dir) -> DataFrame`` per key.
 
-Inputs: raw invoice lines come from the star-schema view (``sources.
-retail_view``), clean lines from the seven cleaning rules, and the run log
-from ``events``; its sessions (one per user, each with more than 20 calls)
-carry the last-20 decision tail and the failure triage. KPIs that are constant on clean lines by construction
-(cancellation, return and completeness rates, and therefore the alerts) run
-on the raw lines; everything else runs on the clean table, as the workflow
-does.
+Inputs: raw invoice lines come from the star-schema view
+(``sources.retail_view``), clean lines from the seven cleaning rules, and
+the run log from ``events``; its sessions (one per user, each with more than
+20 calls) carry the last-20 decision tail and the failure triage. KPIs that
+are constant on clean lines by construction (cancellation, return and
+completeness rates, and therefore the alerts) run on the raw lines;
+everything else runs on the clean table, as the workflow does.
 
 Results hand out decimals as doubles (``to_output``): money is exact up to
 the final rounding, and doubles are what the JSON document and the oracle
