@@ -80,3 +80,13 @@ def test_duplicates_and_kpis_with_hot_keys(hot):
     top = KP.top_countries(df).orderBy("rank").collect()
     want = pdf.assign(s=sales).groupby("country")["s"].sum().sort_values(ascending=False)
     assert [r.country for r in top] == list(want.index)
+
+
+def test_duplicates_without_the_broadcast_filter(hot, monkeypatch):
+    """Too many repeated hashes to broadcast: all rows go to the grouping, copies still collapse map-side."""
+    monkeypatch.setattr(QU, "MAX_BROADCAST_HASHES", 0)
+    base = dt.datetime(2010, 1, 1)
+    rows = [("HOT", "A", "mug", 1, base, 1.5, 7.0, "UK")] * 1000 + [
+        (str(i % 700), "B", None, 1, base, 2.0, None, "FR") for i in range(2000)]
+    pdf = pd.DataFrame(rows)
+    assert QU.duplicate_count(raw_frame(hot, rows)).collect()[0].duplicate_rows == int(pdf.duplicated().sum())

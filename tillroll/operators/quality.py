@@ -1,10 +1,14 @@
 """Data-quality report: missing cells, duplicate rows, negative numbers, a 0-100 score.
 
 Duplicates are found hash-first: rows are keyed by ``xxhash64`` of all
-columns and only the keys seen more than once are confirmed by grouping the
-full rows. The first shuffle moves 16 bytes per distinct key and task, not
-whole rows; a group of copies holding a third of the table collapses in the
-map-side partial count, and the confirm step shuffles only candidate rows.
+columns, and only keys seen more than once are confirmed by grouping the
+full rows. The first shuffle moves a hash and a count per distinct key and
+task, not whole rows. The repeated hashes are written once (checkpoint
+folder) and, when their number is checked to be small, filter the rows in a
+broadcast semi join inside each map task; otherwise every row goes to the
+confirm grouping. Either way copies collapse in the map-side partial count
+before any full-row shuffle, so a group of copies holding a third of the
+table never lands whole in one task.
 """
 
 from __future__ import annotations
@@ -15,8 +19,13 @@ from pyspark.sql import types as T
 
 from tillroll.functions.nulls import is_missing
 from tillroll.functions.numeric import pct_half_even, ratio_half_even
-from tillroll.operators.frames import combine_rows
+import uuid
 
+from tillroll.operators.frames import combine_rows, has_at_most
+from tillroll.session import scratch_dir
+
+# Repeated hashes are broadcast (8 bytes each, about 32 MB) up to this many.
+MAX_BROADCAST_HASHES = 4_000_000
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 # Problem types and score levels of the quality report.
@@ -31,13 +40,17 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row ``duplicate_rows``: rows equal to an earlier row (nulls equal)."""
+    spark = df.sparkSession
     cols = [F.col(f"`{c}`") for c in df.columns]
     keyed = df.select(F.xxhash64(*cols).alias("_h"), *cols)
-    repeated = keyed.groupBy("_h").count().filter(F.col("count") > 1).select("_h")
-    candidates = keyed.join(repeated, "_h", "left_semi")
-    # Grouping by the hash as well changes no group (the hash is a function of
-    # the row) but lets a sort-merge semi join's partitioning on _h serve the
-    # grouping, so full rows are shuffled at most once.
+    path = scratch_dir(spark, f"repeated-hashes-{uuid.uuid4().hex}")
+    keyed.groupBy("_h").count().filter(F.col("count") > 1).select("_h").write.mode("overwrite").parquet(path)
+    repeated = spark.read.parquet(path)
+    if has_at_most(repeated, MAX_BROADCAST_HASHES):
+        candidates = keyed.join(F.broadcast(repeated), "_h", "left_semi")
+    else:
+        candidates = keyed
+    # Grouping by the hash as well changes no group (it is a function of the row).
     copies = candidates.groupBy("_h", *[f"`{c}`" for c in df.columns]).count()
     return copies.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
