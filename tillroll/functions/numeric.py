@@ -15,13 +15,16 @@ from pyspark.sql import types as T
 
 PRICE_TYPE = T.DecimalType(18, 4)
 SALES_TYPE = T.DecimalType(18, 2)
-_INT38 = T.DecimalType(38, 0)
-_AMOUNT = T.DecimalType(38, 4)
+# Casts use type names: one call into the JVM each, where a type object costs
+# a schema round trip (this matters for the many casts of the exact rounding).
+_PRICE = "decimal(18,4)"
+_INT38 = "decimal(38,0)"
+_AMOUNT = "decimal(38,4)"
 
 
 def line_amount(quantity: Column, price: Column) -> Column:
     """Exact ``quantity × price`` as decimal(38,4); null if either is null."""
-    return quantity.cast(_INT38) * price.cast(PRICE_TYPE).cast(_AMOUNT)
+    return quantity.cast(_INT38) * price.cast(_PRICE).cast(_AMOUNT)
 
 
 def unscaled(amount: Column, scale: int = 4) -> Column:
