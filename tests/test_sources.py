@@ -203,3 +203,17 @@ def test_decision_log_append_and_read(spark, tmp):
     sinks.append_decision(spark, tmp, "run_001", "devops", "retry", "Première/deuxième tentative sur clean_data")
     got = sorted((r.run_id, r.agent, r.decision) for r in read_decisions(spark, tmp).collect())
     assert got == [("run_001", "devops", "failure_clean_data"), ("run_001", "devops", "retry")]
+
+
+def test_run_report_from_run_folders(spark, tmp):
+    from tillroll.operators.report import run_report_from_folders
+    from tillroll.sources.jsonlog import read_kpi_documents
+
+    _log_files(tmp)     # run_001 (metadata, 25 decisions), run_003 (metadata), run_002 (log only)
+    doc = {"kpis": {"CA_total": 10.5, "nb_commandes": 3, "taux_annulation": 0.12},
+           "alertes": [{"kpi": "taux_annulation", "valeur": 0.12, "niveau": "critical", "seuil": 0.1, "message": "m"}],
+           "insights": ["x"], "output_path": "p"}
+    _write(f"{tmp}/run_004/artifacts/insights.json", json.dumps(doc, indent=2))
+    rep = run_report_from_folders(read_run_metadata(spark, tmp), read_kpi_documents(spark, tmp), read_decisions(spark, tmp))
+    got = {r.run_id: (r.status, r.n_kpis, r.n_alerts, r.n_decisions_shown) for r in rep.collect()}
+    assert got == {"run_001": ("completed", 0, 0, 20), "run_003": ("failed", 0, 0, 0), "run_004": (None, 3, 1, 0)}

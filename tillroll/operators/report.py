@@ -44,3 +44,30 @@ def report_kpis(kpis: DataFrame) -> DataFrame:
         if src in kpis.columns
     ]
     return kpis.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+
+
+def run_report_from_folders(meta: DataFrame, docs: DataFrame, decisions: DataFrame, tail: int = 20) -> DataFrame:
+    """R3 on run folders: metadata, KPI document and decisions of each run, each optional.
+
+    ``meta`` (run_id, status), ``docs`` (run_id, kpis struct, alertes array)
+    and ``decisions`` (run_id, ...) are per-run tables; a run appears when any
+    of the three has it. ``n_kpis`` counts the KPIs present in the document,
+    ``n_alerts`` its alerts, ``n_decisions_shown`` the tail of at most
+    ``tail`` decisions.
+    """
+    kpi_fields = docs.schema["kpis"].dataType.names
+    present = sum((F.when(F.col(f"kpis.{n}").isNotNull(), 1).otherwise(0) for n in kpi_fields), F.lit(0))
+    doc_counts = docs.select(
+        "run_id", present.alias("n_kpis"), F.coalesce(F.size("alertes"), F.lit(0)).alias("n_alerts")
+    ).groupBy("run_id").agg(F.max("n_kpis").alias("n_kpis"), F.max("n_alerts").alias("n_alerts"))
+    dec_counts = decisions.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_decisions"))
+    status = meta.select("run_id", "status")
+    joined = status.join(doc_counts, "run_id", "full_outer").join(dec_counts, "run_id", "full_outer")
+    return joined.select(
+        "run_id",
+        F.col("status"),
+        (F.col("n_kpis").isNotNull()).alias("has_kpis"),
+        F.coalesce("n_kpis", F.lit(0)).alias("n_kpis"),
+        F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"),
+        F.least(F.coalesce("n_decisions", F.lit(0)), F.lit(tail)).alias("n_decisions_shown"),
+    )

@@ -148,6 +148,13 @@ def read_kpi_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(KPI_DOC_SCHEMA).option("multiLine", True).json(path)
 
 
+def read_kpi_documents(spark: SparkSession, base: str) -> DataFrame:
+    """The KPI document of every run folder (``<run>/artifacts/insights.json``), with its run id."""
+    raw = spark.read.schema(KPI_DOC_SCHEMA).option("multiLine", True).json(f"{base.rstrip('/')}/*/artifacts/insights.json")
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/artifacts/insights\.json(/[^/]*)?$", 1)
+    return raw.select(run.alias("run_id"), "*")
+
+
 def document_breakdowns(doc: DataFrame) -> DataFrame:
     """Long form (section, name, value) of the three breakdown maps of a KPI document."""
     parts = []
