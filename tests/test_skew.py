@@ -90,3 +90,28 @@ def test_duplicates_without_the_broadcast_filter(hot, monkeypatch):
         (str(i % 700), "B", None, 1, base, 2.0, None, "FR") for i in range(2000)]
     pdf = pd.DataFrame(rows)
     assert QU.duplicate_count(raw_frame(hot, rows)).collect()[0].duplicate_rows == int(pdf.duplicated().sum())
+
+
+def test_hot_session_is_split_by_adaptive_execution(spark, monkeypatch):
+    """The triage join gets fresh shuffles on both sides, so AQE splits the hot session."""
+    conf = {**CONF, "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    monkeypatch.setattr(RL, "MAX_BROADCAST_GROUPS", 0)
+    try:
+        t0 = dt.datetime(2024, 1, 1)
+        rows = [(i, t0 + dt.timedelta(seconds=i), "s_hot" if i % 3 == 0 else f"s_{i % 500}", "r", "bi_agent",
+                 "clean_data", False, "error", "p" * 50) for i in range(60000)]
+        log = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, session string, run_id string, "
+                                          "agent string, tool string, success boolean, event_type string, props string")
+        df = RL.failure_triage(log, group="session")
+        got = df.collect()
+        assert sum(r.action == "retry" for r in got) == 2 * 501       # two retries per session
+        assert "SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

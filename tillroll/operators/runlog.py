@@ -14,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+import uuid
+
+from tillroll.operators.frames import has_at_most
+from tillroll.session import scratch_dir
 from tillroll.sources.log_view import ALL_TOOLS
 
 # Triage decisions and their reasons.
@@ -24,6 +28,8 @@ FAILED, COMPLETED = "failed", "completed"
 MAX_RETRIES = 2
 TAIL = 20
 TS_CHARS, REASON_CHARS = 19, 80
+# Second-failure rows (one per group and step) are broadcast up to this many.
+MAX_BROADCAST_GROUPS = 2_000_000
 
 
 def tool_calls(log: DataFrame) -> DataFrame:
@@ -57,6 +63,11 @@ def failure_triage(log: DataFrame, group: str = "run_id") -> DataFrame:
     after the second failure of its (run, step). ``row_number() <= 2`` is a
     group limit Spark applies inside each task before the shuffle, so even a
     run holding most failures sends only two rows per task onward.
+
+    The second-failure table (one row per group and step) is written once
+    and read back. Read back, it no longer carries the window's partitioning,
+    so the join shuffles both sides afresh and AQE can split a hot group
+    across tasks; when it is checked to be small it is broadcast instead.
     """
     failures = log.filter(~F.col("success")).select("event_id", "ts", group, F.col("tool").alias("step"))
     order = Window.partitionBy(group, "step").orderBy("ts", "event_id")
@@ -66,6 +77,12 @@ def failure_triage(log: DataFrame, group: str = "run_id") -> DataFrame:
         .filter(F.col("_rn") == MAX_RETRIES)
         .select(group, "step", F.col("ts").alias("ts2"), F.col("event_id").alias("id2"))
     )
+    spark = log.sparkSession
+    path = scratch_dir(spark, f"triage-second-{uuid.uuid4().hex}")
+    second.write.mode("overwrite").parquet(path)
+    second = spark.read.parquet(path)
+    if has_at_most(second, MAX_BROADCAST_GROUPS):
+        second = F.broadcast(second)
     joined = failures.join(second, [group, "step"], "left")
     before_second = (F.col("ts") < F.col("ts2")) | ((F.col("ts") == F.col("ts2")) & (F.col("event_id") <= F.col("id2")))
     retry = F.col("ts2").isNull() | before_second
