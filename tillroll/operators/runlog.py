@@ -54,6 +54,21 @@ def allowed_calls(log: DataFrame, grants: DataFrame) -> DataFrame:
     return _granted(log, grants, "left_semi")
 
 
+def _failures(log: DataFrame, group: str) -> DataFrame:
+    return log.filter(~F.col("success")).select("event_id", "ts", group, F.col("tool").alias("step"))
+
+
+def second_failures(log: DataFrame, group: str = "run_id") -> DataFrame:
+    """The second failure (ts, id) of each (group, step); a group limit of 2 before the shuffle."""
+    order = Window.partitionBy(group, "step").orderBy("ts", "event_id")
+    return (
+        _failures(log, group).withColumn("_rn", F.row_number().over(order))
+        .filter(F.col("_rn") <= MAX_RETRIES)
+        .filter(F.col("_rn") == MAX_RETRIES)
+        .select(group, "step", F.col("ts").alias("ts2"), F.col("event_id").alias("id2"))
+    )
+
+
 def failure_triage(log: DataFrame, group: str = "run_id") -> DataFrame:
     """L4: per failed call, retry while fewer than 2 earlier failures of the same group and step.
 
@@ -69,14 +84,8 @@ def failure_triage(log: DataFrame, group: str = "run_id") -> DataFrame:
     so the join shuffles both sides afresh and AQE can split a hot group
     across tasks; when it is checked to be small it is broadcast instead.
     """
-    failures = log.filter(~F.col("success")).select("event_id", "ts", group, F.col("tool").alias("step"))
-    order = Window.partitionBy(group, "step").orderBy("ts", "event_id")
-    second = (
-        failures.withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= MAX_RETRIES)
-        .filter(F.col("_rn") == MAX_RETRIES)
-        .select(group, "step", F.col("ts").alias("ts2"), F.col("event_id").alias("id2"))
-    )
+    failures = _failures(log, group)
+    second = second_failures(log, group)
     spark = log.sparkSession
     path = scratch_dir(spark, f"triage-second-{uuid.uuid4().hex}")
     second.write.mode("overwrite").parquet(path)
