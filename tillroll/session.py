@@ -76,15 +76,21 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
+    A folder that is set already is returned as it is: Spark adds a new
+    sub-folder at each ``setCheckpointDir``, so setting it again would nest.
+
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, object
     store) and is used as is. A machine-local folder is only made for local
     sessions such as tests.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if current:
-        sc.setCheckpointDir(current)
         return current
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        sc.setCheckpointDir(named)
+        return sc.getCheckpointDir() or named
     if not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; name a shared folder for the cluster"
@@ -98,3 +104,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder under the checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more (any Hadoop file system)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
