@@ -25,14 +25,13 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from tillroll.llm.common import add_columns
+from tillroll.llm.common import Known, add_columns
 
 # Fixed value: the pre-token pattern of the byte-level tokenizer files.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Entries of a task's caches; a full cache starts again empty.
 WORD_CACHE = 600_000
 STRETCH_CACHE = 300_000
-LONGEST_CACHED = 64
 # Characters of a text worked on at once.
 SEGMENT = 1 << 20
 # A merge is packed as rank and new id, a queue entry as merge and place.
@@ -80,8 +79,8 @@ class ByteBPE:
             if self.special
             else None
         )
-        self._words: dict[str, bytes] = {}
-        self._stretches: dict[str, bytes] = {}
+        self._word = Known(lambda w: np.array(self.merge(w.encode()), "<u4").tobytes(), WORD_CACHE).__getitem__
+        self._spaced = Known(lambda s: self._apart(" " + s), STRETCH_CACHE).__getitem__
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: merge by queue of ranks over linked symbols."""
@@ -128,15 +127,9 @@ class ByteBPE:
                     push(queue, m << _PLACE | h)
         return [i for i in ids if i >= 0]
 
-    def _word(self, word: str) -> bytes:
-        got = self._words.get(word)
-        if got is None:
-            got = np.array(self.merge(word.encode()), "<u4").tobytes()
-            if len(word) <= LONGEST_CACHED:
-                if len(self._words) >= WORD_CACHE:
-                    self._words.clear()
-                self._words[word] = got
-        return got
+    def _apart(self, text: str) -> bytes:
+        """Ids of a text, pre-token by pre-token."""
+        return b"".join(map(self._word, self._pretokens(text)))
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text that holds no special token."""
@@ -144,21 +137,9 @@ class ByteBPE:
             return b""
         stretches = text.split(" ")
         if not all(stretches) or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable():
-            return b"".join(map(self._word, self._pretokens(text)))  # blanks side by side
-        known = self._stretches
-        out = [self._stretch(stretches[0], False)]
-        for s in stretches[1:]:
-            got = known.get(s)
-            out.append(self._stretch(s, True) if got is None else got)
-        return b"".join(out)
-
-    def _stretch(self, s: str, spaced: bool) -> bytes:
-        got = b"".join(map(self._word, self._pretokens(" " + s if spaced else s)))
-        if spaced and len(s) <= LONGEST_CACHED:
-            if len(self._stretches) >= STRETCH_CACHE:
-                self._stretches.clear()
-            self._stretches[s] = got
-        return got
+            return self._apart(text)  # blanks side by side
+        first = self._apart(stretches[0])
+        return first + b"".join(map(self._spaced, stretches[1:]))
 
     def _segments(self, text: str):
         """Pieces of a text that encode independently: cut before a lone space."""
@@ -185,7 +166,7 @@ class ByteBPE:
             elif len(part) <= SEGMENT:
                 out.append(self._plain(part))
             else:
-                out.extend(b"".join(map(self._word, self._pretokens(s))) for s in self._segments(part))
+                out.extend(map(self._apart, self._segments(part)))
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> str:

@@ -63,6 +63,22 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
+class Known(dict):
+    """A bounded memo of ``make(key)``: a full memo starts again empty, long keys are not kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int = 64):
+        super().__init__()
+        self._make, self._most, self._longest = make, most, longest
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._make(key)
+        if len(key) <= self._longest:
+            if len(self) >= self._most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Scratch:
     """Tables written once under the shared checkpoint folder and read back.
 
