@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -15,6 +16,8 @@ from tillroll.session import drop_scratch, scratch_dir
 # Rows handed back to Spark at once: bounded by rows and by bytes of input.
 OUT_ROWS = 1024
 OUT_BYTES = 8 << 20
+# Buckets by which the rows of a set of ids are chosen.
+CHOICE_BUCKETS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +66,22 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
+def bucket(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(CHOICE_BUCKETS))
+
+
+def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id may be among ``ids`` (one bigint column), and the rest, which passes by without a shuffle.
+
+    What is broadcast are the ids' hash buckets: at most ``CHOICE_BUCKETS``
+    short rows, whatever the data. With more ids, more rows count as touched.
+    """
+    buckets = ids.select(bucket(ids.columns[0]).alias("_bucket")).distinct()
+    marked = df.withColumn("_bucket", bucket(id_col))
+    found = F.broadcast(buckets)
+    return marked.join(found, "_bucket", "left_semi").drop("_bucket"), marked.join(found, "_bucket", "left_anti").drop("_bucket")
+
+
 class Known(dict):
     """A bounded memo of ``make(key)``: a full memo starts again empty, long keys are not kept."""
 

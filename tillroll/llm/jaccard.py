@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import Scratch
+from tillroll.llm.common import Scratch, split_by_ids
 from tillroll.llm.components import components
 from tillroll.llm.shingles import mix, shingle_set
 from tillroll.llm.vectors import run_pairs
@@ -52,9 +52,8 @@ SKETCH_BITS, SLICES = 20, 16
 PIVOTS, GROUP_ROWS = 4, 4096
 # Seeds of the further token orders.
 ORDERS = (0xA5A5A5A5, 0x3C3C3C3C)
-# Bound of a task's memos; buckets by which texts are chosen for verification.
+# Bound of a task's memos.
 MEMO = 1 << 18
-CHOICE_BUCKETS = 1 << 20
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -320,11 +319,8 @@ def near_duplicates(
 
     def verify(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of distinct pairs, on the sets of the texts in them."""
-        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(
-            F.pmod(F.xxhash64("a"), F.lit(CHOICE_BUCKETS)).alias("bucket")
-        ).distinct()
-        # At most CHOICE_BUCKETS rows, whatever the data: only texts of these buckets are shuffled.
-        chosen = known.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(CHOICE_BUCKETS))).join(F.broadcast(ids), "bucket", "left_semi")
+        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+        chosen, _ = split_by_ids(known, "doc", ids)
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

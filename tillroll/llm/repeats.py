@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import Scratch, add_columns
+from tillroll.llm.common import Scratch, add_columns, split_by_ids
 from tillroll.llm.shingles import mix
 
 THRESHOLD = 100
@@ -40,8 +40,6 @@ THRESHOLD = 100
 K = 32
 RUN = 8
 SEGMENT = 1 << 19
-# Buckets by which texts are chosen for a join with what was found in them.
-CHOICE_BUCKETS = 1 << 20
 
 _rng = np.random.default_rng(0xD16175)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -218,16 +216,6 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, span, doc, lo = rows["core"][-1], rows["span"][-1], first_doc[-1], first_lo[-1]
 
 
-def _bucket(doc: str) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(CHOICE_BUCKETS))
-
-
-def _chosen(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Texts whose id's bucket is (not) among those found: at most CHOICE_BUCKETS broadcast rows."""
-    buckets = found.select(_bucket("doc").alias("bucket")).distinct()
-    return texts.withColumn("bucket", _bucket("doc")).join(F.broadcast(buckets), "bucket", how).drop("bucket")
-
-
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(body).alias("th"), body.cast("binary").alias("data"))
@@ -253,7 +241,8 @@ def repeated_runs(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
         # What goes on of a text is at most one row for each of its anchors or suffixes.
         runs = passes[-1].filter("goes_on").groupBy("doc", "th").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("runs"))
         runs = scratch.keep(runs, "runs")
-        again = _chosen(long_enough, runs, "left_semi").join(runs, ["doc", "th"]).select("doc", "th", "data", "runs").dropDuplicates(["doc", "th"])
+        chosen, _ = split_by_ids(long_enough, "doc", runs.select("doc"))
+        again = chosen.join(runs, ["doc", "th"]).select("doc", "th", "data", "runs").dropDuplicates(["doc", "th"])
         passes.append(one_pass(again.mapInArrow(lambda b, w=width: _next_pass(b, w, threshold), _ROWS_DDL), f"run{width}"))
     found = passes[0].filter("not goes_on")
     for p in passes[1:]:
@@ -277,8 +266,14 @@ def cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept) + data[at:], removed, spans
 
 
-def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that are left of each text."""
+def remove_repeats(
+    df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False
+) -> DataFrame:
+    """``df`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that are left of each text.
+
+    With ``as_text``, ``kept`` is a string, without the rest of a character
+    of which only some bytes are left.
+    """
     scratch = Scratch(df.sparkSession, "cuts")
     added = ["n_bytes", "n_removed", "n_spans", "kept", "_doc", "_th", "_runs"]
     rows = df.select(*[c for c in df.columns if c not in added or c in (id_col, text_col)])
@@ -289,10 +284,7 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
         found.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("_runs")), "runs"
     )
 
-    buckets = runs.select(_bucket("doc").alias("_bucket")).distinct()
-    marked = rows.withColumn("_bucket", _bucket("_doc"))
-    touched = marked.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
-    whole = marked.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket")
+    touched, whole = split_by_ids(rows, "_doc", runs.select("doc"))
     named = runs.withColumnsRenamed({"doc": "_doc", "th": "_th"})
 
     def make():
@@ -300,12 +292,13 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
             data = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
             runs = batch.column(batch.schema.get_field_index("_runs")).to_pylist()
             out = [cut(d or b"", [(r["start"], r["end"]) for r in rs or []]) for d, rs in zip(data, runs)]
-            return [[x[1] for x in out], [x[2] for x in out], [x[0] for x in out]]
+            kept = [x[0].decode("utf-8", "ignore") if as_text else x[0] for x in out]
+            return [[x[1] for x in out], [x[2] for x in out], kept]
 
         return work
 
     zero = F.lit(0).cast("bigint")
-    cuts = add_columns(touched.join(named, ["_doc", "_th"], "left"), "n_removed bigint, n_spans bigint, kept binary", make)
-    rest = whole.withColumns({"n_removed": zero, "n_spans": zero, "kept": body.cast("binary")})
+    cuts = add_columns(touched.join(named, ["_doc", "_th"], "left"), f"n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}", make)
+    rest = whole.withColumns({"n_removed": zero, "n_spans": zero, "kept": body if as_text else body.cast("binary")})
     both = cuts.drop("_runs").unionByName(rest)
     return both.withColumn("n_bytes", F.octet_length(body).cast("bigint")).drop("_doc", "_th")
