@@ -2,14 +2,12 @@
 
 At test scale every dimension fits under the broadcast threshold, so the
 sort-merge paths that run at cluster scale would go untested. Here automatic
-broadcasts are switched off and the orders bound is 0, and the results must
-still equal the oracle.
+broadcasts are switched off, and the results must still equal the oracle.
 """
 
 import pytest
 
 import __spark_entry__ as E
-import tillroll.sources.retail_view as RV
 from oracle_compare import compare, duck
 
 KEYS = ["clean_table", "kpi_totals", "top_countries", "cancellation_rate", "duplicate_rows", "dq_score_100",
@@ -25,10 +23,7 @@ def cluster_like(spark):
     old = {k: spark.conf.get(k, None) for k in CONF}
     for k, v in CONF.items():
         spark.conf.set(k, v)
-    bound = RV.ORDERS_BROADCAST_ROWS
-    RV.ORDERS_BROADCAST_ROWS = 0
     yield spark
-    RV.ORDERS_BROADCAST_ROWS = bound
     for k, v in old.items():
         if v is None:
             spark.conf.unset(k)

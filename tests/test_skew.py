@@ -82,17 +82,20 @@ def test_duplicates_and_kpis_with_hot_keys(hot):
     assert [r.country for r in top] == list(want.index)
 
 
-def test_duplicates_without_the_broadcast_filter(hot, monkeypatch):
-    """Too many repeated hashes to broadcast: all rows go to the grouping, copies still collapse map-side."""
-    monkeypatch.setattr(QU, "MAX_BROADCAST_HASHES", 0)
+def test_duplicates_tell_nulls_apart(hot):
+    """Nulls in other columns, NaN, -0.0 and large groups of copies; the row count comes from the same pass."""
     base = dt.datetime(2010, 1, 1)
     rows = [("HOT", "A", "mug", 1, base, 1.5, 7.0, "UK")] * 1000 + [
         (str(i % 700), "B", None, 1, base, 2.0, None, "FR") for i in range(2000)]
-    pdf = pd.DataFrame(rows)
-    assert QU.duplicate_count(raw_frame(hot, rows)).collect()[0].duplicate_rows == int(pdf.duplicated().sum())
+    rows += [(None, "A", "x", 1, base, 1.0, 1.0, "UK"), ("A", None, "x", 1, base, 1.0, 1.0, "UK")]
+    rows += [("n", "A", "x", 1, base, 0.0, 1.0, "UK"), ("n", "A", "x", 1, base, -0.0, 1.0, "UK")]
+    rows += [("m", "A", "x", 1, base, float("nan"), 1.0, "UK")] * 2
+    r = QU.duplicate_count(raw_frame(hot, rows)).collect()[0]
+    # 999 copies, 1300 repeats of 700 rows, one pair of zeros, one pair of NaN.
+    assert (r.n_rows, r.duplicate_rows) == (len(rows), 999 + 1300 + 1 + 1)
 
 
-def test_hot_session_is_split_by_adaptive_execution(spark, monkeypatch):
+def test_hot_session_is_split_by_adaptive_execution(spark):
     """The triage join gets fresh shuffles on both sides, so AQE splits the hot session."""
     conf = {**CONF, "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -101,7 +104,6 @@ def test_hot_session_is_split_by_adaptive_execution(spark, monkeypatch):
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
-    monkeypatch.setattr(RL, "MAX_BROADCAST_GROUPS", 0)
     try:
         t0 = dt.datetime(2024, 1, 1)
         rows = [(i, t0 + dt.timedelta(seconds=i), "s_hot" if i % 3 == 0 else f"s_{i % 500}", "r", "bi_agent",

@@ -1,5 +1,6 @@
 """The staged workflow end to end, and planted bugs in the cleaning rules."""
 
+import json
 import tempfile
 
 import pytest
@@ -10,9 +11,11 @@ from tillroll.functions.nulls import not_true
 from tillroll.operators import clean as CL
 from tillroll.plans import inputs as I
 from tillroll.plans.workflow import run_workflow
+from tillroll.operators.report import run_report_from_folders
 from tillroll.sources import invoices as INV
+from tillroll.sources import sinks
 from tillroll.sources.csv import read_invoice_csv
-from tillroll.sources.jsonlog import read_kpi_document, read_run_metadata, read_tool_calls
+from tillroll.sources.jsonlog import read_decisions, read_kpi_document, read_kpi_documents, read_run_metadata, read_tool_calls
 
 
 def test_workflow_end_to_end(spark, small_dir):
@@ -23,9 +26,21 @@ def test_workflow_end_to_end(spark, small_dir):
     assert res["clean"]["final_rows"] == I.cleaned(spark, small_dir).count()
     runs = f"{out}/runs"
     tools = [r.tool for r in read_tool_calls(spark, runs).orderBy("ts").collect()]
-    assert tools == ["load_dataset", "profile_data", "clean_data", "run_analysis", "publish_dashboard"]
+    assert tools == ["load_dataset", "profile_data", "quality_check", "clean_data", "run_analysis", "publish_dashboard", "compile_report"]
     meta = read_run_metadata(spark, runs).collect()[0]
-    assert meta.status == "completed" and meta.pending == ["reporter"]
+    assert meta.status == "completed" and meta.pending == [] and res["errors"] == []
+    report = run_report_from_folders(read_run_metadata(spark, runs), read_kpi_documents(spark, runs), read_decisions(spark, runs)).collect()
+    assert [(r.run_id, r.status, r.has_kpis, r.n_decisions_shown) for r in report] == [("run_001", "completed", True, 4)]
+    art = f"{runs}/run_001/artifacts"
+    names = {r.name for r in spark.read.schema(sinks.ARTIFACT_SCHEMA).json(f"{runs}/run_001/artifacts.json").collect()}
+    assert names == set(res["artifacts"]) and {"quality_report", "dashboard_payload", "dashboard_manifest", "report"} <= names
+    payload = json.loads(spark.read.text(f"{art}/dashboard/payload.json").collect()[0].value)
+    assert set(payload) == {"run_id", "dashboard_path", "kpis", "alertes", "insights"} and payload["run_id"] == "run_001"
+    manifest = json.loads(spark.read.text(f"{art}/dashboard/manifest.json").collect()[0].value)
+    assert [c["slot"] for c in manifest["charts"]] == ["trend", "mix", "breakdown", "products"] and manifest["charts"][0]["title"]
+    for name in ("headline_metrics", "lead_country", "alert_panel", "chart_manifest"):
+        spark.read.parquet(f"{art}/dashboard/{name}.parquet").collect()
+    assert spark.read.parquet(f"{art}/report/kpis.parquet").count() > 0
     doc_df = read_kpi_document(spark, f"{runs}/run_001/artifacts/insights.json")
     doc = doc_df.collect()[0]
     assert doc.kpis.CA_total == want["ca_total"] and doc.kpis.nb_commandes == want["n_orders"]
@@ -38,6 +53,22 @@ def test_workflow_end_to_end(spark, small_dir):
     assert sorted(r.year_month for r in clean.select("year_month").distinct().collect()) == months
 
 
+@pytest.mark.parametrize("body, word", [(None, "PATH_NOT_FOUND"), ("1,A,x,1,not-a-date,1.0,1,UK\n", "not-a-date"), ("1,A,x,some,2010-01-01,1.0,1,UK\n", "quantity")])
+def test_failed_run_leaves_its_record(spark, body, word):
+    out = tempfile.mkdtemp(prefix="tillroll-flow-", dir="/tmp")
+    source = f"{out}/in.csv"
+    if body:
+        with open(source, "w") as f:
+            f.write("Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n" + body)
+    res = run_workflow(spark, source, out, "run_007")
+    assert res["status"] == "failed" and len(res["errors"]) == 1
+    meta = read_run_metadata(spark, f"{out}/runs").collect()[0]
+    assert meta.status == "failed" and meta.completed == [] and meta.pending[0] == "data_engineer" and word in meta.errors[0]
+    calls = read_tool_calls(spark, f"{out}/runs").collect()
+    assert [c.success for c in calls] == [False]
+    assert [d.decision for d in read_decisions(spark, f"{out}/runs").collect()] == ["failure_data_engineer"]
+
+
 def test_missing_source_gives_error_record(spark):
     rep = INV.load_report_for(spark, lambda p: read_invoice_csv(spark, p), "/tmp/does-not-exist-tillroll.csv")
     r = rep.collect()[0]

@@ -25,6 +25,7 @@ DOC_SCALARS = [
 # Section names of the document.
 SECTION_KPIS, SECTION_MONTHS, SECTION_COUNTRIES, SECTION_PRODUCTS = "kpis", "CA_par_mois", "CA_par_pays_top10", "top_10_produits"
 SECTION_ALERTS, SECTION_INSIGHTS = "alertes", "insights"
+SECTION_RUN = "run"
 
 
 def kpi_document(kpis: DataFrame, monthly: DataFrame, countries: DataFrame, products: DataFrame,
@@ -64,9 +65,12 @@ def _ordered_map(df: DataFrame, pos: str, name: str, alias: str) -> DataFrame:
 
 
 def document_json(kpis: DataFrame, monthly: DataFrame, countries: DataFrame, products: DataFrame,
-                  alerts: DataFrame, insights: DataFrame, output_path: str | None = None) -> DataFrame:
+                  alerts: DataFrame, insights: DataFrame, output_path: str | None = None,
+                  more: dict[str, str] | None = None) -> DataFrame:
     """The document as one JSON string: ``{kpis, alertes, insights, output_path}``.
 
+    ``more`` are text fields to put before them instead of ``output_path``.
+
     Breakdowns are JSON objects whose keys keep their order (months in
     calendar order, top-k by rank). Every input is small (months, k, alerts,
     lines); the pieces are folded into one row without a join.
@@ -99,10 +103,44 @@ def document_json(kpis: DataFrame, monthly: DataFrame, countries: DataFrame, pro
                   F.from_json(SECTION_COUNTRIES, as_map).alias(SECTION_COUNTRIES)]
     kpi_fields += [F.col(name) for name, _ in DOC_SCALARS[2:6]] + [F.from_json(SECTION_PRODUCTS, as_map).alias(SECTION_PRODUCTS)]
     kpi_fields += [F.col(name) for name, _ in DOC_SCALARS[6:]]
-    body = F.struct(
-        F.struct(*kpi_fields).alias("kpis"),
-        F.col("alertes"),
-        F.col("insights"),
-        F.lit(output_path).cast("string").alias("output_path"),
-    )
+    content = [F.struct(*kpi_fields).alias("kpis"), F.col("alertes"), F.col("insights")]
+    if more is None:
+        body = F.struct(*content, F.lit(output_path).cast("string").alias("output_path"))
+    else:
+        body = F.struct(*[F.lit(v).alias(k) for k, v in more.items()], *content)
     return parts.select(F.to_json(body).alias("document"))
+
+
+def dashboard_payload(kpis: DataFrame, monthly: DataFrame, countries: DataFrame, products: DataFrame,
+                      alerts: DataFrame, insights: DataFrame, run_id: str, dashboard_path: str) -> DataFrame:
+    """What the dashboard is published with: ``{run_id, dashboard_path, kpis, alertes, insights}``."""
+    return document_json(kpis, monthly, countries, products, alerts, insights,
+                         more={"run_id": run_id, "dashboard_path": dashboard_path})
+
+
+def payload_rows(payload: DataFrame) -> DataFrame:
+    """The fields of a payload read back from its JSON, as (section, pos, name, value, text)."""
+    scalar = ", ".join(f"{name}: double" for name, _ in DOC_SCALARS)
+    maps = ", ".join(f"{name}: map<string, double>" for name in (SECTION_MONTHS, SECTION_COUNTRIES, SECTION_PRODUCTS))
+    alert = "struct<kpi: string, valeur: double, niveau: string, seuil: double, message: string>"
+    schema = (f"struct<run_id: string, dashboard_path: string, kpis: struct<{scalar}, {maps}>, "
+              f"alertes: array<{alert}>, insights: array<string>>")
+    read = payload.select(F.from_json("document", schema).alias("d"))
+    no_text, no_value, no_name = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def entry(section: str, pos, name, value, text):
+        return F.struct(F.lit(section).alias("section"), pos.cast("int").alias("pos"), name.alias("name"),
+                        value.alias("value"), text.alias("text"))
+
+    rows = [F.array(entry(SECTION_RUN, F.lit(1), F.lit("run_id"), no_value, F.col("d.run_id")),
+                    entry(SECTION_RUN, F.lit(2), F.lit("dashboard_path"), no_value, F.col("d.dashboard_path")))]
+    rows.append(F.filter(F.array(*[entry(SECTION_KPIS, F.lit(i + 1), F.lit(name), F.col(f"d.kpis.{name}"), no_text)
+                                   for i, (name, _) in enumerate(DOC_SCALARS)]), lambda e: e["value"].isNotNull()))
+
+    def of_map(section: str):
+        return F.transform(F.map_entries(f"d.kpis.{section}"), lambda e, i: entry(section, i + 1, e["key"], e["value"], no_text))
+
+    rows += [of_map(s) for s in (SECTION_MONTHS, SECTION_COUNTRIES, SECTION_PRODUCTS)]
+    rows.append(F.transform("d.alertes", lambda a, i: entry(SECTION_ALERTS, i + 1, a["kpi"], a["valeur"], a["message"])))
+    rows.append(F.transform("d.insights", lambda t, i: entry(SECTION_INSIGHTS, i + 1, no_name, no_value, t)))
+    return read.select(F.inline(F.concat(*rows)))

@@ -23,13 +23,3 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
                 names.append(c)
     return stacked.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in names])
 
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads at most ``max_rows + 1``.
-
-    The size check behind an explicit broadcast: beyond the bound the join is
-    left to Spark (sort-merge with AQE skew handling), so a side that grows
-    with the data is never forced into every task's memory.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-

@@ -1,14 +1,10 @@
 """Data-quality report: missing cells, duplicate rows, negative numbers, a 0-100 score.
 
-Duplicates are found hash-first: rows are keyed by ``xxhash64`` of all
-columns, and only keys seen more than once are confirmed by grouping the
-full rows. The first shuffle moves a hash and a count per distinct key and
-task, not whole rows. The repeated hashes are written once (checkpoint
-folder) and, when their number is checked to be small, filter the rows in a
-broadcast semi join inside each map task; otherwise every row goes to the
-confirm grouping. Either way copies collapse in the map-side partial count
-before any full-row shuffle, so a group of copies holding a third of the
-table never lands whole in one task.
+Duplicates are counted on a 128-bit fingerprint of the whole row: rows are
+grouped by it in one pass, so the shuffle moves a fingerprint and a count for
+each distinct row of a task, never whole rows, and copies collapse in the
+map-side partial count: a group of copies holding a third of the table sends
+one row for each task. The same pass gives the number of rows.
 """
 
 from __future__ import annotations
@@ -19,13 +15,8 @@ from pyspark.sql import types as T
 
 from tillroll.functions.nulls import is_missing
 from tillroll.functions.numeric import pct_half_even, ratio_half_even
-import uuid
+from tillroll.operators.frames import combine_rows
 
-from tillroll.operators.frames import combine_rows, has_at_most
-from tillroll.session import scratch_dir
-
-# Repeated hashes are broadcast (8 bytes each, about 32 MB) up to this many.
-MAX_BROADCAST_HASHES = 4_000_000
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 # Problem types and score levels of the quality report.
@@ -38,27 +29,32 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
 
 
+def row_fingerprint(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row; equal rows (nulls and NaN equal, -0.0 as 0.0) have equal ones.
+
+    Spark's hash passes over nulls, so which cells are null is hashed too.
+    """
+    cells = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        cells.append(c + F.lit(0.0) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c)
+    blanks = F.concat(*[F.when(F.col(f"`{c}`").isNull(), F.lit("1")).otherwise(F.lit("0")) for c in df.columns])
+    return [F.xxhash64(blanks, *cells).alias("_h1"), F.xxhash64(F.lit(1), *reversed(cells), blanks).alias("_h2")]
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """One row ``duplicate_rows``: rows equal to an earlier row (nulls equal)."""
-    spark = df.sparkSession
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.select(F.xxhash64(*cols).alias("_h"), *cols)
-    path = scratch_dir(spark, f"repeated-hashes-{uuid.uuid4().hex}")
-    keyed.groupBy("_h").count().filter(F.col("count") > 1).select("_h").write.mode("overwrite").parquet(path)
-    repeated = spark.read.parquet(path)
-    if has_at_most(repeated, MAX_BROADCAST_HASHES):
-        candidates = keyed.join(F.broadcast(repeated), "_h", "left_semi")
-    else:
-        candidates = keyed
-    # Grouping by the hash as well changes no group (it is a function of the row).
-    copies = candidates.groupBy("_h", *[f"`{c}`" for c in df.columns]).count()
-    return copies.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    """One row (n_rows, duplicate_rows): all rows, and those equal to an earlier one."""
+    copies = df.select(*row_fingerprint(df)).groupBy("_h1", "_h2").count()
+    zero = F.lit(0).cast("bigint")
+    return copies.agg(
+        F.coalesce(F.sum("count"), zero).alias("n_rows"),
+        F.coalesce(F.sum(F.col("count") - 1), zero).alias("duplicate_rows"),
+    )
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Q3: (n_rows, duplicate_rows, pct)."""
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    return combine_rows(n, duplicate_count(df)).select(
+    return duplicate_count(df).select(
         "n_rows", "duplicate_rows", pct_half_even(F.col("duplicate_rows"), F.col("n_rows"), 2).alias("pct")
     )
 

@@ -11,13 +11,9 @@ step (a group limit of 2), joined back to the failures.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import uuid
-
-from tillroll.operators.frames import has_at_most
-from tillroll.session import scratch_dir
 from tillroll.sources.log_view import ALL_TOOLS
 
 # Triage decisions and their reasons.
@@ -28,13 +24,11 @@ FAILED, COMPLETED = "failed", "completed"
 MAX_RETRIES = 2
 TAIL = 20
 TS_CHARS, REASON_CHARS = 19, 80
-# Second-failure rows (one per group and step) are broadcast up to this many.
-MAX_BROADCAST_GROUPS = 2_000_000
 
 
 def tool_calls(log: DataFrame) -> DataFrame:
     """One row per call with success and error text."""
-    error = F.when(~F.col("success"), F.col("props"))
+    error = F.when(failed_call(), F.col("props"))
     return log.select("event_id", "ts", "run_id", "agent", "tool", "success", error.alias("error"))
 
 
@@ -54,8 +48,13 @@ def allowed_calls(log: DataFrame, grants: DataFrame) -> DataFrame:
     return _granted(log, grants, "left_semi")
 
 
+def failed_call() -> Column:
+    """A call that is not known to have succeeded."""
+    return ~F.col("success") | F.col("success").isNull()
+
+
 def _failures(log: DataFrame, group: str) -> DataFrame:
-    return log.filter(~F.col("success")).select("event_id", "ts", group, F.col("tool").alias("step"))
+    return log.filter(failed_call()).select("event_id", "ts", group, F.col("tool").alias("step"))
 
 
 def second_failures(log: DataFrame, group: str = "run_id") -> DataFrame:
@@ -79,19 +78,14 @@ def failure_triage(log: DataFrame, group: str = "run_id") -> DataFrame:
     group limit Spark applies inside each task before the shuffle, so even a
     run holding most failures sends only two rows per task onward.
 
-    The second-failure table (one row per group and step) is written once
-    and read back. Read back, it no longer carries the window's partitioning,
+    The second-failure table (one row per group and step) gets a computed
+    group key for the join: it does not carry the window's partitioning over,
     so the join shuffles both sides afresh and AQE can split a hot group
-    across tasks; when it is checked to be small it is broadcast instead.
+    across tasks, or broadcast the table where it is measured to be small.
     """
     failures = _failures(log, group)
     second = second_failures(log, group)
-    spark = log.sparkSession
-    path = scratch_dir(spark, f"triage-second-{uuid.uuid4().hex}")
-    second.write.mode("overwrite").parquet(path)
-    second = spark.read.parquet(path)
-    if has_at_most(second, MAX_BROADCAST_GROUPS):
-        second = F.broadcast(second)
+    second = second.withColumn(group, F.concat(F.col(group), F.lit("")))
     joined = failures.join(second, [group, "step"], "left")
     before_second = (F.col("ts") < F.col("ts2")) | ((F.col("ts") == F.col("ts2")) & (F.col("event_id") <= F.col("id2")))
     retry = F.col("ts2").isNull() | before_second
@@ -106,7 +100,7 @@ def run_status(log: DataFrame) -> DataFrame:
     """Failed if any call failed, else completed."""
     return log.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_calls"),
-        F.count_if(~F.col("success")).alias("n_errors"),
+        F.count_if(failed_call()).alias("n_errors"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("finished_at"),
     ).select(
@@ -145,8 +139,11 @@ def decision_tail(log: DataFrame, n: int = TAIL, group: str = "run_id") -> DataF
 
 
 def run_report(log: DataFrame, n: int = TAIL) -> DataFrame:
-    """Per run, status and counts joined with the triage outcome (left join on run)."""
-    status = run_status(log).withColumn("n_decisions_shown", F.least(F.col("n_calls"), F.lit(n)))
+    """Per run, status and counts joined with the triage decisions (left join on run).
+
+    ``n_decisions_shown`` is the tail of at most ``n`` of the run's decisions.
+    """
+    status = run_status(log)
     triage = failure_triage(log).groupBy("run_id").agg(
         F.count_if(F.col("action") == RETRY).alias("n_retries"),
         F.count_if(F.col("action") == SKIP).alias("n_skips"),
@@ -156,7 +153,7 @@ def run_report(log: DataFrame, n: int = TAIL) -> DataFrame:
         "status",
         "n_calls",
         "n_errors",
-        "n_decisions_shown",
+        F.least(F.coalesce(F.col("n_retries") + F.col("n_skips"), F.lit(0)), F.lit(n)).alias("n_decisions_shown"),
         F.coalesce(F.col("n_retries"), F.lit(0)).alias("n_retries"),
         F.coalesce(F.col("n_skips"), F.lit(0)).alias("n_skips"),
     )

@@ -148,12 +148,12 @@ monthly AS (
 )"""
 
 
-def _top(name: str, key: str) -> str:
+def _top(name: str, key: str, source: str = "clean", amount: str = AMOUNT_CLEAN) -> str:
     return f"""
 {name} AS (
   SELECT CAST(rn AS INTEGER) AS rank, {key}, {money_double('total')} AS revenue FROM (
     SELECT {key}, total, row_number() OVER (ORDER BY total DESC, {key} ASC) AS rn FROM (
-      SELECT {key}, coalesce(sum({AMOUNT_CLEAN}), 0) AS total FROM clean WHERE {key} IS NOT NULL GROUP BY {key}
+      SELECT {key}, coalesce(sum({amount}), 0) AS total FROM {source} WHERE {key} IS NOT NULL GROUP BY {key}
     )
   ) WHERE rn <= 10
 )"""
@@ -186,17 +186,23 @@ def _alerts(name: str, kpis: str) -> str:
 
 ALERTS_RAW, ALERTS_CLEAN = _alerts("alerts_r", "kr"), _alerts("alerts_c", "kc")
 
-INSIGHTS = """
+
+
+def _insights(kpis: str, top: str, alerts: str) -> str:
+    return f"""
 insights AS (
   SELECT CAST(row_number() OVER (ORDER BY sort_key) AS INTEGER) AS line_no, text FROM (
-    SELECT 1 AS sort_key, 'CA total : £' || format('{:,.0f}', ca_total) AS text FROM kc
-    UNION ALL SELECT 2, 'Nombre de clients uniques : ' || format('{:,}', n_customers) FROM kc
-    UNION ALL SELECT 3, 'Panier moyen par commande : £' || format('{:.2f}', avg_basket) FROM kc WHERE avg_basket IS NOT NULL
-    UNION ALL SELECT 4, 'Premier pays par CA : ' || country FROM topc WHERE rank = 1
-    UNION ALL SELECT 10 + alert_order, 'Alerte ' || level || ' : ' || message FROM alerts_c
+    SELECT 1 AS sort_key, 'CA total : £' || format('{{:,.0f}}', ca_total) AS text FROM {kpis}
+    UNION ALL SELECT 2, 'Nombre de clients uniques : ' || format('{{:,}}', n_customers) FROM {kpis}
+    UNION ALL SELECT 3, 'Panier moyen par commande : £' || format('{{:.2f}}', avg_basket) FROM {kpis} WHERE avg_basket IS NOT NULL
+    UNION ALL SELECT 4, 'Premier pays par CA : ' || country FROM {top} WHERE rank = 1
+    UNION ALL SELECT 10 + alert_order, 'Alerte ' || level || ' : ' || message FROM {alerts}
   ) WHERE text IS NOT NULL
 )"""
 
+
+INSIGHTS = _insights("kc", "topc", "alerts_c")
+
 MOM = """
 mom AS (
   SELECT year_month, revenue, prev AS prev_revenue,
@@ -318,7 +324,7 @@ ORACLE["load_preview"] = with_views(
 )
 ORACLE["union_periods"] = with_views(
     "SELECT 'p1' AS period, * FROM retail WHERE invoice_date < TIMESTAMP '1998-01-01' "
-    "UNION ALL SELECT 'p2' AS period, * FROM retail WHERE invoice_date >= TIMESTAMP '1998-01-01'",
+    "UNION ALL SELECT 'p2' AS period, * FROM retail WHERE invoice_date >= TIMESTAMP '1998-01-01' OR invoice_date IS NULL",
     R,
 )
 ORACLE["null_profile"] = with_views(_null_rows(2, True), R)
@@ -554,7 +560,7 @@ ORACLE["decision_tail"] = with_views(
     LOG,
 )
 ORACLE["run_report"] = with_views(
-    """SELECT s.run_id, s.status, s.n_calls, s.n_errors, least(s.n_calls, 20) AS n_decisions_shown,
+    """SELECT s.run_id, s.status, s.n_calls, s.n_errors, least(coalesce(t.n_retries + t.n_skips, 0), 20) AS n_decisions_shown,
            coalesce(t.n_retries, 0) AS n_retries, coalesce(t.n_skips, 0) AS n_skips
     FROM status s LEFT JOIN (
       SELECT run_id, count(*) FILTER (WHERE action = 'retry') AS n_retries, count(*) FILTER (WHERE action = 'skip') AS n_skips FROM triage GROUP BY run_id
@@ -579,3 +585,27 @@ ORACLE["run_status"] = with_views("SELECT * FROM status", LOG, STATUS)
 ORACLE["tool_calls"] = with_views(
     "SELECT event_id, ts, run_id, agent, tool, success, CASE WHEN NOT success THEN props END AS error FROM runlog", LOG
 )
+
+ORACLE["csv_scan"] = with_views("SELECT * FROM retail", R)
+ORACLE["csv_scan_latin1"] = ORACLE["csv_scan"]
+ORACLE["clean_sink"] = ORACLE["clean_table"]
+ORACLE["dashboard_payload"] = (
+    ORACLE["kpi_document"]
+    + """
+       UNION ALL SELECT 'run', 1, 'run_id', NULL, 'run_001'
+       UNION ALL SELECT 'run', 2, 'dashboard_path', NULL, 'runs/run_001/artifacts/dashboard'"""
+)
+ORACLE["log_records"] = with_views(
+    """SELECT event_id, ts, run_id, CASE WHEN event_id % 2 = 1 THEN agent END AS agent, tool, success,
+           CASE WHEN NOT success THEN props END AS error FROM runlog""",
+    LOG,
+)
+ORACLE["artifact_list"] = with_views(
+    """SELECT tool AS name, run_id || '/' || tool AS path, min(agent) AS produced_by, 'table' AS artifact_type
+    FROM runlog WHERE success GROUP BY run_id, tool""",
+    LOG,
+)
+ORACLE["kpi_insights_raw"] = with_views(
+    "SELECT line_no, text FROM insights",
+    R, KR, _top("topr", "country", "retail", AMOUNT_RAW), ALERTS_RAW, _insights("kr", "topr", "alerts_r"),
+)

@@ -15,6 +15,7 @@ comparison see.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,19 @@ from tillroll.operators import quality as QU
 from tillroll.operators import report as RP
 from tillroll.operators import runlog as RL
 from tillroll.plans import inputs as I
+from tillroll.schema import CLEAN_COLUMNS, to_source_headers
+from tillroll.session import scratch_dir
 from tillroll.sources import invoices as INV
+from tillroll.sources import sinks
+from tillroll.sources.csv import read_invoice_csv
+from tillroll.sources.jsonlog import read_tool_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Fixed value: the date that splits the view into the two period files of ``union_periods``.
 PERIOD_SPLIT = "1998-01-01"
+# The run that ``dashboard_payload`` is published for, and its folder.
+PAYLOAD_RUN, PAYLOAD_PATH = "run_001", "runs/run_001/artifacts/dashboard"
 
 
 def to_output(df: DataFrame) -> DataFrame:
@@ -54,16 +62,81 @@ def _insights(spark: SparkSession, d: str) -> DataFrame:
     return I.SmallTables(spark, d).insights
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def _csv_lines(df: DataFrame) -> DataFrame:
+    """Lines as text under their source headers, as an invoice file holds them."""
+    return to_source_headers(df.withColumn("invoice_date", F.date_format("invoice_date", "yyyy-MM-dd HH:mm:ss")))
+
+
 def _union_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Two period files written as CSV parts (a line without a date is in the second), read back and put together."""
+    path = _scratch(spark, "periods")
+    part = F.when(F.col("InvoiceDate") < PERIOD_SPLIT, F.lit("p1")).otherwise(F.lit("p2"))
+    _csv_lines(I.raw(spark, d)).withColumn("part", part).write.partitionBy("part").option("header", True).csv(path)
+    return INV.union_periods([(p, read_invoice_csv(spark, f"{path}/part={p}")) for p in ("p1", "p2")])
+
+
+def _csv_scan(spark: SparkSession, d: str, encoding: str = "UTF-8") -> DataFrame:
+    """The raw lines written as two sets of files with other headers and column orders, and read as one."""
     raw = I.raw(spark, d)
-    split = F.lit(PERIOD_SPLIT).cast("timestamp_ntz")
-    return INV.union_periods([("p1", raw.filter(F.col("invoice_date") < split)),
-                              ("p2", raw.filter(F.col("invoice_date") >= split))])
+    path = _scratch(spark, "csv")
+    first = F.col("quantity") % 2 == 0
+    lines = _csv_lines(raw.filter(first))
+    lines.write.option("header", True).option("encoding", encoding).csv(f"{path}/a")
+    other = _csv_lines(raw.filter(~first)).withColumnsRenamed({"Invoice": "InvoiceNo", "Price": "UnitPrice", "Customer ID": "CustomerID"})
+    other.select(*reversed(other.columns)).write.option("header", True).option("encoding", encoding).csv(f"{path}/b")
+    return read_invoice_csv(spark, [f"{path}/a", f"{path}/b"], encoding=encoding)
+
+
+def _clean_sink(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "clean")
+    sinks.write_clean(I.cleaned(spark, d), path)
+    return spark.read.parquet(path).select(*CLEAN_COLUMNS)
+
+
+def _log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The run log written as JSON lines, even events in one record shape and odd ones in the other, and read back."""
+    log = I.log(spark, d)
+    base = _scratch(spark, "runs")
+    error = F.when(~F.col("success"), F.col("props"))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    data = F.struct(F.when(F.col("success"), "success").otherwise("error").alias("status"), error.alias("message"), F.col("event_id"))
+    short = log.filter("event_id % 2 = 0").select(stamp.alias("timestamp"), "run_id", "tool", data.alias("data"))
+    short.write.json(f"{base}/all/tool_calls.jsonl")
+    output = F.struct(F.col("event_id"), F.col("run_id"))
+    long = log.filter("event_id % 2 = 1").select(
+        stamp.alias("timestamp"), "run_id", F.col("agent").alias("agent_name"), F.col("tool").alias("tool_name"),
+        F.struct(F.lit("x").alias("file_path")).alias("input"), output.alias("output"), "success", error.alias("error"),
+    )
+    long.write.mode("append").json(f"{base}/all/tool_calls.jsonl")
+    calls = read_tool_calls(spark, base)
+    event = F.get_json_object("payload", "$.event_id").cast("bigint")
+    return calls.select(event.alias("event_id"), "ts", "run_id", "agent", "tool", "success", "error")
+
+
+def _artifact_list(spark: SparkSession, d: str) -> DataFrame:
+    """One artifact record for each run and tool of the log, written and read back."""
+    base = _scratch(spark, "artifacts")
+    log = I.log(spark, d)
+    rows = log.filter("success").groupBy("run_id", "tool").agg(F.min("agent").alias("produced_by")).select(
+        F.col("tool").alias("name"), F.concat_ws("/", "run_id", "tool").alias("path"), "produced_by", F.lit("table").alias("artifact_type")
+    )
+    rows.write.json(f"{base}/artifacts.json")
+    return spark.read.schema(sinks.ARTIFACT_SCHEMA).json(f"{base}/artifacts.json")
+
+
+def _insights_raw(spark: SparkSession, d: str) -> DataFrame:
+    kpis = I.kpis_raw(spark, d)
+    return AL.kpi_insights(kpis, KP.top_countries(I.raw(spark, d)), AL.kpi_alerts(kpis))
 
 
 def _dashboard_payload(spark: SparkSession, d: str) -> DataFrame:
     t = I.SmallTables(spark, d)
-    return DOC.document_json(t.kpis, t.monthly, t.countries, t.products, t.alerts, t.insights, output_path=None)
+    payload = DOC.dashboard_payload(t.kpis, t.monthly, t.countries, t.products, t.alerts, t.insights, PAYLOAD_RUN, PAYLOAD_PATH)
+    return DOC.payload_rows(payload)
 
 
 def _kpi_document(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +164,8 @@ QUERIES: dict[str, Query] = {
     "load_report": lambda s, d: INV.load_report(I.raw(s, d)),
     "load_preview": lambda s, d: INV.load_preview(I.raw(s, d), 3),
     "union_periods": _union_periods,
+    "csv_scan": _csv_scan,
+    "csv_scan_latin1": lambda s, d: _csv_scan(s, d, "ISO-8859-1"),
     # Profiling and quality
     "null_profile": lambda s, d: PR.null_profile(I.raw(s, d), digits=2, only_missing=True),
     "null_profile_all": lambda s, d: PR.null_profile(I.raw(s, d), digits=1, only_missing=False),
@@ -102,6 +177,7 @@ QUERIES: dict[str, Query] = {
     "quality_problems": lambda s, d: QU.quality_problems(I.raw(s, d)),
     # Cleaning
     "clean_table": lambda s, d: I.cleaned(s, d),
+    "clean_sink": _clean_sink,
     "clean_funnel": lambda s, d: CL.clean_funnel(I.raw(s, d)),
     "clean_summary": lambda s, d: CL.clean_summary(I.raw(s, d)),
     # KPIs
@@ -119,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "return_rate": lambda s, d: I.kpis_raw(s, d).select("return_rate"),
     "kpi_alerts": lambda s, d: I.alerts_raw(s, d),
     "kpi_insights": _insights,
+    "kpi_insights_raw": _insights_raw,
     "kpi_document": _kpi_document,
     # Dashboard
     "month_over_month": lambda s, d: DB.month_over_month(I.monthly(s, d)),
@@ -145,6 +222,8 @@ QUERIES: dict[str, Query] = {
     "failure_triage": lambda s, d: RL.failure_triage(I.log(s, d), group="session"),
     "run_status": lambda s, d: RL.run_status(I.log(s, d)),
     "tool_calls": lambda s, d: RL.tool_calls(I.log(s, d)),
+    "log_records": _log_lines,
+    "artifact_list": _artifact_list,
 }
 
 

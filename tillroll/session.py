@@ -33,7 +33,7 @@ BASE_CONF = {
 
 
 def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 256 * 1024**2,
-                           lowest: int = 200, highest: int = 100_000) -> int:
+                           lowest: int = 200) -> int:
     """Shuffle partitions so each holds about ``target_bytes`` of the largest shuffle.
 
     AQE then coalesces small partitions and splits skewed ones at runtime, so
@@ -42,7 +42,7 @@ def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 256 * 1024**2
     Example: 6e11 lines × 40 B = 24 TB → about 90,000 partitions of 256 MB.
     """
     wanted = -(-shuffle_bytes // target_bytes)
-    return int(max(lowest, min(highest, wanted)))
+    return int(max(lowest, wanted))
 
 
 def build_session(

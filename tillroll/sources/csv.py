@@ -5,10 +5,22 @@ quotes), pandas' null tokens become nulls, aliased headers get canonical
 names, and the text is cast to the canonical types. This mirrors what
 ``pandas.read_csv`` infers for these files without a schema-inference pass
 over the data.
+
+Files are matched by column name: they are grouped by their header line, each
+group is read with its own header, and the groups are put together by name.
+A quoted field may hold a newline (``multi_line``, the default; a file is then
+one split, so very large files without such fields are better read with
+``multi_line=False``). A record that does not parse is never passed on as
+nulls: it raises, or, with ``bad="keep"``, carries its problem in a column.
 """
 
 from __future__ import annotations
 
+import csv as _csv
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +28,10 @@ from tillroll.functions.nulls import normalize_null_tokens
 from tillroll.schema import CLEAN_SCHEMA, RAW_SCHEMA, rename_to_canonical
 
 # Date layouts of the invoice files, tried in order.
+PROBLEM = "problem"
+_BROKEN = "_corrupt_record"
+# Header lines are read with so many threads.
+_HEADER_THREADS = 16
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "M/d/yyyy H:mm", "yyyy-MM-dd"]
 
 
@@ -31,32 +47,39 @@ def parse_invoice_date(text: Column, strict: bool = False) -> Column:
 
 
 def _number(text: Column, to: str) -> Column:
+    """The number a text states; null for other text (and for a fraction where a whole number is asked for)."""
     as_double = text.try_cast("double")
     if to == "bigint":
-        # "6" and "6.0" both read as 6; anything else is missing.
+        # "6" and "6.0" both read as 6.
         return F.coalesce(text.try_cast("bigint"), F.when(as_double == F.floor(as_double), as_double.cast("bigint")))
     return as_double
 
 
-def typed_lines(text_df: DataFrame, strict_dates: bool = False, layout: str = "auto") -> DataFrame:
+def typed_lines(text_df: DataFrame, strict_dates: bool = False, layout: str = "auto", bad: str = "raise",
+                fractional: bool = False) -> DataFrame:
     """Canonical layout from a frame of text columns (missing columns are null).
 
     ``layout`` is ``raw`` (8 columns), ``clean`` (12 columns, customer id as
     text) or ``auto``: clean when the file carries a Sales column.
+    ``fractional`` reads quantities as doubles. ``bad`` says what becomes of a
+    line with text that its column's type can't hold, or with too many or too
+    few fields: ``raise``, or ``keep`` (column ``problem`` names the fields).
+    An unreadable date is a missing date, as the analysis counts it under its
+    own month, unless ``strict_dates``.
     """
     df = normalize_null_tokens(rename_to_canonical(text_df))
     if layout == "auto":
         layout = "clean" if "sales" in df.columns else "raw"
     schema = CLEAN_SCHEMA if layout == "clean" else RAW_SCHEMA
-    cols = []
+    cols, problems = [], []
     for field in schema.fields:
         if field.name not in df.columns:
             cols.append(F.lit(None).cast(field.dataType).alias(field.name))
             continue
-        c = F.col(field.name)
+        c = text = F.col(field.name)
         kind = field.dataType.simpleString()
         if kind == "bigint":
-            c = _number(c, "bigint")
+            c = _number(c, "double" if fractional and field.name == "quantity" else "bigint")
         elif kind == "double":
             c = _number(c, "double")
         elif kind == "int":
@@ -65,27 +88,81 @@ def typed_lines(text_df: DataFrame, strict_dates: bool = False, layout: str = "a
             c = c.try_cast(field.dataType)
         elif kind == "timestamp_ntz":
             c = parse_invoice_date(c, strict_dates)
+        if kind not in ("string", "timestamp_ntz"):
+            problems.append(F.when(c.isNull() & text.isNotNull(), F.lit(field.name)))
         cols.append(c.alias(field.name))
+    if _BROKEN in df.columns:
+        problems.append(F.when(F.col(_BROKEN).isNotNull(), F.lit("fields")))
+    named = F.array_join(F.array_compact(F.array(*problems)), ",") if problems else F.lit("")
+    problem = F.when(named != "", named)
+    if bad == "keep":
+        return df.select(*cols, problem.alias(PROBLEM))
+    if problems:
+        shown = F.concat(F.lit("unparsable invoice line: "), problem)
+        df = df.filter(F.when(problem.isNotNull(), F.raise_error(shown).cast("boolean")).otherwise(F.lit(True)))
     return df.select(*cols)
 
 
-def read_text_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    return (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", False)
-        .option("inferSchema", False)
-        .csv(path)
-    )
-
-
-def read_invoice_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8",
-                     strict_dates: bool = False, layout: str = "auto") -> DataFrame:
+def _headers(spark: SparkSession, files: list[str], encoding: str) -> dict[str, tuple[str, ...]]:
+    """The header of each file: its first line, read on the driver (one line a file, any Hadoop file system)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first_line(file: str) -> tuple[str, ...]:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
+            line = reader.readLine() or ""
+        finally:
+            stream.close()
+        return tuple(next(_csv.reader([line.lstrip("\ufeff")]), []))
+
+    with ThreadPoolExecutor(_HEADER_THREADS) as pool:
+        return dict(zip(files, pool.map(first_line, files)))
+
+
+def read_text_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """All files as text columns, matched by name; broken records are in ``_corrupt_record``."""
+    files = spark.read.text(path).inputFiles()
+    # A folder's sub-folders (month=2010-01) give columns, as they do when the folder is read whole.
+    folder = isinstance(path, str) and not re.search(r"[*?{\[]", path) and not any(f.endswith(path.rstrip("/")) for f in files)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file, header in _headers(spark, sorted(files), encoding).items():
+        by_header.setdefault(header, []).append(file)
+    frames = []
+    for header, group in by_header.items():
+        if not any(header):
+            continue  # an empty file
+        fields = ", ".join(f"`{name.replace('`', '``')}` string" for name in header)
+        reader = spark.read.option("basePath", path) if folder else spark.read
+        frames.append(
+            reader.option("header", True)
+            .option("encoding", encoding)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", multi_line)
+            .option("enforceSchema", True)
+            .option("mode", "PERMISSIVE")
+            .option("columnPruning", False)  # else the number of fields is not checked
+            .option("columnNameOfCorruptRecord", _BROKEN)
+            .schema(f"{fields}, `{_BROKEN}` string")
+            .csv(group)
+        )
+    if not frames:
+        return spark.createDataFrame([], f"`{_BROKEN}` string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(rename_to_canonical, frames))
+
+
+def read_invoice_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", strict_dates: bool = False,
+                     layout: str = "auto", bad: str = "raise", fractional: bool = False, multi_line: bool = True) -> DataFrame:
     """Invoice lines from CSV (``encoding='ISO-8859-1'`` for Latin-1 files).
 
     A file written by the cleaning step (with Sales, Year, Month, YearMonth)
     is read in the clean layout, so the analysis can start from it.
     """
-    return typed_lines(read_text_csv(spark, path, encoding), strict_dates, layout)
+    return typed_lines(read_text_csv(spark, path, encoding, multi_line), strict_dates, layout, bad, fractional)
+
+
+def bad_line_counts(lines: DataFrame) -> DataFrame:
+    """(problem, n_lines) of lines that were read with ``bad="keep"``."""
+    return lines.filter(F.col(PROBLEM).isNotNull()).groupBy(PROBLEM).agg(F.count(F.lit(1)).alias("n_lines"))

@@ -5,7 +5,9 @@ and ``<base>/<run_id>/metadata.json``. A tool-call file mixes two record
 shapes, ``{timestamp, run_id, tool, data}`` and ``{timestamp, agent_name,
 tool_name, input, output, success, error}``; both are read with one fixed
 schema (no inference) and coalesced. Nested objects are kept as JSON text.
-The run id of a record without one comes from its folder name.
+The run id of a record without one comes from its folder name. A kind of file
+that no run has yet is an empty table. A call with any error text, or whose
+data report an error, has failed, whatever else the record says.
 """
 
 from __future__ import annotations
@@ -89,8 +91,17 @@ KPI_DOC_SCHEMA = T.StructType(
 _RUN_FROM_PATH = r"/([^/]+)/[^/]+\.jsonl?(/[^/]*)?$"
 
 
-def _run_of_path() -> F.Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), _RUN_FROM_PATH, 1)
+def _run_of_path(path: str = "_metadata.file_path") -> F.Column:
+    return F.regexp_extract(F.col(path), _RUN_FROM_PATH, 1)
+
+
+def _read(spark: SparkSession, pattern: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """JSON files with the column ``_file``, or no rows if nothing matches the pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_file", T.StringType())]))
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(pattern)
+    return raw.select("*", F.col("_metadata.file_path").alias("_file"))
 
 
 def _ts(text: F.Column) -> F.Column:
@@ -101,8 +112,12 @@ def unify_tool_calls(raw: DataFrame) -> DataFrame:
     """One table from both record shapes (``raw`` has the schema above plus ``file_run``)."""
     status = F.get_json_object(F.col("data"), "$.status")
     data_error = F.coalesce(F.get_json_object(F.col("data"), "$.message"), F.get_json_object(F.col("data"), "$.error"))
-    error = F.coalesce(F.when(F.col("error") != "", F.col("error")), F.when(status == "error", data_error))
-    success = F.coalesce(F.col("success"), F.when(F.col("data").isNotNull(), F.coalesce(status != "error", F.lit(True))))
+    own_error = F.when(F.col("error") != "", F.col("error"))
+    reported = F.get_json_object(F.col("data"), "$.error")
+    reported = F.when((reported != "") & ~reported.isin("null", "false", "[]", "{}"), reported)
+    error = F.coalesce(own_error, reported, F.when(status == "error", data_error))
+    failed = error.isNotNull() | F.coalesce(status == "error", F.lit(False))
+    success = F.when(failed, F.lit(False)).otherwise(F.coalesce(F.col("success"), F.lit(True)))
     return raw.select(
         F.xxhash64("file_run", "timestamp", "tool", "tool_name", "data", "input", "output").alias("event_id"),
         _ts(F.col("timestamp")).alias("ts"),
@@ -116,14 +131,14 @@ def unify_tool_calls(raw: DataFrame) -> DataFrame:
 
 
 def read_tool_calls(spark: SparkSession, base: str) -> DataFrame:
-    raw = spark.read.schema(TOOL_CALL_SCHEMA).json(f"{base.rstrip('/')}/*/tool_calls.jsonl")
-    return unify_tool_calls(raw.withColumn("file_run", _run_of_path()))
+    raw = _read(spark, f"{base.rstrip('/')}/*/tool_calls.jsonl", TOOL_CALL_SCHEMA)
+    return unify_tool_calls(raw.withColumn("file_run", _run_of_path("_file")))
 
 
 def read_decisions(spark: SparkSession, base: str) -> DataFrame:
-    raw = spark.read.schema(DECISION_SCHEMA).json(f"{base.rstrip('/')}/*/decisions.jsonl")
+    raw = _read(spark, f"{base.rstrip('/')}/*/decisions.jsonl", DECISION_SCHEMA)
     return raw.select(
-        _run_of_path().alias("run_id"),
+        _run_of_path("_file").alias("run_id"),
         _ts(F.col("timestamp")).alias("ts"),
         F.col("timestamp").alias("timestamp_text"),
         "agent",
@@ -134,8 +149,8 @@ def read_decisions(spark: SparkSession, base: str) -> DataFrame:
 
 def read_run_metadata(spark: SparkSession, base: str) -> DataFrame:
     """One row per run folder that has a ``metadata.json``."""
-    raw = spark.read.schema(METADATA_SCHEMA).option("multiLine", True).json(f"{base.rstrip('/')}/*/metadata.json")
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/metadata\.json(/[^/]*)?$", 1)
+    raw = _read(spark, f"{base.rstrip('/')}/*/metadata.json", METADATA_SCHEMA, multi_line=True)
+    folder = F.regexp_extract(F.col("_file"), r"/([^/]+)/metadata\.json(/[^/]*)?$", 1)
     return raw.select(F.coalesce("run_id", folder).alias("run_id"), folder.alias("folder"), *[c for c in METADATA_SCHEMA.names if c != "run_id"])
 
 
@@ -150,9 +165,9 @@ def read_kpi_document(spark: SparkSession, path: str) -> DataFrame:
 
 def read_kpi_documents(spark: SparkSession, base: str) -> DataFrame:
     """The KPI document of every run folder (``<run>/artifacts/insights.json``), with its run id."""
-    raw = spark.read.schema(KPI_DOC_SCHEMA).option("multiLine", True).json(f"{base.rstrip('/')}/*/artifacts/insights.json")
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/artifacts/insights\.json(/[^/]*)?$", 1)
-    return raw.select(run.alias("run_id"), "*")
+    raw = _read(spark, f"{base.rstrip('/')}/*/artifacts/insights.json", KPI_DOC_SCHEMA, multi_line=True)
+    run = F.regexp_extract(F.col("_file"), r"/([^/]+)/artifacts/insights\.json(/[^/]*)?$", 1)
+    return raw.select(run.alias("run_id"), *KPI_DOC_SCHEMA.names)
 
 
 def document_breakdowns(doc: DataFrame) -> DataFrame:

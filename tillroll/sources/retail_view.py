@@ -11,10 +11,10 @@ the customer key, then ``⋈ nation``), so the customer-key shuffle moves
 order-sized data, not line-sized data. The nation list is far under the
 broadcast threshold (Spark's size check), so that join has no shuffle. The
 lines then meet the enriched orders on the order key and ``part`` on the
-part key: two line-sized shuffles in all. Each dimension side is unique on its key, so a
-hot key on the line side is split by adaptive skew-join handling; Spark
-broadcasts a side only when its measured size is under
-``spark.sql.autoBroadcastJoinThreshold``.
+part key: two line-sized shuffles in all. Each dimension side is unique on its
+key, so a hot key on the line side is split by adaptive skew-join handling.
+No side is forced: Spark broadcasts one only when its file size, or its
+measured size at run time, is under ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -22,12 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.frames import has_at_most
-from tillroll.sources.tables import read_table, spread
-
-# Orders (with their country) are broadcast to the lines only when the orders
-# table is checked to hold at most this many rows (about 40 MB of hash table).
-ORDERS_BROADCAST_ROWS = 1_000_000
+from tillroll.sources.tables import read_table
 
 # The keys that plant problems into the view.
 CANCEL_FLAG = "R"
@@ -44,10 +39,8 @@ def _cancelled(returnflag: Column, orderkey: Column) -> Column:
 
 def retail_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     """Raw invoice lines (8 canonical columns) from the tables in ``data_dir``."""
-    li = spread(
-        read_table(spark, data_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"
-        )
+    li = read_table(spark, data_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"
     )
     od = read_table(spark, data_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = read_table(spark, data_dir, "customer").select("c_custkey", "c_nationkey")
@@ -59,12 +52,6 @@ def retail_lines(spark: SparkSession, data_dir: str) -> DataFrame:
         .join(na, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
     )
-    # Customers are unique on their key, so the enriched orders have at most as
-    # many rows as ``orders``; the bounded check runs on the orders scan. Spark
-    # cannot size a join's output at planning time, so without this a small
-    # orders side would be shuffled with the lines instead of broadcast.
-    if has_at_most(od, ORDERS_BROADCAST_ROWS):
-        orders_country = F.broadcast(orders_country)
     joined = li.join(orders_country, F.col("l_orderkey") == F.col("o_orderkey")).join(
         pa, F.col("l_partkey") == F.col("p_partkey")
     )

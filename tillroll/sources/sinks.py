@@ -1,11 +1,10 @@
 """Writers: clean table, KPI document, run log, run metadata, artifact list.
 
-The clean table is range-partitioned on (year_month, invoice, row id)
-before the write, so each task covers a contiguous slice of months and
-writes one or two month folders instead of one small file per month. The
-row id (unique per row) lets the range bounds fall inside a single key, so a
-month, an invoice or a block of identical copies holding a third of all
-lines is still spread over many tasks.
+The clean table is rebalanced by month before the write: adaptive execution
+puts small months together and splits a month that is larger than the
+advisory partition size over several tasks, by the ranges of map output it
+has, so neither a hot month nor a block of identical copies lands in one
+task, and a retried task writes the same rows.
 """
 
 from __future__ import annotations
@@ -43,8 +42,7 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", source_headers:
     ``source_headers`` writes the original header names (``Invoice``,
     ``Customer ID``, ...) for readers that expect the source layout.
     """
-    row_id = F.monotonically_increasing_id()
-    ordered = df.repartitionByRange("year_month", "invoice", row_id)
+    ordered = df.hint("rebalance", "year_month")
     month = "year_month"
     if source_headers:
         ordered = to_source_headers(ordered)
@@ -62,6 +60,11 @@ def write_document(doc_json: DataFrame, path: str) -> None:
     doc_json.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A small document as a single text file."""
+    write_document(spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "document string"), path)
+
+
 def _now() -> str:
     return dt.datetime.now().isoformat()
 

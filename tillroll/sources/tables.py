@@ -23,19 +23,3 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that arrives in fewer splits than the session has cores.
-
-    Parquet splits by row group, so a file written as a single row group is
-    read by one task and everything fused into that stage (joins with
-    broadcast sides, partial aggregation) runs on one core. Such an input is
-    redistributed round-robin after column pruning. A large input arrives in
-    many splits and passes through unchanged: no shuffle is added.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as it is
-        return df
-    return df.repartition(target) if splits < target else df

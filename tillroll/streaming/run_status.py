@@ -7,6 +7,10 @@ errors, first and last call), emitted in update mode. State grows with the
 number of runs, not with calls. ``foreachBatch`` writes each micro-batch's
 changed runs to ``<out>/epoch=<n>``, overwriting that folder on a retry, so a
 replayed batch leaves the same files; readers take the newest epoch per run.
+The stream's checkpoint lies beside them (``<out>/_checkpoint``), so a restart
+goes on where the epochs end. Every ``COMPACT_EVERY`` epochs the newest state of
+each run is written into one epoch and the older ones are deleted. State has
+no expiry: a run may get calls at any time.
 
 A file stream sees new files, not lines appended to a file it has already
 read. The log sink (``sources.sinks.append_log``) writes every record as a
@@ -20,9 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillroll.session import scratch_dir
+from tillroll.session import drop_scratch
+from tillroll.operators.runlog import failed_call
 from tillroll.sources.jsonlog import TOOL_CALL_SCHEMA, _run_of_path, unify_tool_calls
 
+COMPACT_EVERY = 100
+
 
 def tool_call_stream(spark: SparkSession, base: str, max_files_per_trigger: int = 1000) -> DataFrame:
     raw = (
@@ -37,7 +44,7 @@ def run_status_updates(calls: DataFrame) -> DataFrame:
     """L5 as a streaming aggregate: failed if any call failed so far."""
     agg = calls.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_calls"),
-        F.count_if(~F.col("success")).alias("n_errors"),
+        F.count_if(failed_call()).alias("n_errors"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("last_call_at"),
     )
@@ -45,12 +52,15 @@ def run_status_updates(calls: DataFrame) -> DataFrame:
 
 
 def start_run_status(spark: SparkSession, base: str, out: str, checkpoint: str | None = None,
-                     available_now: bool = False) -> StreamingQuery:
+                     available_now: bool = False, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what is there and stops."""
-    checkpoint = checkpoint or scratch_dir(spark, "run_status_stream")
+    out = out.rstrip("/")
+    checkpoint = checkpoint or f"{out}/_checkpoint"
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if epoch % compact_every == compact_every - 1:
+            compact_status(spark, out, epoch)
 
     writer = (
         run_status_updates(tool_call_stream(spark, base))
@@ -62,6 +72,18 @@ def start_run_status(spark: SparkSession, base: str, out: str, checkpoint: str |
     return writer.start()
 
 
+def compact_status(spark: SparkSession, out: str, epoch: int) -> None:
+    """Newest state of each run into ``epoch``, the last one written; older epochs go."""
+    out = out.rstrip("/")
+    older = [r["epoch"] for r in spark.read.parquet(out).select("epoch").distinct().collect() if r["epoch"] < epoch]
+    aside = f"{out}/_compacted"
+    latest_status(spark, out).write.mode("overwrite").parquet(aside)
+    spark.read.parquet(aside).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    for e in older:
+        drop_scratch(spark, f"{out}/epoch={e}")
+    drop_scratch(spark, aside)
+
+
 def latest_status(spark: SparkSession, out: str) -> DataFrame:
     """Newest state of each run across the written epochs."""
     hist = spark.read.parquet(out)
