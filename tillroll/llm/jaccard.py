@@ -5,22 +5,22 @@ similarity >= t share a token within the first n - ceil(t n) + 1 of each, in
 whatever global order the tokens are sorted, so a pair must pass this filter
 under several orders. The first order puts tokens of frequent buckets last (a
 count sketch of fixed size over all texts says which) and generates candidates;
-under it, length and place filters apply as well. Candidate pairs must then
-share prefix tokens under the other orders (by hash) too, and pairs that pass
-all are verified exactly on the whole sets.
+under it, length and place filters apply as well. A candidate pair's overlap is
+then bounded by the counts of its tokens in hash buckets (a byte a token is
+moved, not the set), it must share prefix tokens under the other orders (by
+hash) too, and what passes all filters is verified exactly on the whole sets.
 
 Only components are asked for, so no group is expanded into all its pairs:
 
 1. equal sets become one class (a fingerprint grouping), and a task emits a
-   set's prefix once;
-2. in each group of texts that share a prefix token, all are compared with the
-   smallest one (a star);
-3. texts not yet in that one's component are compared with some of its members;
-4. what remains, pairs of different components that share a prefix token and
+   set's prefix once; tokens shared by exactly the same texts are one group;
+2. in each group the texts outside the first component are compared with some
+   of its members, at first with the smallest text (``ROUNDS`` times);
+3. what remains, pairs of different components that share a prefix token and
    were not compared yet, is compared in full; groups are cut in parts of
    ``GROUP_ROWS``, so a task holds two parts whatever the group's size.
 
-Each step is exact, and step 4 leaves no pair out. Sets are compared by 64-bit
+Each step is exact, and step 3 leaves no pair out. Sets are compared by 64-bit
 hashes of their windows.
 
 Defined results: null, empty and blank texts have no tokens (n_shingles 0, own
@@ -48,8 +48,10 @@ from tillroll.llm.vectors import run_pairs
 WORDS, PERCENT = 5, 75
 # The frequency sketch: buckets, and the slices in which it is added up.
 SKETCH_BITS, SLICES = 20, 16
-# Members of its component that a text is compared with in step 3; rows of a part of a group in step 4.
-PIVOTS, GROUP_ROWS = 4, 4096
+# Rounds of step 2, and members that a text is compared with; rows of a part of a group in step 3.
+ROUNDS, PIVOTS, GROUP_ROWS = 2, 4, 4096
+# Rows up to which a group is known by its texts (a larger one is known by its token).
+KNOWN_ROWS = 1 << 16
 # Seeds of the further token orders.
 ORDERS = (0xA5A5A5A5, 0x3C3C3C3C)
 # Bound of a task's memos.
@@ -99,7 +101,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _DESCRIBED = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 _RANKED = pa.schema([("slice", pa.int32()), ("ranks", pa.binary())])
 _TOKENS = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_GROUPS = pa.schema([*_TOKENS, ("pivot", pa.int64())])
+_GROUPS = pa.schema([("grp", pa.int64()), *list(_TOKENS)[1:]])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -152,49 +154,64 @@ def _numpy(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and doc, those of groups of two texts or more, with the first as pivot if it may link."""
-    last = None  # the row before this batch, if it may start a group
-    first = None  # token, doc, n and pos of the running group's first row
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Whole runs of rows that are sorted by ``keys``, some at a time; runs over ``most`` rows may come in pieces."""
+    held: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = _numpy(batch)
-        if last is not None:
-            rows = {k: np.concatenate([[last[k]], v]) for k, v in rows.items()}
-        token, doc = rows["token"], rows["doc"]
-        again = np.zeros(len(token), bool)
-        again[1:] = (token[1:] == token[:-1]) & (doc[1:] == doc[:-1])
-        if again.any():
-            rows = {k: v[~again] for k, v in rows.items()}
-            token, doc = rows["token"], rows["doc"]
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        if first is not None and token[0] == first["token"]:
-            new[0] = False
-        starts = np.flatnonzero(new)
-        head = np.zeros(len(token), np.int64)
-        head[starts] = starts
-        head = np.maximum.accumulate(head)
-        lead = {k: v[head] for k, v in rows.items()}
-        if not new[0]:
-            open_run = np.arange(len(token)) < (starts[0] if len(starts) else len(token))
-            for k in lead:
-                lead[k] = np.where(open_run, first[k], lead[k])
-        alone = new.copy()
-        alone[:-1] &= new[1:]
-        # The last row's group may go on in the next batch: a group's first row waits for it.
-        alone[-1] = False
-        waits = bool(new[-1])
-        emit = ~alone
-        emit[-1] &= not waits
-        linked = (lead["doc"] != doc) & _may_link(rows["n"], rows["pos"], lead["n"], lead["pos"], percent)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[f.name][emit], f.type) for f in _TOKENS] + [pa.array(lead["doc"][emit], pa.int64(), mask=~linked[emit])],
-            schema=_GROUPS,
-        )
-        last = {k: v[-1] for k, v in rows.items()} if waits else None
-        first = {k: v[-1] for k, v in lead.items()} if not waits else None
+        if held is not None:
+            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
+        last = np.ones(len(rows[keys[0]]), bool)
+        for c in keys:
+            last &= rows[c] == rows[c][-1]
+        if most is not None and last.sum() > most:
+            last[:] = False
+        if not last.all():
+            yield {k: v[~last] for k, v in rows.items()}
+        held = {k: v[last] for k, v in rows.items()} if last.any() else None
+    if held is not None:
+        yield held
+
+
+def _starts(rows: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(rows[keys[0]]), bool)
+    new[:1] = True
+    for c in keys:
+        new[1:] |= rows[c][1:] != rows[c][:-1]
+    return np.flatnonzero(new)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and doc, the groups of two texts or more that may link, under a number for their texts.
+
+    Tokens that the same texts share get one number (two different lists of
+    texts with one number would only be compared more than needed).
+    """
+    giants: set[int] = set()
+    for rows in _runs(batches, ["token"], KNOWN_ROWS):
+        again = np.zeros(len(rows["token"]), bool)
+        again[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["doc"][1:] == rows["doc"][:-1]) & (rows["n"][1:] == rows["n"][:-1])
+        rows = {k: v[~again] for k, v in rows.items()}
+        starts = _starts(rows, ["token"])
+        sizes = np.diff(np.append(starts, len(rows["token"])))
+        keep = sizes > 1
+        two = np.flatnonzero(sizes == 2)
+        x, y = starts[two], starts[two] + 1
+        keep[two] = (rows["doc"][x] != rows["doc"][y]) & _may_link(rows["n"][x], rows["pos"][x], rows["n"][y], rows["pos"][y], percent)
+        # Pieces of a group over KNOWN_ROWS rows go by its token.
+        giants.update(rows["token"][starts[sizes > KNOWN_ROWS]].tolist())
+        large = np.isin(rows["token"][starts], list(giants)) if giants else np.zeros(len(starts), bool)
+        keep |= large
+        number = mix(np.add.reduceat(mix(rows["doc"].view(np.uint64)), starts) + sizes.astype(np.uint64))
+        number = np.where(large, rows["token"][starts].view(np.uint64), number).view(np.int64)
+        last = rows["token"][-1]
+        giants &= {int(last)}
+        chosen = np.repeat(keep, sizes)
+        if chosen.any():
+            out = {"grp": np.repeat(number, sizes)} | rows
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name][chosen], f.type) for f in _GROUPS], schema=_GROUPS)
 
 
 def _distinct_pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -212,58 +229,59 @@ def _distinct_pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[
 
 
 def _toward(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of rows sorted by token, comp and order: texts outside a group's first component, with that one's first members."""
-    token, pivots, comp = None, [], None
+    """Of rows sorted by grp, comp and order: texts outside a group's first component, with that one's first members."""
+    held: dict[str, np.ndarray] | None = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = _numpy(batch)
-        cuts = np.flatnonzero(np.diff(rows["token"], prepend=rows["token"][:1] - 1 if batch.num_rows else 0)) if batch.num_rows else []
-        bounds = [*sorted({0, *np.asarray(cuts).tolist()}), batch.num_rows]
-        for at, end in zip(bounds, bounds[1:]):
-            part = {k: v[at:end] for k, v in rows.items()}
-            if end == at:
-                continue
-            if part["token"][0] != token:
-                token, pivots, comp = part["token"][0], [], part["comp"][0]
-            inside = part["comp"] == comp
-            for i in np.flatnonzero(inside)[: PIVOTS - len(pivots)]:
-                pivots.append((part["doc"][i], part["n"][i], part["pos"][i]))
-            out = ~inside
-            if out.any():
-                for doc, n, pos in pivots:
-                    ok = out.copy()
-                    ok[out] = _may_link(part["n"][out], part["pos"][out], np.int32(n), np.int32(pos), percent)
-                    if ok.any():
-                        yield np.full(int(ok.sum()), doc), part["doc"][ok]
+        if held is not None:
+            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
+        starts = _starts(rows, ["grp"])
+        ends = np.append(starts[1:], len(rows["grp"]))
+        run = np.repeat(np.arange(len(starts)), ends - starts)
+        first = starts[run]
+        out = np.flatnonzero(rows["comp"] != rows["comp"][first])
+        for k in range(PIVOTS):
+            pivot = first[out] + k
+            ok = pivot < ends[run[out]]
+            pivot, other = pivot[ok], out[ok]
+            ok = (rows["comp"][pivot] == rows["comp"][first[other]]) & (rows["doc"][pivot] != rows["doc"][other])
+            ok &= _may_link(rows["n"][pivot], rows["pos"][pivot], rows["n"][other], rows["pos"][other], percent)
+            yield rows["doc"][pivot[ok]], rows["doc"][other[ok]]
+        # The last group may go on in the next batch: its first members go along.
+        lead = starts[-1] + np.arange(min(PIVOTS, ends[-1] - starts[-1]))
+        held = {k: v[lead] for k, v in rows.items()}
 
 
 def _remaining(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of rows sorted by token, lo and hi: pairs of different components (and parts, where two meet)."""
-    held: dict[str, np.ndarray] | None = None
-
-    def done(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        run = np.zeros(len(rows["token"]), np.int64)
-        for c in ("token", "lo", "hi"):
-            run[1:] += rows[c][1:] != rows[c][:-1]
-        run = np.cumsum(run > 0) if len(run) else run
-        for i, j in run_pairs(np.searchsorted(run, run, "right")):
+    """Of rows sorted by grp, lo and hi: pairs of different components (and parts, where two meet)."""
+    keys = ["grp", "lo", "hi"]
+    for rows in _runs(batches, keys):
+        starts = _starts(rows, keys)
+        ends = np.append(starts[1:], len(rows["grp"]))
+        for i, j in run_pairs(np.repeat(ends, ends - starts)):
             ok = (rows["comp"][i] != rows["comp"][j]) & ((rows["lo"][i] == rows["hi"][i]) | (rows["own"][i] != rows["own"][j]))
             i, j = i[ok], j[ok]
             ok = _may_link(rows["n"][i], rows["pos"][i], rows["n"][j], rows["pos"][j], percent)
             yield rows["doc"][i[ok]], rows["doc"][j[ok]]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = _numpy(batch)
-        if held is not None:
-            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-        last = np.ones(len(rows["token"]), bool)
-        for c in ("token", "lo", "hi"):
-            last &= rows[c] == rows[c][-1]
-        yield from done({k: v[~last] for k, v in rows.items()})
-        held = {k: v[last] for k, v in rows.items()}
-    if held is not None:
-        yield from done(held)
+
+def bucket_counts(tokens: np.ndarray) -> bytes:
+    """Of a set of n tokens: counts in at least n hash buckets (a power of two; 255 stands for more, too)."""
+    size = 1 << max(6, (max(1, len(tokens)) - 1).bit_length())
+    counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """False only for sets (of sizes n and m) whose overlap, bounded by their bucket counts, is too small."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if a.max() == 255 or b.max() == 255:
+        return True
+    size = min(len(a), len(b))
+    bound = int(np.minimum(a.reshape(-1, size).sum(axis=0), b.reshape(-1, size).sum(axis=0)).sum())
+    return 100 * bound >= percent * (n + m - bound)
 
 
 def similar(x: np.ndarray, y: np.ndarray, orders: list, percent: int) -> bool:
@@ -315,63 +333,80 @@ def near_duplicates(
 
     tokens = known.mapInArrow(lambda b: _prefixes(b, words, percent, shared_ranks.value), _ddl(_TOKENS))
     sorted_tokens = tokens.repartition("token").sortWithinPartitions("token", "doc")
-    groups = scratch.keep(sorted_tokens.mapInArrow(lambda b: _grouped(b, percent), _ddl(_GROUPS)), "groups")
+    grouped = sorted_tokens.mapInArrow(lambda b: _grouped(b, percent), _ddl(_GROUPS))
+    # Of the tokens that the same texts share, the first place of each text: no pair is filtered that one of them lets pass.
+    groups = scratch.keep(grouped.groupBy("grp", "doc", "n").agg(F.min("pos").alias("pos")), "groups")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([len(t) for t in found], pa.int32()),
+                    pa.array([bucket_counts(t) for t in found], pa.binary()), pa.array([t.tobytes() for t in found], pa.binary()),
+                ], names=["doc", "n", "counts", "set"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            ok = pa.array([may_be_similar(x, y, n, m, percent) for _, _, n, x, m, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["a", "b", "ok"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of distinct pairs, on the sets of the texts in them."""
-        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-        chosen, _ = split_by_ids(known, "doc", ids)
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())],
-                        names=["doc", "set"],
-                    )
-
-        found = chosen.select("doc", "text").mapInArrow(sets, "doc bigint, set binary")
-        one = pairs.join(found.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a")
-        two = one.join(found.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-        checked = two.mapInArrow(lambda b: _verified(b, percent), "a bigint, b bigint, linked boolean")
-        return scratch.keep(checked, "checked")
-
-    def with_comp(links: DataFrame) -> DataFrame:
+
+        def joined(pairs: DataFrame, stored: DataFrame, *columns: str) -> DataFrame:
+            """``pairs`` with the columns of either text."""
+            for side in ("a", "b"):
+                chosen, _ = split_by_ids(stored.select("doc", *columns), "doc", pairs.select(side))
+                pairs = pairs.join(chosen.withColumnsRenamed({"doc": side} | {c: c + side for c in columns}), side)
+            return pairs.select("a", "b", *[c + side for side in ("a", "b") for c in columns])
+
+        chosen, _ = split_by_ids(known, "doc", pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+        stored = scratch.keep(chosen.select("doc", "text").mapInArrow(sets, "doc bigint, n int, counts binary, set binary"), "sets")
+        likely = joined(pairs, stored, "n", "counts").mapInArrow(bounded, "a bigint, b bigint, ok boolean")
+        likely = scratch.keep(likely.filter("ok").select("a", "b").distinct(), "likely")
+        checked = joined(likely, stored, "set").mapInArrow(lambda b: _verified(b, percent), "a bigint, b bigint, linked boolean")
+        linked = scratch.keep(checked.filter("linked").select("a", "b"), "linked")
+        scratch.drop(stored)
+        return linked
+
+    def with_comp(links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return groups.withColumn("comp", F.col("doc"))
         comp = components(links).select(F.col("id").alias("doc"), "component_id")
-        placed = groups.select("token", "doc", "n", "pos").join(comp, "doc", "left")
-        return placed.withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
-
-    # Step 2: every text with the smallest of its groups.
-    star = groups.filter("pivot is not null").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-    checked = verify(scratch.keep(star.distinct(), "star"))
-
-    # Step 3: texts outside the first component of a group with some of its members.
-    placed = with_comp(checked.filter("linked").select("a", "b")).withColumn("order", F.xxhash64("doc"))
-    toward = placed.repartition("token").sortWithinPartitions("token", "comp", "order", "doc")
-    more = toward.mapInArrow(lambda b: _distinct_pairs(_toward(b, percent)), _ddl(_PAIRS)).distinct()
-    again = verify(scratch.keep(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "toward"))
-    checked = checked.unionByName(again)
-
-    # Step 4: all pairs of different components that share a prefix token and were not compared.
-    placed = scratch.keep(with_comp(checked.filter("linked").select("a", "b")), "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("rows"))
-    mixed = mixed.filter("least <> most").select("token", F.ceil(F.col("rows") / GROUP_ROWS).cast("int").alias("parts"))
-    split = placed.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+        return groups.join(comp, "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
+
+    # Step 2: texts outside the first component of a group with some of its members.
+    links = compared = None
+    for _ in range(ROUNDS):
+        placed = with_comp(links).withColumn("order", F.xxhash64("doc"))
+        toward = placed.repartition("grp").sortWithinPartitions("grp", "comp", "order", "doc")
+        pairs = toward.mapInArrow(lambda b: _distinct_pairs(_toward(b, percent)), _ddl(_PAIRS)).distinct()
+        pairs = scratch.keep(pairs.join(compared, ["a", "b"], "left_anti") if compared else pairs, "pairs")
+        found = verify(pairs)
+        links = links.unionByName(found) if links else found
+        compared = compared.unionByName(pairs) if compared else pairs
+
+    # Step 3: all pairs of different components that share a prefix token and were not compared.
+    placed = scratch.keep(with_comp(links), "placed")
+    mixed = placed.groupBy("grp").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("rows"))
+    mixed = mixed.filter("least <> most").select("grp", F.ceil(F.col("rows") / GROUP_ROWS).cast("int").alias("parts"))
+    split = placed.join(mixed, "grp").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     runs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "n", "pos", "comp"
+        "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "n", "pos", "comp"
     )
-    keys = ["token", "lo", "hi"]
+    keys = ["grp", "lo", "hi"]
     left = runs.repartition(*keys).sortWithinPartitions(*keys)
     rest = left.mapInArrow(lambda b: _distinct_pairs(_remaining(b, percent)), _ddl(_PAIRS)).distinct()
-    final = verify(scratch.keep(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest"))
+    links = links.unionByName(verify(scratch.keep(rest.join(compared, ["a", "b"], "left_anti"), "rest")))
 
     # Equal sets are linked by their class's smallest id.
     classes = described.filter("slice is null and doc is not null and n > 0")
     least = classes.groupBy("f1", "f2").agg(F.min("doc").alias("rep"))
     equal = classes.join(least, ["f1", "f2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    links = checked.unionByName(final).filter("linked").select("a", "b").unionByName(equal)
-    comp = components(links).withColumnRenamed("id", "doc")
+    comp = components(links.unionByName(equal)).withColumnRenamed("id", "doc")
     rows = described.filter("slice is null").select("doc", "n")
     return rows.join(comp, "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")
