@@ -1,0 +1,77 @@
+"""Registered queries against their SQL, and the pipeline against brute force."""
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from test_llm_texts import base_spans, brute_near, brute_repeats
+from tokenizers import Tokenizer
+
+import __spark_entry__ as E
+import corpus_pipeline
+from oracle_compare import duck
+from tillroll.llm import queries as Q
+from tillroll.llm.oracle_sql import ORACLE
+
+
+def test_every_operator_is_registered_once():
+    names = [k for k in E.queries() if k.startswith("op")]
+    assert sorted(int(k[2:].split("_")[0]) for k in names if k[2].isdigit()) == list(range(1, 11))
+    assert E.queries()["pipeline"] is corpus_pipeline.run
+    assert set(ORACLE) <= set(E.oracle_sql())
+
+
+@pytest.mark.parametrize("key", sorted(ORACLE))
+def test_query_equals_sql(spark, small_dir, key):
+    got = Q.QUERIES[key](spark, small_dir)
+    want = duck(small_dir).sql(ORACLE[key])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = [tuple(r[c] for c in columns) for r in got.collect()]
+    order = [want.columns.index(c) for c in columns]
+    assert sorted(rows, key=repr) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=repr)
+
+
+def test_pipeline_stages(spark, small_dir, tmp_path):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    columns = docs.columns
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small_dir)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        rows[name] = docs.toPandas()
+        if name != "best_fit_packing":
+            assert docs.columns == columns
+    all_docs = pd.read_parquet(f"{small_dir}/documents.parquet")
+    marks = pd.read_parquet(f"{small_dir}/labels.parquet").set_index("doc_id").quality
+    kept = set(rows["quality_classifier"].doc_id)
+    good = [d for d in all_docs.doc_id if marks.get(d) == 1]
+    assert np.mean([d in kept for d in good]) > 0.98 and len(kept) < len(all_docs)
+
+    before = rows["quality_classifier"]
+    near = brute_near(list(zip(before.doc_id, before.text)))
+    assert sorted(rows["ngram_jaccard"].doc_id) == sorted(d for d, (_, c) in near.items() if d == c)
+
+    before = rows["ngram_jaccard"]
+    left = brute_repeats(list(zip(before.doc_id, before.text)), 100)
+    after = rows["suffix_dedup"].set_index("doc_id")
+    assert {d: after.text[d] for d in left} == {d: x[3].decode("utf-8", "ignore") for d, x in left.items()}
+    assert all(after.n_chars[d] == len(after.text[d]) for d in left)
+
+    masked = rows["pii"].set_index("doc_id")
+    for d, text in after.text.items():
+        if not base_spans(text):
+            assert masked.text[d] == text
+        assert not [s for s in base_spans(masked.text[d]) if s[3] != "phone"]
+
+    library = Tokenizer.from_file(public_tokenizers.path(Q.WORD_BPE))
+    want = sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for t in masked.text)
+    packed = rows["best_fit_packing"]
+    assert packed.length.sum() == want and packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_run_gives_the_last_stage(spark, small_dir):
+    got = corpus_pipeline.run(spark, small_dir)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert got.count() > 0

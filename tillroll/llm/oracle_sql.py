@@ -1,5 +1,87 @@
 """DuckDB SQL of the queries that SQL can express (same column names)."""
 
+from tillroll.llm.licenses import TEMPLATES, Template
+
+_OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([1 FOR x IN embedding IF x <> 0]) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+), r(id, other) AS (
+  SELECT a, b FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a
+), c AS (SELECT id, min(other) AS least FROM r GROUP BY id
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.id = vec_id
+"""
+
+_OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM w
+), k AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r(id, other) AS (
+  SELECT a, b FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a
+), c AS (SELECT id, min(other) AS least FROM r GROUP BY id
+)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(c.least, doc_id)) AS component_id
+FROM s LEFT JOIN c ON c.id = doc_id
+"""
+
+
+def _license_sql(templates: list[Template]) -> str:
+    """The license scan by plain search of every phrase in the words of a text."""
+
+    def starts(t: Template) -> str:
+        n = len(t.phrase.split())
+        return f"(CASE WHEN contains(j, ' {t.phrase} ') THEN [i FOR i IN range(1, len(w) + 1) IF array_to_string(w[i:i + {n - 1}], ' ') = '{t.phrase}'] ELSE [] END)"
+
+    phrases = list(dict.fromkeys(t.phrase for t in templates))
+    column = {p: f"p{i}" for i, p in enumerate(phrases)}
+    found = ", ".join(f"{starts(Template('', p))} AS {column[p]}" for p in phrases)
+
+    def share(t: Template) -> str:
+        full, phrase = t.text.split(), t.phrase.split()
+        lead = next(i for i in range(len(full)) if full[i : i + len(phrase)] == phrase)
+        same = " + ".join(f"CASE WHEN s + {i - lead} >= 1 AND w[s + {i - lead}] = '{x}' THEN 1 ELSE 0 END" for i, x in enumerate(full))
+        return f"coalesce(list_max([{same} FOR s IN {column[t.phrase]}]), 0) / {len(full)}"
+
+    def labels(chosen: list[Template]) -> str:
+        named = ", ".join(f"CASE WHEN len({column[t.phrase]}) > 0 THEN '{t.label}' END" for t in chosen)
+        return f"array_to_string(list_sort(list_distinct([{named}])), ',')"
+
+    base = [t for t in templates if t.base]
+    places = " || ".join(column[t.phrase] for t in base)
+    score = ", ".join([share(t) for t in templates if not t.base] + [f"CASE WHEN len({places}) > 0 THEN 0.5 ELSE 0.0 END"])
+    return rf"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), u AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS j FROM t
+), f AS (SELECT doc_id, w, {found} FROM u
+)
+SELECT doc_id, len(w) AS n_words, len({places}) AS n_base, list_min({places}) - 1 AS first_word, list_max({places}) - 1 AS last_word,
+  {labels(base)} AS base_labels, {labels(templates)} AS labels, CAST(greatest(0.0, {score}) AS DOUBLE) AS score
+FROM f
+"""
+
+
 _OP8 = """
 WITH v AS (
   SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
@@ -38,6 +120,9 @@ FROM e GROUP BY conv_id
 """
 
 ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": _OP2,
+    "op5_license_scan": _license_sql(TEMPLATES),
+    "op7_ngram_jaccard": _OP7,
     "op8_exact_top_k": _OP8,
     "op10_chat_format": _OP10,
 }
