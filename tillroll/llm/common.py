@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -120,3 +121,8 @@ class Scratch:
 
     def drop(self, kept: DataFrame) -> None:
         drop_scratch(self.spark, kept._scratch_path)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished writes now (it does once the driver collects garbage)."""
+        gc.collect()
+        self.spark._jvm.System.gc()

@@ -20,7 +20,9 @@ Only components are asked for, so no group is expanded into all its pairs:
    were not compared yet, is compared in full; groups are cut in parts of
    ``GROUP_ROWS``, so a task holds two parts whatever the group's size.
 
-Each step is exact, and step 3 leaves no pair out. Sets are compared by 64-bit
+Of the candidate pairs between two components one is verified first; the
+others wait, and are verified only if the components are still apart at the
+end. Each step is exact, and step 3 leaves no pair out. Sets are compared by 64-bit
 hashes of their windows.
 
 Defined results: null, empty and blank texts have no tokens (n_shingles 0, own
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import Scratch, split_by_ids
+from tillroll.llm.common import Scratch, slices, split_by_ids
 from tillroll.llm.components import components
 from tillroll.llm.shingles import mix, shingle_set
 from tillroll.llm.vectors import run_pairs
@@ -268,8 +270,8 @@ def _remaining(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tupl
 
 
 def bucket_counts(tokens: np.ndarray) -> bytes:
-    """Of a set of n tokens: counts in at least n hash buckets (a power of two; 255 stands for more, too)."""
-    size = 1 << max(6, (max(1, len(tokens)) - 1).bit_length())
+    """Of a set of n tokens: counts in more than n / 2 hash buckets (a power of two; 255 stands for more, too)."""
+    size = 1 << max(6, len(tokens).bit_length() - 1)
     counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -302,14 +304,14 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
     def firsts(raw: bytes) -> list[np.ndarray]:
         if raw not in memo:
-            if len(memo) >= 256:
+            if len(memo) >= 64:
                 memo.clear()
             tokens = np.frombuffer(raw, np.uint64)
             p = prefix_size(len(tokens), percent)
             memo[raw] = [np.partition(mix(tokens ^ np.uint64(s)), p - 1)[:p] for s in ORDERS] if p else []
         return memo[raw]
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         a, b, sa, sb = (batch.column(i).to_pylist() for i in range(4))
         ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), list(zip(firsts(x), firsts(y))), percent) for x, y in zip(sa, sb)]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
@@ -325,9 +327,9 @@ def near_duplicates(
     known = docs.filter("doc is not null")
 
     described = scratch.keep(docs.mapInArrow(lambda b: _described(b, words), _ddl(_DESCRIBED)), "described")
-    slices = described.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
+    sketches = described.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
     ranks = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-    for row in slices.mapInArrow(_added, _ddl(_RANKED)).collect():  # a sketch of fixed size: SLICES short rows
+    for row in sketches.mapInArrow(_added, _ddl(_RANKED)).collect():  # a sketch of fixed size: SLICES short rows
         ranks[row["slice"]] = np.frombuffer(row["ranks"], np.uint8)
     shared_ranks = spark.sparkContext.broadcast(ranks.ravel())
 
@@ -336,61 +338,92 @@ def near_duplicates(
     grouped = sorted_tokens.mapInArrow(lambda b: _grouped(b, percent), _ddl(_GROUPS))
     # Of the tokens that the same texts share, the first place of each text: no pair is filtered that one of them lets pass.
     groups = scratch.keep(grouped.groupBy("grp", "doc", "n").agg(F.min("pos").alias("pos")), "groups")
+    scratch.release()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for whole in batches for part in slices(whole)):
+            found = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), pa.array([len(t) for t in found], pa.int32()), pa.array([bucket_counts(t) for t in found], pa.binary()),
+            ], names=["doc", "n", "counts"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(t) for t in found], pa.int32()),
-                    pa.array([bucket_counts(t) for t in found], pa.binary()), pa.array([t.tobytes() for t in found], pa.binary()),
-                ], names=["doc", "n", "counts", "set"])
+        for part in (part for whole in batches for part in slices(whole)):
+            found = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "set"])
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             ok = pa.array([may_be_similar(x, y, n, m, percent) for _, _, n, x, m, y in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok], names=["a", "b", "ok"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) of distinct pairs, on the sets of the texts in them."""
-
-        def joined(pairs: DataFrame, stored: DataFrame, *columns: str) -> DataFrame:
-            """``pairs`` with the columns of either text."""
-            for side in ("a", "b"):
-                chosen, _ = split_by_ids(stored.select("doc", *columns), "doc", pairs.select(side))
-                pairs = pairs.join(chosen.withColumnsRenamed({"doc": side} | {c: c + side for c in columns}), side)
-            return pairs.select("a", "b", *[c + side for side in ("a", "b") for c in columns])
-
+    def joined(pairs: DataFrame, work, fields: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """``pairs`` with what ``work`` makes of either text, and the table it was written to."""
         chosen, _ = split_by_ids(known, "doc", pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
-        stored = scratch.keep(chosen.select("doc", "text").mapInArrow(sets, "doc bigint, n int, counts binary, set binary"), "sets")
-        likely = joined(pairs, stored, "n", "counts").mapInArrow(bounded, "a bigint, b bigint, ok boolean")
-        likely = scratch.keep(likely.filter("ok").select("a", "b").distinct(), "likely")
-        checked = joined(likely, stored, "set").mapInArrow(lambda b: _verified(b, percent), "a bigint, b bigint, linked boolean")
+        stored = scratch.keep(chosen.select("doc", "text").mapInArrow(work, f"doc bigint, {fields}"), "texts")
+        for side in ("a", "b"):
+            own, _ = split_by_ids(stored, "doc", pairs.select(side))
+            pairs = pairs.join(own.withColumnsRenamed({"doc": side} | {c: c + side for c in columns}), side)
+        return pairs.select("a", "b", *[c + side for side in ("a", "b") for c in columns]), stored
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs, those whose overlap may be large enough."""
+        both, stored = joined(pairs, counted, "n int, counts binary", "n", "counts")
+        kept = both.mapInArrow(bounded, "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
+        kept = scratch.keep(kept, "likely")
+        scratch.drop(stored)
+        return kept
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The linked ones of distinct pairs."""
+        both, stored = joined(pairs, sets, "set binary", "set")
+        checked = both.mapInArrow(lambda b: _verified(b, percent), "a bigint, b bigint, linked boolean")
         linked = scratch.keep(checked.filter("linked").select("a", "b"), "linked")
         scratch.drop(stored)
+        scratch.release()
         return linked
 
-    def with_comp(links: DataFrame | None) -> DataFrame:
-        if links is None:
+    def settle(waiting: DataFrame, comp: DataFrame | None, each: bool) -> tuple[DataFrame, DataFrame]:
+        """Links among pairs of different components, and the pairs left over.
+
+        With ``each``, of two components' pairs only one is verified: if it is
+        a link, the others are not needed.
+        """
+        between = waiting.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+        if comp is not None:
+            for side in ("a", "b"):
+                own = comp.select(F.col("id").alias(side), F.col("component_id").alias("_c"))
+                between = between.join(own, side, "left").withColumn("c" + side, F.coalesce("_c", side)).drop("_c")
+        between = scratch.keep(between.filter("ca <> cb").select("a", "b", "ca", "cb"), "between")
+        chosen = between.select("a", "b")
+        if each:
+            ends = (F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
+            chosen = scratch.keep(between.groupBy(*ends).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "chosen")
+        left = scratch.keep(between.select("a", "b").join(chosen, ["a", "b"], "left_anti"), "left")
+        return verify(chosen), left
+
+    def with_comp(comp: DataFrame | None) -> DataFrame:
+        if comp is None:
             return groups.withColumn("comp", F.col("doc"))
-        comp = components(links).select(F.col("id").alias("doc"), "component_id")
-        return groups.join(comp, "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
+        own = comp.select(F.col("id").alias("doc"), "component_id")
+        return groups.join(own, "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
 
     # Step 2: texts outside the first component of a group with some of its members.
-    links = compared = None
+    links = compared = waiting = comp = None
     for _ in range(ROUNDS):
-        placed = with_comp(links).withColumn("order", F.xxhash64("doc"))
+        placed = with_comp(comp).withColumn("order", F.xxhash64("doc"))
         toward = placed.repartition("grp").sortWithinPartitions("grp", "comp", "order", "doc")
         pairs = toward.mapInArrow(lambda b: _distinct_pairs(_toward(b, percent)), _ddl(_PAIRS)).distinct()
         pairs = scratch.keep(pairs.join(compared, ["a", "b"], "left_anti") if compared else pairs, "pairs")
-        found = verify(pairs)
+        fresh = likely(pairs)
+        found, waiting = settle(waiting.unionByName(fresh) if waiting else fresh, comp, each=True)
         links = links.unionByName(found) if links else found
         compared = compared.unionByName(pairs) if compared else pairs
+        comp = scratch.keep(components(links), "comp")
 
     # Step 3: all pairs of different components that share a prefix token and were not compared.
-    placed = scratch.keep(with_comp(links), "placed")
+    placed = scratch.keep(with_comp(comp), "placed")
     mixed = placed.groupBy("grp").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("rows"))
     mixed = mixed.filter("least <> most").select("grp", F.ceil(F.col("rows") / GROUP_ROWS).cast("int").alias("parts"))
     split = placed.join(mixed, "grp").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
@@ -400,7 +433,11 @@ def near_duplicates(
     keys = ["grp", "lo", "hi"]
     left = runs.repartition(*keys).sortWithinPartitions(*keys)
     rest = left.mapInArrow(lambda b: _distinct_pairs(_remaining(b, percent)), _ddl(_PAIRS)).distinct()
-    links = links.unionByName(verify(scratch.keep(rest.join(compared, ["a", "b"], "left_anti"), "rest")))
+    waiting = waiting.unionByName(likely(scratch.keep(rest.join(compared, ["a", "b"], "left_anti"), "rest")))
+    found, waiting = settle(waiting, comp, each=True)
+    links = links.unionByName(found)
+    found, _ = settle(waiting, scratch.keep(components(links), "comp"), each=False)
+    links = links.unionByName(found)
 
     # Equal sets are linked by their class's smallest id.
     classes = described.filter("slice is null and doc is not null and n > 0")
