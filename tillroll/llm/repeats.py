@@ -236,7 +236,13 @@ def repeated_runs(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
         return scratch.keep(ordered.mapInArrow(_classes, _CLASSED_DDL), name)
 
     long_enough = texts.filter(F.octet_length("data") >= threshold).select("doc", "th", "data")
-    passes = [one_pass(long_enough.mapInArrow(lambda b: _first_pass(b, threshold), _ROWS_DDL), "first")]
+    # Whole copies of a text with a smaller id go without a sort: only that one's suffixes enter it.
+    named = long_enough.select("doc", "th", F.md5("data").alias("md5"), F.octet_length("data").cast("bigint").alias("end"))
+    firsts = named.groupBy("th", "md5").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    copies = scratch.keep(named.join(firsts, ["th", "md5"]).filter("doc > first").select("doc", "th", "end").distinct(), "copies")
+    touched, rest = split_by_ids(long_enough, "doc", copies.select("doc"))
+    single = touched.join(copies.select("doc", "th"), ["doc", "th"], "left_anti").unionByName(rest)
+    passes = [one_pass(single.mapInArrow(lambda b: _first_pass(b, threshold), _ROWS_DDL), "first")]
     for width in (RUN, 1):
         # What goes on of a text is at most one row for each of its anchors or suffixes.
         runs = passes[-1].filter("goes_on").groupBy("doc", "th").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("runs"))
@@ -247,7 +253,8 @@ def repeated_runs(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     found = passes[0].filter("not goes_on")
     for p in passes[1:]:
         found = found.unionByName(p.filter("not goes_on"))
-    return found.select("doc", "th", F.col("lo").alias("start"), (F.col("hi") + threshold).alias("end"))
+    runs = found.select("doc", "th", F.col("lo").alias("start"), (F.col("hi") + threshold).alias("end"))
+    return runs.unionByName(copies.select("doc", "th", F.lit(0).cast("bigint").alias("start"), "end"))
 
 
 def cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
