@@ -83,6 +83,24 @@ def test_added_kinds_and_context(spark):
     assert got == {1: [("iban", 0.8)], 2: [], 3: [("ssn", 0.6)], 4: [], 5: [("card", 1.0)]}
 
 
+DE, GB = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+
+
+IBANS = [
+    (f"{DE} Please call", [DE]), (f"{DE} I agree", [DE]), (f"{GB} BIC NWBKGB2L", [GB]), (f"é {DE} A1 B2 C3 D4 E5 F6 G7 H8x", [DE]),
+    ("DE89370400440532013000 EUR 50", ["DE89370400440532013000"]), ("DE89370400440532013000 12 items", ["DE89370400440532013000"]),
+    (f"IBAN {DE} {GB} BIC", [DE, GB]), (f"REF1 AB12 {DE} OK", [DE]), (f"{DE}.{GB}, {DE}", [DE, GB, DE]), (f"{DE}\n{GB}", [DE, GB]),
+    (f"{DE}x", []), (f"{DE}9", []), (f"x{DE}", []), ("DE89 3704 0044 0532 0130 01 EUR", []), ("DE89 3704", []),
+    ("ZZ66 0000 0000 0000 0000 Please", ["ZZ66 0000 0000 0000 0000"]), ("NO93 8601 1117 947", ["NO93 8601 1117 947"]),
+    ("MT84 MALT 0110 0001 2345 MTLC AST0 01S AND MORE", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]), (f"{GB} " * 200, [GB] * 200),
+]
+
+
+def test_ibans_end_where_they_are_valid(spark):
+    got = pii.find(spark.createDataFrame([(t,) for t, _ in IBANS], "text string").coalesce(1)).collect()
+    assert [(r.text, [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"]) for r in got] == IBANS
+
+
 def test_mask_replaces_spans(spark):
     rows = [(1, "é a@b.cd x +1 (234) 555-1234, 1.2.3.4"), (2, None), (3, "clean"), (4, "4111111111111111")]
     got = {r.doc_id: r.text for r in pii.mask(pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}

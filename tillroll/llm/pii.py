@@ -3,13 +3,18 @@
 Native: every step is a DataFrame expression. A kind's pattern cuts the text
 into what lies between the matches (``split``) and the matches themselves
 (``regexp_extract_all``); running sums of their lengths are the places, in
-code points. Validators: Luhn for cards, mod 97 for IBANs, ranges for IP
-parts, digit counts for phones. Words near a span raise its score; spans that
+code points. Validators: Luhn for cards, length and mod 97 for IBANs, ranges for
+IP parts, digit counts for phones. Words near a span raise its score; spans that
 reach ``THRESHOLD`` are reported, and the base kinds always do.
 
 The patterns are written so that the regex engine runs in linear time and
 without recursion on any text (possessive loops; a match starts where a run
 starts or the match before it ended), with the same matches as the plain ones.
+The IBAN pattern matches only a head (country and check digits) and looks ahead
+at the run of capitals and digits that follows, at most 34 and one more: what
+follows an IBAN may look like a part of it. Every end of a word in the run is
+tried: at the country's length in ``IBAN_LENGTHS``, or for a country that is not
+listed the longest of 15 to 34 that passes mod 97. IBANs may so overlap.
 
 Defined results: a null text is the empty text (no spans); rows are
 independent, so ties, repeated rows and empty tables need no rule; other
@@ -29,9 +34,22 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+# Kinds whose pattern matches a head of so many characters; its first group is the run to cut the span from.
+HEADS = {"iban": 4}
+# Characters of an IBAN by country, as in the ISO 13616 registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 BASE = ("email", "ip", "card", "phone")
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT = {
@@ -68,6 +86,21 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(step(acc, c))) == 1
 
 
+def _iban(run: Column) -> Column:
+    """The IBAN that a run starts with: its longest part up to the end of a word that is valid, or null."""
+    lengths = F.create_map(*[F.lit(x) for item in IBAN_LENGTHS.items() for x in item])
+    words = F.split(run, r"\x20")
+    parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+
+    def valid(part: Column) -> Column:
+        n = F.length(F.regexp_replace(part, r"\x20", ""))
+        listed = F.coalesce(F.try_element_at(lengths, F.substr(part, F.lit(1), F.lit(2))), n)
+        # A small letter, or a 35th character, stands behind a run that ends inside a word.
+        return n.between(15, 34) & (n == listed) & ~part.rlike("[a-z]") & mod97(part)
+
+    return F.get(F.filter(parts, valid), F.lit(0))
+
+
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -80,7 +113,7 @@ def _valid(kind: str, found: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(found)).between(10, 15)
     if kind == "iban":
-        return F.length(F.regexp_replace(found, r"\x20", "")).between(15, 34) & mod97(found)
+        return found.isNotNull()
     return F.lit(True)
 
 
@@ -102,12 +135,12 @@ def find(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     def col(kind: str, part: str) -> Column:
         return F.col(f"_pii_{kind}_{part}")
 
-    df = df.withColumns({f"_pii_{k}_found": F.regexp_extract_all(body, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()})
+    df = df.withColumns({f"_pii_{k}_found": F.regexp_extract_all(body, F.lit(p), F.lit(int(k in HEADS))) for k, p in PATTERNS.items()})
     steps = {}
     for k, p in PATTERNS.items():
         n = F.size(col(k, "found"))
         gaps = F.transform(F.split(body, p, -1), F.length)
-        widths = F.transform(col(k, "found"), F.length)
+        widths = F.array_repeat(F.lit(HEADS[k]), n) if k in HEADS else F.transform(col(k, "found"), F.length)
         before = F.concat(F.array(F.lit(0)), F.slice(widths, F.lit(1), F.greatest(n - 1, F.lit(0))))
         steps[f"_pii_{k}_step"] = F.when(n > 0, F.zip_with(F.slice(gaps, F.lit(1), n), before, _plus)).otherwise(F.array().cast("array<int>"))
     df = df.withColumns(steps)
@@ -145,7 +178,8 @@ def find(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
                 score.alias("score"),
             )
 
-        placed = F.zip_with(starts(k), col(k, "found"), lambda s, m: F.struct(s.alias("start"), m.alias("found")))
+        cut = _iban if k == "iban" else (lambda m: m)
+        placed = F.zip_with(starts(k), col(k, "found"), lambda s, m: F.struct(s.alias("start"), cut(m).alias("found")))
         valid = F.filter(placed, lambda x: _valid(k, x["found"]))
         none = F.array().cast(f"array<{_SPAN}>")
         return F.when(F.size(col(k, "found")) > 0, F.transform(valid, scored).cast(f"array<{_SPAN}>")).otherwise(none)
