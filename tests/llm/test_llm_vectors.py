@@ -1,5 +1,7 @@
 """Near-duplicate vectors and top-k search against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -124,3 +126,29 @@ def test_top_k_equals_brute_force(spark, large):
                 want[i] = [(n, j, -s) for n, (s, j) in enumerate(scores[:5], 1)]
     assert {k: sorted(v) for k, v in got.items()} == want
     assert topk.top_k(ask.limit(0), df, k=5).collect() == []
+
+
+def test_top_k_deals_the_vectors_of_a_query_block_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 2)
+    monkeypatch.setattr(topk, "PART_BLOCKS", 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rng = np.random.default_rng(6)
+        rows = [(i, (rng.integers(-3, 4, 8) / 2).tolist()) for i in range(120)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+        best = topk.top_k(df.filter("vec_id < 4"), df, k=5)
+        got = sorted(tuple(r) for r in best.collect())
+        plan = best._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    whole = [np.floor(np.array(v) * 256).astype(np.int64) for _, v in rows]
+    want = []
+    for i in range(4):
+        scores = sorted((-int(whole[i] @ w), j) for j, w in enumerate(whole) if j != i)[:5]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(scores, 1)]
+    assert got == sorted(want)
+    # The vectors' exchange is by query block and part, and no join of the vectors is by the query block alone.
+    sides = re.findall(r"(?:Join|JoinSkew\w*)(?:\(\w+=\w+\))? \[([^\]]*)\], \[([^\]]*)\]", plan.split("== Initial Plan ==")[-1])
+    keys = [re.sub(r"#\d+L?", "", left) for left, _ in sides]
+    assert keys.count("qb, part") == 1 and keys.count("qb") == 1

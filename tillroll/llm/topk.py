@@ -9,7 +9,9 @@ A block adds to a histogram only the bins that its own k best reach: the
 global k-th best score can't lie below them. So a round moves at most k rows
 for a query and block, and a search runs in about ``log(range) / log(BINS)``
 rounds whatever the number of vectors. Queries and vectors meet as blocks by
-an equi-join on the query block's number; neither side is broadcast.
+an equi-join on the query block's number and a part of the vector blocks
+(``PART_BLOCKS`` of them on average, dealt by a hash), so that a key's rows do
+not grow with the table; neither side has to be broadcast.
 
 Defined results: vectors that are null, or hold null, NaN or infinite
 components, take no part; vectors of another length than the query's are no
@@ -34,6 +36,8 @@ SCALE = 256
 BINS = 256
 # Rows of a block of queries and of a block of vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+# Vector blocks that meet a query block under one join key, on average.
+PART_BLOCKS = 8
 
 
 def usable(vector: Column) -> Column:
@@ -98,13 +102,20 @@ def top_k(
     while width * BINS < 2 * bound:
         width *= BINS
 
-    # Each vector block is sent to every query block of its length; the join key is the query block.
+    # Each vector block is sent to every query block of its length; the join key is the query block and the vectors' part.
     # The list of blocks that is broadcast has one short row for 1024 queries.
+    parts = 1 + v.count() // PART_BLOCKS
     named = q.select("dim", "qb").withColumnRenamed("qb", "to")
     sent = v.join(F.broadcast(named), "dim").select(
-        F.col("to").alias("qb"), "dim", F.col("ids").alias("v_ids"), F.col("vectors").alias("v_vec")
-    )
-    pairs = sent.join(q.select("qb", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vec")), "qb")
+        F.col("to").alias("qb"), F.pmod(F.xxhash64("vb"), F.lit(parts)).alias("part"), "dim",
+        F.col("ids").alias("v_ids"), F.col("vectors").alias("v_vec"),
+    )
+
+    def pairs(floors: DataFrame) -> DataFrame:
+        """Every block pair with the query block's floors, which are joined before a query block is copied for each part."""
+        asking = q.select("qb", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vec")).join(floors, "qb")
+        copied = asking.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+        return sent.join(copied, ["qb", "part"])
 
     # floors: per query block the lowest score that can still be among the k best, and the bin above which to count.
     floors = q.select("qb", F.lit(None).cast("binary").alias("floor"), F.lit(None).cast("binary").alias("above"))
@@ -127,7 +138,7 @@ def top_k(
                     yield out.groupby(["qb", "place", "bin"], as_index=False).size().rename(columns={"size": "n"})
 
         counts = (
-            pairs.join(floors, "qb").mapInPandas(count, "qb bigint, place int, bin bigint, n bigint")
+            pairs(floors).mapInPandas(count, "qb bigint, place int, bin bigint, n bigint")
             .groupBy("qb", "place", "bin").agg(F.sum("n").alias("n"))
         )
 
@@ -161,7 +172,7 @@ def top_k(
                 found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
                 yield found.groupby("query_id").head(k)[["query_id", "vec_id", "score"]]
 
-    kept = pairs.join(floors, "qb").mapInPandas(keep, "query_id bigint, vec_id bigint, score bigint")
+    kept = pairs(floors).mapInPandas(keep, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
