@@ -303,6 +303,21 @@ def test_groups_hold_every_shared_token(step, known, monkeypatch):
     assert got == want if known > 100 else all(any(w <= g for g in got) for w in want)
 
 
+@pytest.mark.parametrize("step, copies", [(4, 6), (5, 7), (9, 12), (100, 3)])
+def test_groups_hold_a_token_whose_rows_repeat(step, copies, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "KNOWN_ROWS", 8)
+    table = [(1, 3, 10, 0), (1, 4, 10, 0)] + [(7, d, 10, 0) for d in range(6) for _ in range(copies)] + [(9, 3, 10, 0), (9, 4, 10, 0)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*table), jaccard._TOKENS)], schema=jaccard._TOKENS)
+    parts = [whole.slice(i, step) for i in range(0, whole.num_rows, step)]
+    groups = collections.defaultdict(set)
+    for batch in jaccard._grouped(iter(parts), 75):
+        for r in batch.to_pylist():
+            groups[r["grp"]].add(r["doc"])
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3, 4, 5], [3, 4]]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_bucket_counts_never_drop_similar_sets(seed):
     rng = np.random.default_rng(seed)

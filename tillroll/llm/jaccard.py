@@ -193,6 +193,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     """
     giants: set[int] = set()
     for rows in _runs(batches, ["token"], KNOWN_ROWS):
+        # Runs over KNOWN_ROWS rows, which may come in pieces, go by their token (counted with the repeats, as the pieces are).
+        starts = _starts(rows, ["token"])
+        giants.update(rows["token"][starts[np.diff(np.append(starts, len(rows["token"]))) > KNOWN_ROWS]].tolist())
         again = np.zeros(len(rows["token"]), bool)
         again[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["doc"][1:] == rows["doc"][:-1]) & (rows["n"][1:] == rows["n"][:-1])
         rows = {k: v[~again] for k, v in rows.items()}
@@ -202,8 +205,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         two = np.flatnonzero(sizes == 2)
         x, y = starts[two], starts[two] + 1
         keep[two] = (rows["doc"][x] != rows["doc"][y]) & _may_link(rows["n"][x], rows["pos"][x], rows["n"][y], rows["pos"][y], percent)
-        # Pieces of a group over KNOWN_ROWS rows go by its token.
-        giants.update(rows["token"][starts[sizes > KNOWN_ROWS]].tolist())
         large = np.isin(rows["token"][starts], list(giants)) if giants else np.zeros(len(starts), bool)
         keep |= large
         number = mix(np.add.reduceat(mix(rows["doc"].view(np.uint64)), starts) + sizes.astype(np.uint64))
