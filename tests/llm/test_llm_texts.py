@@ -318,6 +318,13 @@ def test_groups_hold_a_token_whose_rows_repeat(step, copies, monkeypatch):
     assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3, 4, 5], [3, 4]]
 
 
+@pytest.mark.parametrize("n", [100, 12_300_000, 21_500_000, 2**31 - 1])
+def test_long_texts_pass_the_length_and_place_filter(n):
+    n1, n2, first, last = (np.array([x], np.int32) for x in (n, n - 1, 0, n - 2))
+    assert jaccard._may_link(n1, first, n2, first, 75).all() and jaccard._may_link(n1, first, n1, first, 75).all()
+    assert not jaccard._may_link(n1, last, n2, last, 75).any() and not jaccard._may_link(n1, first, n2 // 2, first, 75).any()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_bucket_counts_never_drop_similar_sets(seed):
     rng = np.random.default_rng(seed)

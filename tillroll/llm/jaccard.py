@@ -147,9 +147,10 @@ def _token_rows(held: list) -> pa.RecordBatch:
 
 def _may_link(n1, p1, n2, p2, percent: int):
     """Length and place filter of two texts that share a token at places p1 and p2."""
+    n1, p1, n2, p2 = (x.astype(np.int64) for x in (n1, p1, n2, p2))  # percents of sizes can pass 2**31
     shared = 1 + np.minimum(n1 - 1 - p1, n2 - 1 - p2)
     # Jaccard >= t needs an overlap of t / (1 + t) of both sizes together.
-    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * shared >= percent * (n1.astype(np.int64) + n2))
+    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * shared >= percent * (n1 + n2))
 
 
 def _numpy(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
