@@ -69,6 +69,27 @@ def test_failed_run_leaves_its_record(spark, body, word):
     assert [d.decision for d in read_decisions(spark, f"{out}/runs").collect()] == ["failure_data_engineer"]
 
 
+@pytest.fixture(scope="module")
+def split_run(spark):
+    """The result of a run on one CSV file that is many splits long, and its folder of runs."""
+    out = tempfile.mkdtemp(prefix="tillroll-flow-", dir="/tmp")
+    with open(f"{out}/in.csv", "w") as f:
+        f.write("Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n")
+        f.writelines(f"{i},A{i % 7},x,{1 + i % 5},2010-0{1 + i % 9}-01 00:00:00,1.5,{i % 11},UK\n" for i in range(2000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        return run_workflow(spark, f"{out}/in.csv", out, "run_002", multi_line=False), f"{out}/runs"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_file_is_read_in_splits(spark, split_run):
+    res, _ = split_run
+    assert res["errors"] == [] and res["rows"] == 2000
+    assert len(spark.read.parquet(res["artifacts"]["raw_table"]).inputFiles()) > 3
+
+
 def test_missing_source_gives_error_record(spark):
     rep = INV.load_report_for(spark, lambda p: read_invoice_csv(spark, p), "/tmp/does-not-exist-tillroll.csv")
     r = rep.collect()[0]

@@ -61,11 +61,13 @@ class _Run:
         return self.spark.read.parquet(path)
 
 
-def _engineer(run: _Run, source: str | DataFrame, encoding: str) -> None:
+def _engineer(run: _Run, source: str | DataFrame, encoding: str, multi_line: bool) -> None:
     """Ingest, profile, quality, clean."""
     spark = run.spark
     # The only parse of the source; everything after reads Parquet. Unreadable dates stop the run.
-    raw_src = read_invoice_csv(spark, source, encoding, strict_dates=True) if isinstance(source, str) else source
+    raw_src = source
+    if isinstance(source, str):
+        raw_src = read_invoice_csv(spark, source, encoding, strict_dates=True, multi_line=multi_line)
     raw = run.keep(raw_src, "raw")
     load = _rows(raw.agg({"*": "count"}))[0]["count(1)"]
     run.log("load_dataset", {"status": "success", "rows": load})
@@ -162,10 +164,13 @@ def _reporter(run: _Run) -> None:
 
 
 def run_workflow(spark: SparkSession, source: str | DataFrame, out_dir: str, run_id: str,
-                 encoding: str = "UTF-8") -> dict:
-    """Run all stages; the result has ``status`` and, of a failed run, ``errors``."""
+                 encoding: str = "UTF-8", multi_line: bool = True) -> dict:
+    """Run all stages; the result has ``status`` and, of a failed run, ``errors``.
+
+    ``multi_line=False`` splits large CSV files, which then must not hold quoted newlines.
+    """
     run = _Run(spark, out_dir, run_id)
-    steps = [lambda: _engineer(run, source, encoding), lambda: _scientist(run), lambda: _dashboard(run), lambda: _reporter(run)]
+    steps = [lambda: _engineer(run, source, encoding, multi_line), lambda: _scientist(run), lambda: _dashboard(run), lambda: _reporter(run)]
     completed: list[str] = []
     errors: list[str] = []
     for stage, step in zip(STAGES, steps):
