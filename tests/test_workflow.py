@@ -90,6 +90,23 @@ def test_large_file_is_read_in_splits(spark, split_run):
     assert len(spark.read.parquet(res["artifacts"]["raw_table"]).inputFiles()) > 3
 
 
+def test_report_holds_decisions_and_run_report(spark, split_run):
+    res, runs = split_run
+    folder = res["artifacts"]["report"]
+    tail = spark.read.parquet(f"{folder}/decisions.parquet").orderBy("recency").collect()
+    assert [(r.run_id, r.recency, r.agent, r.decision) for r in tail] == [
+        ("run_002", i, a, "handoff") for i, a in enumerate(["reporter", "bi_agent", "data_scientist", "data_engineer"], 1)
+    ]
+    row = spark.read.parquet(f"{folder}/run.parquet").collect()
+    assert [(r.run_id, r.status, r.has_kpis, r.n_decisions_shown) for r in row] == [("run_002", "completed", True, 4)]
+    bad = run_workflow(spark, "/tmp/does-not-exist-tillroll.csv", runs.removesuffix("/runs"), "run_003")
+    assert bad["status"] == "failed"
+    folder = f"{runs}/run_003/artifacts/report"
+    row = spark.read.parquet(f"{folder}/run.parquet").collect()
+    assert [(r.run_id, r.status, r.has_kpis, r.n_decisions_shown) for r in row] == [("run_003", "failed", False, 1)]
+    assert [r.decision for r in spark.read.parquet(f"{folder}/decisions.parquet").collect()] == ["failure_data_engineer"]
+
+
 def test_missing_source_gives_error_record(spark):
     rep = INV.load_report_for(spark, lambda p: read_invoice_csv(spark, p), "/tmp/does-not-exist-tillroll.csv")
     r = rep.collect()[0]

@@ -7,12 +7,14 @@ figures, per-column profiles, months and top-k lists, which go into the run
 log records.
 
 A stage that raises ends the run: its error goes into the log, a decision and
-the run metadata (``failed``), which is written in any case.
+the run metadata (``failed``), which is written in any case, and so are, from
+it, the run's decision tail and run report.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.operators import alerts as AL
 from tillroll.operators import clean as CL
@@ -22,8 +24,10 @@ from tillroll.operators import kpis as KP
 from tillroll.operators import profile as PR
 from tillroll.operators import quality as QU
 from tillroll.operators import report as RP
+from tillroll.operators import runlog as RL
 from tillroll.sources import sinks
 from tillroll.sources.csv import read_invoice_csv
+from tillroll.sources.jsonlog import read_decisions, read_kpi_documents, read_run_metadata
 
 # The agent that decides on failures, and the longest error text kept.
 FAILURE_AGENT, ERROR_CHARS = "devops", 500
@@ -163,6 +167,18 @@ def _reporter(run: _Run) -> None:
     run.artifact("report", f"{run.art}/report", STAGES[3], "report")
 
 
+def _record(run: _Run) -> None:
+    """R2 and R3 of the run: its decision tail and run report, from its written folder."""
+    own = F.col("run_id") == run.run_id
+    meta, docs, decisions = (read(run.spark, run.runs).filter(own) for read in (read_run_metadata, read_kpi_documents, read_decisions))
+    log = decisions.select(
+        "run_id", "ts", "agent", F.col("decision").alias("event_type"), F.col("reason").alias("props"),
+        F.xxhash64("timestamp_text", "agent", "decision").alias("event_id"),
+    )
+    run.keep(RL.decision_tail(log), "report/decisions")
+    run.keep(RP.run_report_from_folders(meta, docs, decisions, RL.TAIL), "report/run")
+
+
 def run_workflow(spark: SparkSession, source: str | DataFrame, out_dir: str, run_id: str,
                  encoding: str = "UTF-8", multi_line: bool = True) -> dict:
     """Run all stages; the result has ``status`` and, of a failed run, ``errors``.
@@ -187,4 +203,5 @@ def run_workflow(spark: SparkSession, source: str | DataFrame, out_dir: str, run
     status = "failed" if errors else "completed"
     pending = [s for s in STAGES if s not in completed]
     sinks.write_metadata(spark, run.runs, run_id, status, completed, pending, run.artifacts, errors)
+    _record(run)
     return run.result | {"status": status, "errors": errors, "artifacts": run.artifacts}
