@@ -7,7 +7,9 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from frames import D, raw_frame
 from tillroll.operators import runlog as RL
+from tillroll.plans import registry
 from tillroll.sources import invoices as INV
 from tillroll.sources import sinks
 from tillroll.sources.csv import bad_line_counts, read_invoice_csv
@@ -280,3 +282,20 @@ def test_run_report_from_run_folders(spark, tmp):
     rep = run_report_from_folders(read_run_metadata(spark, tmp), read_kpi_documents(spark, tmp), read_decisions(spark, tmp))
     got = {r.run_id: (r.status, r.n_kpis, r.n_alerts, r.n_decisions_shown) for r in rep.collect()}
     assert got == {"run_001": ("completed", 0, 0, 20), "run_003": ("failed", 0, 0, 0), "run_004": (None, 3, 1, 0)}
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "ISO-8859-1"])
+def test_csv_scan_keeps_lines_without_quantity(spark, monkeypatch, encoding):
+    rows = [(str(i), "A", "x", q, D(2010, 1, 1), 1.0, 1.0, "UK") for i, q in enumerate([None, 2, 3, -3, 0])]
+    monkeypatch.setattr(registry.I, "raw", lambda s, d: raw_frame(s, rows))
+    got = registry._csv_scan(spark, "", encoding).collect()
+    assert sorted((r.invoice, r.quantity) for r in got) == [(r[0], r[3]) for r in rows]
+
+
+def test_log_records_keep_events_without_or_with_negative_number(spark, monkeypatch):
+    numbers = [None, -3, -2, 0, 1, 2]
+    rows = [(n, D(2010, 1, 1), f"r{i}", "a", "t", True, None) for i, n in enumerate(numbers)]
+    fields = "event_id bigint, ts timestamp_ntz, run_id string, agent string, tool string, success boolean, props string"
+    monkeypatch.setattr(registry.I, "log", lambda s, d: s.createDataFrame(rows, fields))
+    got = registry._log_lines(spark, "").collect()
+    assert sorted((r.run_id, r.event_id) for r in got) == [(f"r{i}", n) for i, n in enumerate(numbers)]

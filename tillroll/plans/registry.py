@@ -83,7 +83,7 @@ def _csv_scan(spark: SparkSession, d: str, encoding: str = "UTF-8") -> DataFrame
     """The raw lines written as two sets of files with other headers and column orders, and read as one."""
     raw = I.raw(spark, d)
     path = _scratch(spark, "csv")
-    first = F.col("quantity") % 2 == 0
+    first = F.coalesce(F.col("quantity") % 2 == 0, F.lit(False))  # a line without a quantity is in the second set
     lines = _csv_lines(raw.filter(first))
     lines.write.option("header", True).option("encoding", encoding).csv(f"{path}/a")
     other = _csv_lines(raw.filter(~first)).withColumnsRenamed({"Invoice": "InvoiceNo", "Price": "UnitPrice", "Customer ID": "CustomerID"})
@@ -98,16 +98,17 @@ def _clean_sink(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _log_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The run log written as JSON lines, even events in one record shape and odd ones in the other, and read back."""
+    """The run log written as JSON lines, even events in one record shape and all others in the other, and read back."""
     log = I.log(spark, d)
     base = _scratch(spark, "runs")
     error = F.when(~F.col("success"), F.col("props"))
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     data = F.struct(F.when(F.col("success"), "success").otherwise("error").alias("status"), error.alias("message"), F.col("event_id"))
-    short = log.filter("event_id % 2 = 0").select(stamp.alias("timestamp"), "run_id", "tool", data.alias("data"))
+    even = F.coalesce(F.col("event_id") % 2 == 0, F.lit(False))
+    short = log.filter(even).select(stamp.alias("timestamp"), "run_id", "tool", data.alias("data"))
     short.write.json(f"{base}/all/tool_calls.jsonl")
     output = F.struct(F.col("event_id"), F.col("run_id"))
-    long = log.filter("event_id % 2 = 1").select(
+    long = log.filter(~even).select(
         stamp.alias("timestamp"), "run_id", F.col("agent").alias("agent_name"), F.col("tool").alias("tool_name"),
         F.struct(F.lit("x").alias("file_path")).alias("input"), output.alias("output"), "success", error.alias("error"),
     )
