@@ -44,6 +44,41 @@ FROM s LEFT JOIN c ON c.id = doc_id
 """
 
 
+_OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, unnest([array_to_string(w[i:i], ' ') FOR i IN range(1, len(w) + 1)]) AS g, 1 AS size FROM w
+  UNION ALL SELECT lang, unnest([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))]), 2 FROM w
+  UNION ALL SELECT lang, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]), 3 FROM w
+), f AS (SELECT lang, g, size, count(*) AS f FROM g GROUP BY lang, g, size
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (SELECT lang, g, size, f, string_split(g, ' ') AS w FROM f WHERE size > 1 AND f >= 10
+), around AS (
+  SELECT lang, g, max(f) AS f FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS g, f FROM c WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM c WHERE size = 3
+  ) GROUP BY lang, g
+), cut AS (
+  SELECT c.lang, c.g, c.f AS a, k.k, l.f AS l, r.f AS r,
+         CAST(1000000::HUGEINT * c.f * c.f // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM c JOIN (SELECT unnest([1, 2]) AS k) k ON k.k < c.size
+  JOIN f l ON l.lang = c.lang AND l.g = array_to_string(c.w[1:k.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.g = array_to_string(c.w[k.k + 1:], ' ')
+  LEFT JOIN around ON around.lang = c.lang AND around.g = c.g
+  WHERE NOT coalesce(100 * around.f >= 50 * c.f, false)
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM best
+)
+SELECT lang, CAST(rank AS INT) AS rank, g AS phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def _license_sql(templates: list[Template]) -> str:
     """The license scan by plain search of every phrase in the words of a text."""
 
@@ -125,4 +160,5 @@ ORACLE: dict[str, str] = {
     "op7_ngram_jaccard": _OP7,
     "op8_exact_top_k": _OP8,
     "op10_chat_format": _OP10,
+    "op13_collocations": _OP13,
 }

@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, chat, jaccard, licenses, packing, pii, quality, repeats, topk, vectors
+from tillroll.llm import alignment, bpe, chat, collocations, jaccard, licenses, mixing, packing, pii, quality, repeats, topk, vectors
 from tillroll.llm.common import table
 
 # Score from which a text is predicted to have quality 1.
 KEEP_SCORE = 0.3
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(added), public_tokenizers.path(BYTE_BPE)))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=(3, 2), most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+    return docs
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -99,4 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_pii": op9_pii,
     "op10_chat_format": op10_chat_format,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_collocations": op13_collocations,
 }
