@@ -16,7 +16,7 @@ from tillroll.llm.oracle_sql import ORACLE
 
 def test_every_operator_is_registered_once():
     names = [k for k in E.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names if k[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names if k[2].isdigit()) == list(range(1, 14))
     assert E.queries()["pipeline"] is corpus_pipeline.run
     assert set(ORACLE) <= set(E.oracle_sql())
 
