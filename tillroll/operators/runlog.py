@@ -28,7 +28,7 @@ TS_CHARS, REASON_CHARS = 19, 80
 
 def tool_calls(log: DataFrame) -> DataFrame:
     """One row per call with success and error text."""
-    error = F.when(failed_call(), F.col("props"))
+    error = F.when(failed_call(log), F.col("props"))
     return log.select("event_id", "ts", "run_id", "agent", "tool", "success", error.alias("error"))
 
 
@@ -48,13 +48,13 @@ def allowed_calls(log: DataFrame, grants: DataFrame) -> DataFrame:
     return _granted(log, grants, "left_semi")
 
 
-def failed_call() -> Column:
-    """A call that is not known to have succeeded."""
-    return ~F.col("success") | F.col("success").isNull()
+def failed_call(log: DataFrame) -> Column:
+    """A call that is not known to have succeeded (the log's own ``failed``, if it has one, can be pushed to the scan)."""
+    return F.col("failed") if "failed" in log.columns else ~F.col("success") | F.col("success").isNull()
 
 
 def _failures(log: DataFrame, group: str) -> DataFrame:
-    return log.filter(failed_call()).select("event_id", "ts", group, F.col("tool").alias("step"))
+    return log.filter(failed_call(log)).select("event_id", "ts", group, F.col("tool").alias("step"))
 
 
 def second_failures(log: DataFrame, group: str = "run_id") -> DataFrame:
@@ -100,7 +100,7 @@ def run_status(log: DataFrame) -> DataFrame:
     """Failed if any call failed, else completed."""
     return log.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_calls"),
-        F.count_if(failed_call()).alias("n_errors"),
+        F.count_if(failed_call(log)).alias("n_errors"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("finished_at"),
     ).select(

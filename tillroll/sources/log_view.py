@@ -43,6 +43,8 @@ def log_from_events(spark: SparkSession, data_dir: str) -> DataFrame:
         F.get(agents, (F.col("event_id") % len(AGENTS)).cast("int")).alias("agent"),
         F.get(tools, (F.col("event_id") % len(TOOLS)).cast("int")).alias("tool"),
         (F.col("event_type") != "error").alias("success"),
+        # Failed: not known to have succeeded. In this form the filter reaches the scan.
+        ((F.col("event_type") == "error") | F.col("event_type").isNull()).alias("failed"),
         "event_type",
         "props",
     )

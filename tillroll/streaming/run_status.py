@@ -44,7 +44,7 @@ def run_status_updates(calls: DataFrame) -> DataFrame:
     """L5 as a streaming aggregate: failed if any call failed so far."""
     agg = calls.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_calls"),
-        F.count_if(failed_call()).alias("n_errors"),
+        F.count_if(failed_call(calls)).alias("n_errors"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("last_call_at"),
     )
