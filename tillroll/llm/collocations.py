@@ -30,11 +30,12 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import Scratch
@@ -43,8 +44,11 @@ from tillroll.llm.common import Scratch
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 NO_LANG = "und"
 # Words of a block, about; blocks of a task; groups of a block (bits of a group's number).
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 _SEQ_BITS, _LOCAL_BITS = 16, 25
+# Blocks handed to Python at once.
+BLOCKS_AT_ONCE = 4
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _FOLD = bytes(
     0x2E if b in PIECE_ENDS else b + 32 if 65 <= b <= 90 else 0x20 if b == 9 else b for b in range(256)
 )  # piece ends are '.', words are split at blanks
@@ -230,6 +234,17 @@ def _div(top: Column, bottom: Column) -> Column:
     return F.call_function("div", top, bottom)
 
 
+@contextmanager
+def _few_blocks(spark: SparkSession):
+    """Inside, batches hold few rows: a block is one long row, and a batch of many would not fit into a worker."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BLOCKS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def collocations(
     df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, inside: int = 50, top: int | None = 2000,
     block_words: int = BLOCK_WORDS,
@@ -253,7 +268,8 @@ def collocations(
     )
     candidates: list[DataFrame] = []
     for length in range(2, longest + 1):
-        more = scratch.keep(_longer(blocks, kept, length < longest), "places")
+        with _few_blocks(df.sparkSession):
+            more = scratch.keep(_longer(blocks, kept, length < longest), "places")
         scratch.drop(blocks)
         scratch.drop(kept)
         blocks = more
