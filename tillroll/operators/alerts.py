@@ -17,6 +17,7 @@ THRESHOLDS = [
     ("taux_annulation", "cancellation_rate", 0.05, 0.10),
     ("taux_retour", "return_rate", 0.05, 0.10),
 ]
+ALERT_KPIS = [source for _, source, _, _ in THRESHOLDS]
 # Words of the alert message and the insight lines.
 LEVEL_WORD = {"critical": "critique", "warning": "warning"}
 INSIGHT_TOTAL = "CA total : £"

@@ -1,8 +1,7 @@
 """Business KPIs over canonical invoice lines (raw or clean).
 
-All scalar KPIs come from one aggregation; Catalyst prunes the aggregate
-expressions a caller does not select, so a single-KPI query computes only
-what it needs. Breakdowns (month, country, product) are grouped aggregations
+All scalar KPIs come from one evaluation of the lines, and a query names the
+KPIs it needs, so it computes only those. Breakdowns (month, country, product) are grouped aggregations
 whose partial (map-side) step absorbs hot keys such as one country holding
 most of the revenue; top-k uses ``orderBy(..).limit(k)``, planned as a
 bounded TakeOrderedAndProject, never a full sort.
@@ -17,6 +16,8 @@ from pyspark.sql import types as T
 from tillroll.functions.nulls import is_missing
 from tillroll.functions.numeric import line_amount, mean_money, money_double, ratio_half_even
 from tillroll.operators.clean import is_cancellation
+from tillroll.operators.distinct import combinations, count_values
+from tillroll.operators.frames import combine_rows
 
 AMOUNT = T.DecimalType(38, 4)
 NAT = "NaT"
@@ -45,51 +46,111 @@ def analysis_frame(df: DataFrame) -> DataFrame:
 
 
 def _non_null_cells(df: DataFrame) -> Column:
-    parts = [F.count_if(~is_missing(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
+    """How many cells of a line hold a value."""
+    parts = [(~is_missing(F.col(f"`{f.name}`"), f.dataType)).cast("bigint") for f in df.schema.fields]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
     return total
 
 
-def kpi_scalars(df: DataFrame) -> DataFrame:
-    """One row of scalar KPIs."""
+# The columns whose distinct values are counted, those with the most values first.
+DISTINCT = ["invoice", "customer_id", "country"]
+# Scalar KPIs that need a distinct count, with the column they need.
+_NEEDS = {
+    "n_customers": "customer_id", "n_orders": "invoice", "avg_basket": "invoice", "cancellation_rate": "invoice",
+    "cancelled_invoice_rate": "invoice", "n_countries": "country",
+}
+KPI_COLUMNS = ["ca_total", "revenue_mean", "n_customers", "n_orders", "avg_basket", "cancellation_rate",
+               "cancelled_invoice_rate", "return_rate", "completeness", "n_countries", "n_lines"]
+
+
+def _column(df: DataFrame, name: str, to: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(to)
+
+
+def line_figures(df: DataFrame) -> DataFrame:
+    """What the scalar KPIs and the breakdowns need of each line, under fixed names (missing columns are null)."""
     a = analysis_frame(df)
-    ncols = len(a.columns)
-    has_invoice = "invoice" in a.columns
-    inv = F.col("invoice") if has_invoice else F.lit(None).cast("string")
-    cust = F.col("customer_id") if "customer_id" in a.columns else F.lit(None).cast("string")
-    qty = F.col("quantity") if "quantity" in a.columns else F.lit(None).cast("bigint")
-    country = F.col("country") if "country" in a.columns else F.lit(None).cast("string")
-    agg = a.agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.coalesce(F.sum("sales"), F.lit(0).cast(AMOUNT)).alias("sales_sum"),
-        F.count("sales").alias("sales_count"),
-        F.coalesce(F.sum(F.when(inv.isNotNull(), F.col("sales"))), F.lit(0).cast(AMOUNT)).alias("invoiced_sum"),
-        F.count_distinct(cust).alias("n_customers"),
-        F.count_distinct(inv).alias("n_orders"),
-        F.count_distinct(F.when(is_cancellation(inv), inv)).alias("n_cancelled_orders"),
-        F.count_if(is_cancellation(inv)).alias("n_cancel_lines"),
-        F.count_if(qty < 0).alias("n_return_lines"),
-        F.count_distinct(country).alias("n_countries"),
-        _non_null_cells(a).alias("non_null_cells"),
-    )
-    orders_or_one = F.greatest(F.col("n_orders"), F.lit(1))
-    return agg.select(
-        money_double(F.col("sales_sum")).alias("ca_total"),
-        mean_money(F.col("sales_sum"), F.col("sales_count")).alias("revenue_mean"),
-        F.col("n_customers"),
-        F.col("n_orders"),
-        F.when(F.col("n_orders") > 0, mean_money(F.col("invoiced_sum"), F.col("n_orders"))).alias("avg_basket"),
-        ratio_half_even(F.col("n_cancel_lines"), orders_or_one, 4).alias("cancellation_rate"),
-        ratio_half_even(F.col("n_cancelled_orders"), orders_or_one, 4).alias("cancelled_invoice_rate"),
-        ratio_half_even(F.col("n_return_lines"), F.col("n_lines"), 4).alias("return_rate"),
-        ratio_half_even(F.col("non_null_cells"), F.col("n_lines") * F.lit(ncols), 2).alias("completeness"),
-        F.col("n_countries"),
-        F.col("n_lines"),
+    inv = _column(a, "invoice", "string")
+    return a.select(
+        inv.alias("invoice"),
+        _column(a, "customer_id", "string").alias("customer_id"),
+        _column(a, "country", "string").alias("country"),
+        _column(a, "description", "string").alias("description"),
+        (month_key(F.col("invoice_date")) if "invoice_date" in a.columns else F.lit(NAT)).alias("year_month"),
+        "sales",
+        is_cancellation(inv).alias("cancelled"),
+        (_column(a, "quantity", "bigint") < 0).alias("returned"),
+        _non_null_cells(a).alias("cells"),
+        F.lit(len(a.columns)).alias("width"),
     )
 
 
+def line_sums() -> dict[str, Column]:
+    """Sums over :func:`line_figures` that add up over any parts of the lines."""
+    return {
+        "n_lines": F.count(F.lit(1)),
+        "sales_sum": F.sum("sales"),
+        "sales_count": F.count("sales"),
+        "invoiced_sum": F.sum(F.when(F.col("invoice").isNotNull(), F.col("sales"))),
+        "n_cancel_lines": F.count_if("cancelled"),
+        "n_return_lines": F.count_if("returned"),
+        "non_null_cells": F.sum("cells"),
+        "all_cells": F.sum("width"),
+    }
+
+
+def _kpis_from(row: DataFrame) -> DataFrame:
+    """The KPIs of one row of totals; those whose distinct count is not there are left out."""
+    has = {key: f"distinct_{key}" in row.columns for key in DISTINCT}
+    zero = F.lit(0).cast("bigint")
+    # An empty table gives a row of null sums.
+    money = [F.coalesce(c, F.lit(0).cast(AMOUNT)).alias(c) for c in ("sales_sum", "invoiced_sum")]
+    counts = [F.coalesce(c, zero).alias(c) for c in row.columns if c not in ("sales_sum", "invoiced_sum")]
+    row = row.select(*money, *counts)
+    orders = F.col("distinct_invoice") if has["invoice"] else zero
+    orders_or_one = F.greatest(orders, F.lit(1))
+    every = {
+        "ca_total": money_double(F.col("sales_sum")),
+        "revenue_mean": mean_money(F.col("sales_sum"), F.col("sales_count")),
+        "n_customers": F.col("distinct_customer_id") if has["customer_id"] else None,
+        "n_orders": orders,
+        "avg_basket": F.when(orders > 0, mean_money(F.col("invoiced_sum"), orders)),
+        "cancellation_rate": ratio_half_even(F.col("n_cancel_lines"), orders_or_one, 4),
+        "cancelled_invoice_rate": ratio_half_even(F.col("n_cancelled_orders"), orders_or_one, 4) if has["invoice"] else None,
+        "return_rate": ratio_half_even(F.col("n_return_lines"), F.col("n_lines"), 4),
+        "completeness": ratio_half_even(F.col("non_null_cells"), F.col("all_cells"), 2),
+        "n_countries": F.col("distinct_country") if has["country"] else None,
+        "n_lines": F.col("n_lines"),
+    }
+    there = [k for k in KPI_COLUMNS if k not in _NEEDS or has[_NEEDS[k]]]
+    return row.select(*[every[k].alias(k) for k in there])
+
+
+# Further counts of distinct values: name to (column, condition on it).
+_CANCELLED_ORDERS = {"n_cancelled_orders": ("invoice", is_cancellation)}
+
+
+def kpi_scalars(df: DataFrame, which: list[str] | None = None) -> DataFrame:
+    """One row of scalar KPIs (K2, K5-K8, K10, K13, K14), all or those in ``which``.
+
+    KPIs without a distinct count are one aggregate; the others take the
+    columns to count one after the other (see ``operators.distinct``), so no
+    line is copied for them.
+    """
+    which = list(which or KPI_COLUMNS)
+    keys = [k for k in DISTINCT if k in {_NEEDS.get(c) for c in which}]
+    lines, sums = line_figures(df), line_sums()
+    if keys:
+        totals = count_values(
+            combinations(lines, keys, sums), keys, list(sums), _CANCELLED_ORDERS if "invoice" in keys else None
+        )
+    else:
+        totals = lines.agg(*[c.alias(name) for name, c in sums.items()])
+    return _kpis_from(totals).select(*which)
+
+
 def monthly_revenue(df: DataFrame) -> DataFrame:
     """K3: (year_month, revenue) in calendar order of the key; ``NaT`` sorts last."""
     a = analysis_frame(df)
@@ -120,32 +181,54 @@ def top_products(df: DataFrame, k: int = 10) -> DataFrame:
     return top_by_revenue(df, "description", k)
 
 
-# Dimension names of the revenue breakdowns.
-DIM_MONTH, DIM_COUNTRY, DIM_PRODUCT = "month", "country", "product"
+# Dimension names of the figures: revenue by month, country and product, and what the scalar KPIs need by order.
+DIM_MONTH, DIM_COUNTRY, DIM_PRODUCT, DIM_ORDER = "month", "country", "product", "order"
 
 
-def revenue_breakdowns(df: DataFrame) -> DataFrame:
-    """Revenue by month, by country and by product in ONE pass: (dim, key, revenue).
+def figures(df: DataFrame, orders: bool = True) -> DataFrame:
+    """All the KPI document needs, in ONE evaluation of the lines: (dim, key, invoice, customer_id, <sums>).
 
     A grouping-sets aggregate: each line is expanded once per set, partially
-    aggregated per task and shuffled once, instead of three scans of the
-    lines. Null countries and products are left out (pandas drops null group
-    keys); a missing month is the ``NaT`` group. ``revenue`` is the exact sum.
+    aggregated in its task and shuffled once. The sets are month, country and
+    product, and (invoice, customer), about one row for each order, from which
+    the scalar KPIs are taken (``orders=False``: without it). Null countries and
+    products are left out (pandas drops null group keys); a missing month is
+    the ``NaT`` group.
     """
-    a = analysis_frame(df).select(
-        month_key(F.col("invoice_date")).alias("year_month"), "country", "description", "sales"
+    a = line_figures(df)
+    sets = [["year_month"], ["country"], ["description"], *([["invoice", "customer_id"]] if orders else [])]
+    sums = line_sums()
+    # The set's own invoice is null in the other sets, so whether a line has one is marked beforehand.
+    a = a.withColumn("invoiced", F.when(F.col("invoice").isNotNull(), F.col("sales")))
+    sums["invoiced_sum"] = F.sum("invoiced")
+    g = a.groupingSets(sets, "year_month", "country", "description", "invoice", "customer_id").agg(
+        *[c.alias(name) for name, c in sums.items()], F.grouping_id().alias("gid")
     )
-    g = a.groupingSets([["year_month"], ["country"], ["description"]], "year_month", "country", "description").agg(
-        F.coalesce(F.sum("sales"), F.lit(0).cast(AMOUNT)).alias("revenue"), F.grouping_id().alias("gid")
-    )
-    # grouping_id bits (year_month, country, description): 1 = column not grouped.
-    dim = F.when(F.col("gid") == 3, F.lit(DIM_MONTH)).when(F.col("gid") == 5, F.lit(DIM_COUNTRY)).otherwise(F.lit(DIM_PRODUCT))
-    key = F.coalesce(
-        F.when(F.col("gid") == 3, F.col("year_month")),
-        F.when(F.col("gid") == 5, F.col("country")),
-        F.when(F.col("gid") == 6, F.col("description")),
+    # grouping_id bits (year_month, country, description, invoice, customer): 1 = not grouped by.
+    names = {0b01111: DIM_MONTH, 0b10111: DIM_COUNTRY, 0b11011: DIM_PRODUCT, 0b11100: DIM_ORDER}
+    dim = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("gid").cast("int"))
+    key = F.coalesce("year_month", "country", "description")
+    rows = g.select(dim.alias("dim"), key.alias("key"), "invoice", "customer_id", *sums)
+    return rows.filter((F.col("dim") == DIM_ORDER) | F.col("key").isNotNull())
+
+
+def kpis_from(rows: DataFrame) -> DataFrame:
+    """The scalar KPIs from :func:`figures`."""
+    orders = rows.filter(F.col("dim") == DIM_ORDER)
+    totals = count_values(orders, ["invoice", "customer_id"], list(line_sums()), _CANCELLED_ORDERS)
+    countries = rows.filter(F.col("dim") == DIM_COUNTRY).agg(F.count("key").alias("distinct_country"))
+    return _kpis_from(combine_rows(totals, countries))
+
+
+def revenue_breakdowns(df: DataFrame) -> DataFrame:
+    """Revenue by month, by country and by product in one pass: (dim, key, revenue); ``revenue`` is the exact sum."""
+    return breakdowns_from(figures(df, orders=False))
+
+
+def breakdowns_from(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("dim") != DIM_ORDER).select(
+        "dim", "key", F.coalesce("sales_sum", F.lit(0).cast(AMOUNT)).alias("revenue")
     )
-    return g.select(dim.alias("dim"), key.alias("key"), "revenue").filter(F.col("key").isNotNull())
 
 
 def monthly_from(breakdowns: DataFrame) -> DataFrame:

@@ -7,15 +7,17 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators.alerts import kpi_alerts, kpi_insights
+from tillroll.operators.alerts import ALERT_KPIS, kpi_alerts, kpi_insights
 from tillroll.operators.clean import clean
 from tillroll.operators.kpis import (
     DIM_COUNTRY,
     DIM_PRODUCT,
+    breakdowns_from,
+    figures,
     kpi_scalars,
+    kpis_from,
     monthly_from,
     monthly_revenue,
-    revenue_breakdowns,
     top_countries,
     top_from,
     top_products,
@@ -33,12 +35,12 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return clean(raw(spark, d))
 
 
-def kpis_clean(spark: SparkSession, d: str) -> DataFrame:
-    return kpi_scalars(cleaned(spark, d))
+def kpis_clean(spark: SparkSession, d: str, *which: str) -> DataFrame:
+    return kpi_scalars(cleaned(spark, d), which)
 
 
-def kpis_raw(spark: SparkSession, d: str) -> DataFrame:
-    return kpi_scalars(raw(spark, d))
+def kpis_raw(spark: SparkSession, d: str, *which: str) -> DataFrame:
+    return kpi_scalars(raw(spark, d), which)
 
 
 def monthly(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +56,7 @@ def products(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alerts_raw(spark: SparkSession, d: str) -> DataFrame:
-    return kpi_alerts(kpis_raw(spark, d))
+    return kpi_alerts(kpis_raw(spark, d, *ALERT_KPIS))
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
@@ -66,38 +68,37 @@ def grants(spark: SparkSession) -> DataFrame:
 
 
 class SmallTables:
-    """The small derived tables of one query, each computed once.
+    """The small tables derived from invoice lines (by default the clean ones), each computed once.
 
     The KPI row, the revenue breakdowns (months, countries, products), the
-    alerts and the insight lines are far smaller than the lines: one row,
-    one row per month, country or product. A query that uses several of them
-    would otherwise re-derive the invoice lines for each. Here the lines are
-    read twice in all (one scalar aggregate, one grouping-sets aggregate) and
-    both results are written once under the session's checkpoint folder and
-    read back, which also cuts their lineage.
+    alerts and the insight lines are far smaller than the lines. A query that
+    uses several of them would otherwise derive the invoice lines for each.
+    Here the lines are evaluated once, by one grouping-sets aggregate
+    (``figures``: by month, country, product and order), which is written once
+    under the session's checkpoint folder, a folder a set, and read back; all
+    the tables come from it.
     """
 
-    def __init__(self, spark: SparkSession, d: str):
-        self.spark, self.d = spark, d
+    def __init__(self, spark: SparkSession, d: str, lines: DataFrame | None = None, orders: bool = True):
+        self.spark, self.orders = spark, orders
+        self.lines = cleaned(spark, d) if lines is None else lines
         self.base = scratch_dir(spark, f"small-{uuid.uuid4().hex}")
 
-    def _keep(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+    def _keep(self, name: str, df: DataFrame, by: list[str] = []) -> DataFrame:
+        df.write.partitionBy(*by).parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
-    # KPI columns the document, cards, alerts and insights read; the distinct
-    # counts nobody reads (countries, cancelled invoices) are pruned away.
-    KPI_COLUMNS = ["ca_total", "revenue_mean", "n_customers", "n_orders", "avg_basket",
-                   "cancellation_rate", "return_rate", "completeness", "n_lines"]
+    @cached_property
+    def figures(self) -> DataFrame:
+        return self._keep("figures", figures(self.lines, self.orders), ["dim"])
 
     @cached_property
     def kpis(self) -> DataFrame:
-        return self._keep("kpis", kpis_clean(self.spark, self.d).select(*self.KPI_COLUMNS))
+        return self._keep("kpis", kpis_from(self.figures))
 
     @cached_property
     def breakdowns(self) -> DataFrame:
-        return self._keep("breakdowns", revenue_breakdowns(cleaned(self.spark, self.d)))
+        return breakdowns_from(self.figures)
 
     @cached_property
     def monthly(self) -> DataFrame:

@@ -130,8 +130,7 @@ def _artifact_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _insights_raw(spark: SparkSession, d: str) -> DataFrame:
-    kpis = I.kpis_raw(spark, d)
-    return AL.kpi_insights(kpis, KP.top_countries(I.raw(spark, d)), AL.kpi_alerts(kpis))
+    return I.SmallTables(spark, d, I.raw(spark, d)).insights
 
 
 def _dashboard_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +150,7 @@ def _headline_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chart_series(spark: SparkSession, d: str) -> DataFrame:
-    t = I.SmallTables(spark, d)
+    t = I.SmallTables(spark, d, orders=False)
     return DB.chart_series(t.monthly, t.countries, t.products)
 
 
@@ -183,17 +182,17 @@ QUERIES: dict[str, Query] = {
     "clean_summary": lambda s, d: CL.clean_summary(I.raw(s, d)),
     # KPIs
     "sales_fallback": lambda s, d: KP.sales_fallback(I.raw(s, d)),
-    "kpi_totals": lambda s, d: I.kpis_clean(s, d).select("ca_total", "revenue_mean", "n_lines"),
+    "kpi_totals": lambda s, d: I.kpis_clean(s, d, "ca_total", "revenue_mean", "n_lines"),
     "monthly_revenue": lambda s, d: I.monthly(s, d),
     "top_countries": lambda s, d: I.countries(s, d),
-    "distinct_customers": lambda s, d: I.kpis_clean(s, d).select("n_customers"),
-    "order_count": lambda s, d: I.kpis_clean(s, d).select("n_orders"),
-    "average_basket": lambda s, d: I.kpis_clean(s, d).select("avg_basket"),
-    "cancellation_rate": lambda s, d: I.kpis_raw(s, d).select("cancellation_rate"),
-    "cancelled_invoice_rate": lambda s, d: I.kpis_raw(s, d).select("cancelled_invoice_rate"),
+    "distinct_customers": lambda s, d: I.kpis_clean(s, d, "n_customers"),
+    "order_count": lambda s, d: I.kpis_clean(s, d, "n_orders"),
+    "average_basket": lambda s, d: I.kpis_clean(s, d, "avg_basket"),
+    "cancellation_rate": lambda s, d: I.kpis_raw(s, d, "cancellation_rate"),
+    "cancelled_invoice_rate": lambda s, d: I.kpis_raw(s, d, "cancelled_invoice_rate"),
     "top_products": lambda s, d: I.products(s, d),
-    "completeness": lambda s, d: I.kpis_raw(s, d).select("completeness"),
-    "return_rate": lambda s, d: I.kpis_raw(s, d).select("return_rate"),
+    "completeness": lambda s, d: I.kpis_raw(s, d, "completeness"),
+    "return_rate": lambda s, d: I.kpis_raw(s, d, "return_rate"),
     "kpi_alerts": lambda s, d: I.alerts_raw(s, d),
     "kpi_insights": _insights,
     "kpi_insights_raw": _insights_raw,

@@ -102,10 +102,10 @@ def _engineer(run: _Run, source: str | DataFrame, encoding: str, multi_line: boo
 def _scientist(run: _Run) -> None:
     """KPIs, breakdowns, alerts, insights and the KPI document, from the written clean table."""
     clean = run.spark.read.parquet(run.artifacts["clean_table"])
-    # Two passes over the lines: scalar KPIs, and one grouping-sets aggregate
-    # for the month / country / product breakdowns.
-    kpis = run.keep(KP.kpi_scalars(clean), "kpis")
-    breakdowns = run.keep(KP.revenue_breakdowns(clean), "breakdowns")
+    # One pass over the lines: a grouping-sets aggregate by month, country, product and order.
+    figures = run.keep(KP.figures(clean), "figures")
+    kpis = run.keep(KP.kpis_from(figures), "kpis")
+    breakdowns = run.keep(KP.breakdowns_from(figures), "breakdowns")
     countries = KP.top_from(breakdowns, KP.DIM_COUNTRY, "country")
     alerts = AL.kpi_alerts(kpis)
     doc_path = f"{run.art}/insights.json"
