@@ -24,7 +24,7 @@ def duck(data_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, float) and math.isnan(v):
         return None
@@ -46,7 +46,9 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
 def text_rows(df: pd.DataFrame) -> list[tuple]:
     """Rows as the text of each cell (columns by name), the way a text hash sees them."""
     cols = sorted(df.columns)
-    return sorted(tuple(str(v) for v in row) for row in df[cols].astype(str).itertuples(index=False, name=None))
+    # Whole numbers with nulls come as floats or as Int64, depending on the engine.
+    gaps = {c: "float64" for c in cols if df[c].isna().any() and pd.api.types.is_numeric_dtype(df[c])}
+    return sorted(tuple(str(v) for v in row) for row in df[cols].astype(gaps).astype(str).itertuples(index=False, name=None))
 
 
 def compare(spark_pdf: pd.DataFrame, duck_pdf: pd.DataFrame) -> tuple[bool, str]:

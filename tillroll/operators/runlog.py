@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators.timejoins import asof_join, interval_join
 from tillroll.sources.log_view import ALL_TOOLS
 
 # Triage decisions and their reasons.
@@ -157,3 +158,33 @@ def run_report(log: DataFrame, n: int = TAIL) -> DataFrame:
         F.coalesce(F.col("n_retries"), F.lit(0)).alias("n_retries"),
         F.coalesce(F.col("n_skips"), F.lit(0)).alias("n_skips"),
     )
+
+
+def decisions_before_failures(log: DataFrame, group: str = "session") -> DataFrame:
+    """R2/L4: each failed call with the last decision of its group at or before it (an as-of join).
+
+    Decisions are the records that did not fail; of equal times the largest
+    id is the last. A call without an earlier decision keeps nulls.
+    """
+    failures = log.filter(failed_call(log)).select("event_id", "ts", group, F.col("tool").alias("step"))
+    decisions = log.filter("success").select(group, "ts", "event_id", "agent", F.col("event_type").alias("decision"))
+    joined = asof_join(failures, decisions, [group], "ts", ["event_id", "ts", "agent", "decision"], tie="event_id", prefix="last_")
+    waited = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last_ts").cast("timestamp"))).alias("waited_us")
+    return joined.select("event_id", "ts", group, "step", "last_event_id", "last_agent", "last_decision", waited)
+
+
+def calls_in_lifetime(log: DataFrame, group: str = "session", seconds: int = 86_400) -> DataFrame:
+    """For each run, the calls of its group (its own and other runs') between its first and last call.
+
+    (run_id, started_at, finished_at, n_calls, n_other_calls, n_errors): a
+    range join of calls with lifetimes, counted by partial aggregates.
+    """
+    lifetimes = run_status(log).select("run_id", "started_at", "finished_at")
+    of_group = log.groupBy("run_id", group).agg(F.lit(1).alias("one")).drop("one").join(lifetimes, "run_id")
+    calls = log.select(group, "event_id", "ts", F.col("run_id").alias("call_run"), failed_call(log).alias("call_failed"))
+    met = interval_join(calls, of_group, [group], "ts", "started_at", "finished_at", seconds)
+    return met.groupBy("run_id", "started_at", "finished_at").agg(
+        F.count(F.lit(1)).alias("n_calls"),
+        F.count_if(F.col("call_run") != F.col("run_id")).alias("n_other_calls"),
+        F.count_if("call_failed").alias("n_errors"),
+    )

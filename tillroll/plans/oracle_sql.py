@@ -609,3 +609,46 @@ ORACLE["kpi_insights_raw"] = with_views(
     "SELECT line_no, text FROM insights",
     R, KR, _top("topr", "country", "retail", AMOUNT_RAW), ALERTS_RAW, _insights("kr", "topr", "alerts_r"),
 )
+
+ORACLE["customer_sketches"] = with_views(
+    """SELECT year_month, count(DISTINCT customer_id) AS n_customers, true AS within_error FROM clean GROUP BY year_month
+       UNION ALL SELECT 'all', count(DISTINCT customer_id), true FROM clean""",
+    R, C,
+)
+_PERIODS = """
+p1 AS (SELECT stock_code, description, price, country FROM retail WHERE coalesce(invoice_date < TIMESTAMP '1998-01-01', false)),
+p2 AS (SELECT stock_code, description, price, country FROM retail WHERE NOT coalesce(invoice_date < TIMESTAMP '1998-01-01', false)),
+l AS (SELECT *, count(*) AS n FROM (SELECT * FROM p1 EXCEPT ALL SELECT * FROM p2) GROUP BY ALL),
+r AS (SELECT *, count(*) AS n FROM (SELECT * FROM p2 EXCEPT ALL SELECT * FROM p1) GROUP BY ALL),
+c AS (SELECT stock_code, description, price, country, CAST(sum(l) AS BIGINT) AS n_left, CAST(sum(r) AS BIGINT) AS n_right FROM (
+  SELECT *, 1 AS l, 0 AS r FROM p1 UNION ALL SELECT *, 0, 1 FROM p2) GROUP BY ALL)"""
+ORACLE["period_differences"] = with_views(
+    """SELECT c.*, d.side, d.n AS n_more FROM (SELECT *, 'left' AS side FROM l UNION ALL SELECT *, 'right' FROM r) d
+       JOIN c ON c.stock_code IS NOT DISTINCT FROM d.stock_code AND c.description IS NOT DISTINCT FROM d.description
+        AND c.price IS NOT DISTINCT FROM d.price AND c.country IS NOT DISTINCT FROM d.country""",
+    R, _PERIODS,
+)
+ORACLE["period_summary"] = with_views(
+    """SELECT (SELECT count(*) FROM p1) AS n_left, (SELECT count(*) FROM p2) AS n_right,
+         (SELECT count(*) FROM (SELECT * FROM p1 INTERSECT ALL SELECT * FROM p2)) AS n_both,
+         (SELECT count(*) FROM (SELECT * FROM p1 EXCEPT ALL SELECT * FROM p2)) AS n_only_left,
+         (SELECT count(*) FROM (SELECT * FROM p2 EXCEPT ALL SELECT * FROM p1)) AS n_only_right,
+         (SELECT count(*) FROM c) AS n_distinct""",
+    R, _PERIODS,
+)
+ORACLE["decisions_before_failures"] = with_views(
+    """SELECT f.event_id, f.ts, f.session, f.tool AS step, d.event_id AS last_event_id, d.agent AS last_agent,
+         d.event_type AS last_decision, epoch_us(f.ts) - epoch_us(d.ts) AS waited_us
+       FROM (SELECT * FROM runlog WHERE NOT coalesce(success, false)) f
+       ASOF LEFT JOIN (SELECT * FROM runlog WHERE success QUALIFY row_number() OVER (PARTITION BY session, ts ORDER BY event_id DESC) = 1) d
+         ON f.session = d.session AND f.ts >= d.ts""",
+    LOG,
+)
+ORACLE["calls_in_lifetime"] = with_views(
+    """SELECT s.run_id, s.started_at, s.finished_at, count(*) AS n_calls, CAST(count_if(l.run_id <> s.run_id) AS BIGINT) AS n_other_calls,
+         CAST(count_if(NOT coalesce(l.success, false)) AS BIGINT) AS n_errors
+       FROM (SELECT run_id, session, min(ts) OVER (PARTITION BY run_id) AS started_at, max(ts) OVER (PARTITION BY run_id) AS finished_at
+             FROM runlog QUALIFY row_number() OVER (PARTITION BY run_id, session ORDER BY event_id) = 1) s
+       JOIN runlog l ON l.session = s.session AND l.ts BETWEEN s.started_at AND s.finished_at GROUP BY ALL""",
+    LOG,
+)

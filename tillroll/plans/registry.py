@@ -29,8 +29,10 @@ from tillroll.operators import document as DOC
 from tillroll.operators import kpis as KP
 from tillroll.operators import profile as PR
 from tillroll.operators import quality as QU
+from tillroll.operators import reconcile as RC
 from tillroll.operators import report as RP
 from tillroll.operators import runlog as RL
+from tillroll.operators import sketches as SK
 from tillroll.plans import inputs as I
 from tillroll.schema import CLEAN_COLUMNS, to_source_headers
 from tillroll.session import scratch_dir
@@ -43,6 +45,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Fixed value: the date that splits the view into the two period files of ``union_periods``.
 PERIOD_SPLIT = "1998-01-01"
+# Fixed value: the name of all months together.
+ALL_MONTHS = "all"
 # The run that ``dashboard_payload`` is published for, and its folder.
 PAYLOAD_RUN, PAYLOAD_PATH = "run_001", "runs/run_001/artifacts/dashboard"
 
@@ -159,11 +163,37 @@ def _metric_cards(spark: SparkSession, d: str) -> DataFrame:
     return DB.metric_cards(t.kpis, DB.month_over_month(t.monthly))
 
 
+def _customer_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Exact customers of each month and of all months, and whether the merged sketches' estimates are within their error."""
+    lines = KP.line_figures(I.cleaned(spark, d))
+    sketches = SK.month_sketches(I.cleaned(spark, d))
+    path = _scratch(spark, "sketches")
+    sketches.write.parquet(path)  # kept by month: what is merged below needs no lines
+    kept = spark.read.parquet(path)
+    months = SK.estimates(kept, "estimate").unionByName(
+        SK.merge(kept).select(F.lit(ALL_MONTHS).alias("year_month"), SK.estimate().alias("estimate"))
+    )
+    exact = lines.select("year_month", "customer_id").distinct().groupBy("year_month").agg(F.count("customer_id").alias("n_customers"))
+    total = lines.agg(F.count_distinct("customer_id").alias("n_customers")).select(F.lit(ALL_MONTHS).alias("year_month"), "n_customers")
+    both = months.join(exact.unionByName(total), "year_month")
+    return both.select("year_month", "n_customers", SK.within(F.col("estimate"), F.col("n_customers")).alias("within_error"))
+
+
+def _periods(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The catalogue lines (product, price, country) of the two periods of the view."""
+    raw = I.raw(spark, d)
+    first = F.coalesce(F.col("invoice_date") < PERIOD_SPLIT, F.lit(False))
+    columns = ["stock_code", "description", "price", "country"]
+    return raw.filter(first).select(*columns), raw.filter(~first).select(*columns)
+
+
 QUERIES: dict[str, Query] = {
     # Sources
     "load_report": lambda s, d: INV.load_report(I.raw(s, d)),
     "load_preview": lambda s, d: INV.load_preview(I.raw(s, d), 3),
     "union_periods": _union_periods,
+    "period_differences": lambda s, d: RC.differences(*_periods(s, d)),
+    "period_summary": lambda s, d: RC.summary(*_periods(s, d)),
     "csv_scan": _csv_scan,
     "csv_scan_latin1": lambda s, d: _csv_scan(s, d, "ISO-8859-1"),
     # Profiling and quality
@@ -186,6 +216,7 @@ QUERIES: dict[str, Query] = {
     "monthly_revenue": lambda s, d: I.monthly(s, d),
     "top_countries": lambda s, d: I.countries(s, d),
     "distinct_customers": lambda s, d: I.kpis_clean(s, d, "n_customers"),
+    "customer_sketches": _customer_sketches,
     "order_count": lambda s, d: I.kpis_clean(s, d, "n_orders"),
     "average_basket": lambda s, d: I.kpis_clean(s, d, "avg_basket"),
     "cancellation_rate": lambda s, d: I.kpis_raw(s, d, "cancellation_rate"),
@@ -220,6 +251,8 @@ QUERIES: dict[str, Query] = {
     "unauthorized_calls": lambda s, d: RL.unauthorized_calls(I.log(s, d), I.grants(s)),
     "allowed_calls": lambda s, d: RL.allowed_calls(I.log(s, d), I.grants(s)),
     "failure_triage": lambda s, d: RL.failure_triage(I.log(s, d), group="session"),
+    "decisions_before_failures": lambda s, d: RL.decisions_before_failures(I.log(s, d)),
+    "calls_in_lifetime": lambda s, d: RL.calls_in_lifetime(I.log(s, d)),
     "run_status": lambda s, d: RL.run_status(I.log(s, d)),
     "tool_calls": lambda s, d: RL.tool_calls(I.log(s, d)),
     "log_records": _log_lines,
