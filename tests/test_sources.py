@@ -12,7 +12,7 @@ from tillroll.operators import runlog as RL
 from tillroll.plans import registry
 from tillroll.sources import invoices as INV
 from tillroll.sources import sinks
-from tillroll.sources.csv import bad_line_counts, read_invoice_csv
+from tillroll.sources.csv import bad_line_counts, headers, read_invoice_csv
 from tillroll.sources.jsonlog import (
     document_breakdowns,
     read_decisions,
@@ -41,7 +41,7 @@ def test_csv_null_tokens_and_types(spark, tmp):
     body = (
         '489434,85048,"15CM CHRISTMAS GLASS BALL 20 LIGHTS",12,2009-12-01 07:45:00,6.95,13085.0,United Kingdom\n'
         "489435,22350,NA,N/A,2009-12-01 07:46:00,null,,France\n"
-        'C489436,21523,"PAPER CRAFT , LITTLE BIRDIE",-1,2009-12-01 09:06:00,2.1,None,EIRE\n'
+        'C489436,21523,"FELT PATCH , SMALL OWL",-1,2009-12-01 09:06:00,2.1,None,EIRE\n'
         '489437,21524,"SAY ""HELLO""",3.0,12/1/2010 8:26,1,13086,Spain\n'
     )
     _write(f"{tmp}/a.csv", HEADER + body)
@@ -50,7 +50,7 @@ def test_csv_null_tokens_and_types(spark, tmp):
     assert df.schema.simpleString().startswith("struct<invoice:string,stock_code:string,description:string,quantity:bigint")
     assert rows["489435"].description is None and rows["489435"].quantity is None and rows["489435"].price is None
     assert rows["489435"].customer_id is None and rows["C489436"].customer_id is None
-    assert rows["C489436"].description == "PAPER CRAFT , LITTLE BIRDIE"
+    assert rows["C489436"].description == "FELT PATCH , SMALL OWL"
     assert rows["489437"].description == 'SAY "HELLO"' and rows["489437"].quantity == 3
     assert str(rows["489437"].invoice_date) == "2010-12-01 08:26:00"
     assert rows["489434"].customer_id == 13085.0
@@ -71,6 +71,33 @@ def test_csv_files_are_matched_by_name(spark, tmp):
     assert got == [("1", "UK", 1.5, 1, 1.0), ("2", "FR", 2.5, 3, None)]
 
 
+def test_csv_headers_come_from_one_job(spark, tmp):
+    """Many files with three headers, odd names and a long file: the first lines come from tasks, one a file."""
+    kinds = [HEADER, "Country,Invoice,Price\n", "StockCode,InvoiceNo\r\n"]
+    for i in range(60):
+        row = [f"{i},A,x,1,2010-01-01 00:00:00,1.5,1,UK\n", f"UK,{i},1.5\n", f"A,{i}\r\n"][i % 3]
+        _write(f"{tmp}/many/part {i}%2B.csv" if i % 2 else f"{tmp}/many/p{i}.csv", kinds[i % 3] + row * (1 if i else 20000))
+    _write(f"{tmp}/many/empty.csv", "")
+    found = headers(spark, f"{tmp}/many")
+    assert found.count() == 60
+    assert {bytes(r.line).decode().strip() + "\n" for r in found.select("line").distinct().collect()} == {k.strip() + "\n" for k in kinds}
+    assert found.rdd.getNumPartitions() == 60  # a task a file
+    got = read_invoice_csv(spark, f"{tmp}/many").groupBy("invoice").count().collect()
+    assert {r.invoice: r["count"] for r in got} == {str(i): 1 if i else 20000 for i in range(60)}
+
+
+def test_csv_header_of_a_compressed_and_a_wide_character_file(spark, tmp):
+    import gzip
+
+    os.makedirs(f"{tmp}/z")
+    with gzip.open(f"{tmp}/z/a.csv.gz", "wt") as f:
+        f.write(HEADER + "1,A,x,1,2010-01-01 00:00:00,1.5,1,UK\n")
+    assert [r.invoice for r in read_invoice_csv(spark, f"{tmp}/z").collect()] == ["1"]
+    _write(f"{tmp}/w.csv", HEADER + "2,A,é,1,2010-01-01 00:00:00,1.5,1,UK\n", encoding="utf-16-le")
+    got = read_invoice_csv(spark, f"{tmp}/w.csv", encoding="UTF-16LE", multi_line=True).collect()
+    assert [(r.invoice, r.description) for r in got] == [("2", "é")]
+
+
 def test_csv_quoted_newline(spark, tmp):
     _write(f"{tmp}/n.csv", HEADER + '1,A,"two\nlines",1,2010-01-01 00:00:00,1.5,1,UK\n2,B,y,1,2010-01-01 00:00:00,1,1,UK\n')
     got = {r.invoice: r.description for r in read_invoice_csv(spark, f"{tmp}/n.csv").collect()}

@@ -6,8 +6,9 @@ names, and the text is cast to the canonical types. This mirrors what
 ``pandas.read_csv`` infers for these files without a schema-inference pass
 over the data.
 
-Files are matched by column name: they are grouped by their header line, each
-group is read with its own header, and the groups are put together by name.
+Files are matched by column name: a Spark job reads the first line of each
+file, files are grouped by it, each group is read with its own header, and the
+groups are put together by name.
 A quoted field may hold a newline (``multi_line``, the default; a file is then
 one split, so very large files without such fields are better read with
 ``multi_line=False``). A record that does not parse is never passed on as
@@ -18,9 +19,11 @@ from __future__ import annotations
 
 import csv as _csv
 import re
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ from tillroll.schema import CLEAN_SCHEMA, RAW_SCHEMA, rename_to_canonical
 # Date layouts of the invoice files, tried in order.
 PROBLEM = "problem"
 _BROKEN = "_corrupt_record"
-# Header lines are read with so many threads.
-_HEADER_THREADS = 16
+# Split size at which every file is a split of its own.
+_ONE_FILE = 1 << 42
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "M/d/yyyy H:mm", "yyyy-MM-dd"]
 
 
@@ -103,36 +106,49 @@ def typed_lines(text_df: DataFrame, strict_dates: bool = False, layout: str = "a
     return df.select(*cols)
 
 
-def _headers(spark: SparkSession, files: list[str], encoding: str) -> dict[str, tuple[str, ...]]:
-    """The header of each file: its first line, read on the driver (one line a file, any Hadoop file system)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of a task's rows; the rest of its file is not read."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
 
-    def first_line(file: str) -> tuple[str, ...]:
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
-        stream = path.getFileSystem(conf).open(path)
-        try:
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
-            line = reader.readLine() or ""
-        finally:
-            stream.close()
-        return tuple(next(_csv.reader([line.lstrip("\ufeff")]), []))
 
-    with ThreadPoolExecutor(_HEADER_THREADS) as pool:
-        return dict(zip(files, pool.map(first_line, files)))
+def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line): the first line of each file, as bytes, read by one short task a file.
+
+    Files are not split and not put together in this read (split sizes of a
+    session of its own), so a task's first row is its file's first line, and
+    the task ends after it, however long the file. Empty files have no row.
+    """
+    alone = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        alone.conf.set(key, str(_ONE_FILE))
+    alone.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    lines = alone.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
+    return lines.mapInArrow(_first_line, "file string, line binary")
+
+
+def _by_header(spark: SparkSession, path: str | list[str], encoding: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of each different header, as Spark lists them for a read anyway."""
+    found = headers(spark, path).groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for line, files in sorted(map(tuple, found.collect())):
+        text = bytes(line).decode(encoding, "ignore").lstrip("\ufeff")
+        groups.setdefault(tuple(next(_csv.reader([text]), [])), []).extend(unquote(f) for f in files)
+    return groups
 
 
 def read_text_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """All files as text columns, matched by name; broken records are in ``_corrupt_record``."""
-    files = spark.read.text(path).inputFiles()
     # A folder's sub-folders (month=2010-01) give columns, as they do when the folder is read whole.
-    folder = isinstance(path, str) and not re.search(r"[*?{\[]", path) and not any(f.endswith(path.rstrip("/")) for f in files)
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file, header in _headers(spark, sorted(files), encoding).items():
-        by_header.setdefault(header, []).append(file)
+    by_header = _by_header(spark, path, encoding)
+    one = isinstance(path, str) and not re.search(r"[*?{\[]", path)
+    folder = one and not any(f.endswith(path.rstrip("/")) for files in by_header.values() for f in files)
     frames = []
     for header, group in by_header.items():
         if not any(header):
-            continue  # an empty file
+            continue  # a file whose first line is empty
         fields = ", ".join(f"`{name.replace('`', '``')}` string" for name in header)
         reader = spark.read.option("basePath", path) if folder else spark.read
         frames.append(
