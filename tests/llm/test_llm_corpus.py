@@ -314,9 +314,13 @@ def test_occurrences_are_persisted_sorted(spark):
     blocks = Scratch(spark, "t").keep(
         df.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(collocations._gather(100), collocations._WORDS_DDL)
     )
+    rows = blocks.collect()
+    words = {(r.block, r.local): bytes(r.w).decode() for r in rows if r.local is not None}
     places = Counter()
-    for b in blocks.collect():
-        at = list(zip(b.piece, b.pos))
-        assert at == sorted(set(at))
-        places.update((b.lang, bytes(b.words[i]).decode(), p) for i, p in zip(b["item"], b.pos))
+    for r in rows:
+        if r.places is not None:
+            piece, pos, item = (c.tolist() for c in collocations.unpack(bytes(r.places)))
+            at = list(zip(piece, pos))
+            assert at == sorted(set(at)) and len(at) == r.size
+            places.update((r.lang, words[r.block, i], p) for i, p in zip(item, pos))
     assert places == Counter({("en", "a", 0): 1, ("en", "b", 1): 1, ("en", "c", 0): 1, ("en", "a", 1): 1, ("fr", "a", 0): 1, ("fr", "b", 1): 1, ("en", "b", 0): 1})

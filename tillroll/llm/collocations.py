@@ -9,7 +9,7 @@ piece and position; a group is a phrase of k words in one language. A round
    gives the occurrences of length k + 1, and persists them.
 
 Pieces never leave their block of documents, so the merge-join runs inside
-blocks of bounded size (kept as arrays, one row a block). What Spark shuffles are
+blocks of bounded size (one compressed row a block). What Spark shuffles are
 pre-aggregated counts, one row for each group of a block, and once a round the
 blocks themselves, to meet the groups kept. A group that a third of all pieces
 hold sends one row a block. Nothing is broadcast.
@@ -30,12 +30,11 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import Scratch
@@ -44,31 +43,54 @@ from tillroll.llm.common import Scratch
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 NO_LANG = "und"
 # Words of a block, about; blocks of a task; groups of a block (bits of a group's number).
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 19
 _SEQ_BITS, _LOCAL_BITS = 16, 25
-# Blocks handed to Python at once.
-BLOCKS_AT_ONCE = 4
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Rows handed back to Spark at once.
+ROWS = 1 << 16
 _FOLD = bytes(
     0x2E if b in PIECE_ENDS else b + 32 if 65 <= b <= 90 else 0x20 if b == 9 else b for b in range(256)
 )  # piece ends are '.', words are split at blanks
 
-_INTS = pa.list_(pa.int32())
-_LONGS = pa.list_(pa.int64())
+# A block is one row that holds its occurrences (size words), and one row for each of its groups with its places n.
 _WORDS = pa.schema([
-    ("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary())), ("counts", _LONGS),
-    ("piece", _INTS), ("pos", _INTS), ("item", _INTS),
+    ("block", pa.int64()), ("lang", pa.string()), ("local", pa.int32()), ("w", pa.binary()), ("n", pa.int64()),
+    ("size", pa.int64()), ("places", pa.binary()),
 ])
-_WORDS_DDL = "block bigint, lang string, words array<binary>, counts array<bigint>, piece array<int>, pos array<int>, item array<int>"
+_WORDS_DDL = "block bigint, lang string, local int, w binary, n bigint, size bigint, places binary"
 _GROUPS = pa.schema([
-    ("block", pa.int64()), ("x", _LONGS), ("y", _LONGS), ("counts", _LONGS), ("piece", _INTS), ("pos", _INTS), ("item", _INTS),
+    ("block", pa.int64()), ("local", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("places", pa.binary()),
 ])
-_GROUPS_DDL = "block bigint, x array<bigint>, y array<bigint>, counts array<bigint>, piece array<int>, pos array<int>, item array<int>"
+_GROUPS_DDL = "block bigint, local int, x bigint, y bigint, n bigint, places binary"
 
 
-def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """One list holding all values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+def pack(piece: np.ndarray, pos: np.ndarray, item: np.ndarray) -> bytes:
+    """An occurrence relation sorted by piece and position, compressed column by column."""
+    steps = np.diff(piece, prepend=0)
+    raw = b"".join(np.ascontiguousarray(c, "<i4").tobytes() for c in (steps, pos, item))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, position, item) of :func:`pack`."""
+    raw = pa.decompress(places[8:], int.from_bytes(places[:8], "little"), codec="zstd", asbytes=True)
+    steps, pos, item = np.frombuffer(raw, "<i4").reshape(3, -1)
+    return np.cumsum(steps, dtype=np.int32), pos, item
+
+
+def _rows(schema: pa.Schema, count: int, **columns) -> Iterator[pa.RecordBatch]:
+    """``count`` rows, some at a time; columns not given are null, single values are repeated."""
+    arrays = []
+    for field in schema:
+        values = columns.get(field.name)
+        if values is None:
+            arrays.append(pa.nulls(count, field.type))
+        elif isinstance(values, (np.ndarray, list)):
+            arrays.append(pa.array(values, field.type))
+        else:
+            arrays.append(pa.array([values], field.type).take(pa.array(np.zeros(count, np.int8))))
+    whole = pa.RecordBatch.from_arrays(arrays, schema=schema)
+    for at in range(0, count, ROWS):
+        yield whole.slice(at, ROWS)
 
 
 class _Block:
@@ -76,51 +98,40 @@ class _Block:
 
     def __init__(self):
         self.ids = defaultdict(itertools.count().__next__)
+        self.end = self.ids[b"."]
         self.items: list[np.ndarray] = []
         self.size = 0
 
     def add(self, words: list[bytes]) -> None:
         """Words with b'.' between pieces."""
+        words.append(b".")
         self.items.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
-        self.items.append(np.array([self.ids[b"."]], np.int32))
-        self.size += len(words) + 1
+        self.size += len(words)
 
-    def row(self, block: int, lang: str) -> pa.RecordBatch | None:
+    def rows(self, block: int, lang: str) -> Iterator[pa.RecordBatch]:
         items = np.concatenate(self.items)
-        end = items == self.ids[b"."]
-        piece = np.cumsum(end)
-        at = np.arange(len(items))
-        start = np.concatenate([[0], at[end] + 1])
+        end = items == self.end
+        piece = np.cumsum(end, dtype=np.int32)
+        at = np.arange(len(items), dtype=np.int32)
+        start = np.concatenate([[0], at[end] + 1]).astype(np.int32)
         words = ~end
-        item = items[words]
+        piece, item = piece[words], items[words]
         if not len(item):
-            return None
-        names = list(self.ids)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([block]), pa.array([lang]),
-                pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.array(names, pa.binary())),
-                _list(np.bincount(item, minlength=len(names)), pa.int64()),
-                _list(piece[words].astype(np.int32), pa.int32()),
-                _list((at - start[piece])[words].astype(np.int32), pa.int32()),
-                _list(item, pa.int32()),
-            ],
-            schema=_WORDS,
-        )
+            return
+        counts = np.bincount(item, minlength=len(self.ids))[1:]  # the first number is the piece end's
+        local = np.arange(1, len(self.ids), dtype=np.int32)
+        yield from _rows(_WORDS, len(local), block=block, lang=lang, local=local, w=list(self.ids)[1:], n=counts)
+        places = pack(piece, at[words] - start[piece], item)
+        yield from _rows(_WORDS, 1, block=block, lang=lang, size=len(item), places=[places])
 
 
 def _gather(block_words: int):
-    """Documents (lang, text as bytes) to blocks: occurrences of words, sorted by piece and position."""
+    """Documents (lang, text as bytes) to blocks: groups of one word, and their occurrences by piece and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = itertools.count(TaskContext.get().partitionId() << _SEQ_BITS)
         open_: dict[str, _Block] = {}
-
-        def close(lang: str) -> Iterator[pa.RecordBatch]:
-            row = open_.pop(lang).row(next(numbers), lang)
-            if row is not None:
-                yield row
-
+        held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
@@ -130,87 +141,92 @@ def _gather(block_words: int):
                 words = [w for w in words if w]
                 while words:
                     block = open_.setdefault(lang, _Block())
-                    part = words
-                    if len(words) > block_words:  # cut a very long text after a piece
+                    part, words = words, []
+                    if len(part) > block_words:  # cut a very long text after a piece
                         try:
-                            part = words[: words.index(b".", block_words) + 1]
+                            cut = part.index(b".", block_words) + 1
+                            part, words = part[:cut], part[cut:]
                         except ValueError:
                             pass
+                    before = block.size
                     block.add(part)
-                    words = words[len(part) :]
-                    if block.size >= block_words:
-                        yield from close(lang)
-                if sum(b.size for b in open_.values()) > 2 * block_words or len(open_) > 1024:
-                    yield from close(max(open_, key=lambda x: open_[x].size))
-        for lang in list(open_):
-            yield from close(lang)
+                    held += block.size - before
+                    while open_ and (block.size >= block_words or held > 2 * block_words or len(open_) > 1024):
+                        full = max(open_, key=lambda x: open_[x].size)
+                        block = open_.pop(full)
+                        held -= block.size
+                        yield from block.rows(next(numbers), full)
+                        if not open_:
+                            break
+                        block = max(open_.values(), key=lambda b: b.size)
+        for lang, block in open_.items():
+            yield from block.rows(next(numbers), lang)
 
     return run
 
 
 def _extend(with_places: bool):
-    """Blocks with the groups kept (local, gid) to blocks one word longer: merge-join on piece and next position."""
+    """Groups kept (block, local, gid) followed by their block's places, to blocks one word longer.
+
+    The merge-join on piece and next position: places are sorted, so the next
+    position of a piece is the next row, if it is there.
+    """
+
+    def block_rows(block: int, local: np.ndarray, gid: np.ndarray, places: bytes) -> Iterator[pa.RecordBatch]:
+        piece, pos, item = unpack(places)
+        number = np.full(int(max(item.max(initial=0), local.max(initial=0))) + 1, -1, np.int64)
+        number[local] = np.arange(len(local))
+        group = number[item]
+        few = group >= 0
+        piece, pos, group = piece[few], pos[few], group[few]
+        met = np.flatnonzero((piece[1:] == piece[:-1]) & (pos[1:] == pos[:-1] + 1))
+        if not len(met):
+            return
+        pair, which, counts = np.unique(group[met] * len(gid) + group[met + 1], return_inverse=True, return_counts=True)
+        locals_ = np.arange(len(pair), dtype=np.int32)
+        yield from _rows(_GROUPS, len(pair), block=block, local=locals_, x=gid[pair // len(gid)], y=gid[pair % len(gid)], n=counts)
+        if with_places:
+            yield from _rows(_GROUPS, 1, block=block, places=[pack(piece[met], pos[met], which)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for r in range(batch.num_rows):
-                block, (piece, pos, item, local, gid) = batch.column(0)[r].as_py(), (
-                    batch.column(c)[r].values.to_numpy() for c in range(1, 6)
-                )
-                kept = np.full(int(max(item.max(initial=0), local.max(initial=0))) + 1, -1, np.int64)
-                kept[local] = gid
-                group = kept[item]
-                few = group >= 0
-                piece, pos, group = piece[few], pos[few], group[few]
-                # Sorted by piece and position, so the next position is the next row if it is there.
-                met = np.flatnonzero((piece[1:] == piece[:-1]) & (pos[1:] == pos[:-1] + 1))
-                if not len(met):
-                    continue
-                # Numbers inside the block make pairs one sortable integer.
-                names, number = np.unique(group, return_inverse=True)
-                pair, which, counts = np.unique(
-                    number[met] * len(names) + number[met + 1], return_inverse=True, return_counts=True
-                )
-                none = np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block]),
-                        _list(names[pair // len(names)], pa.int64()), _list(names[pair % len(names)], pa.int64()),
-                        _list(counts, pa.int64()),
-                        _list(piece[met] if with_places else none, pa.int32()),
-                        _list(pos[met] if with_places else none, pa.int32()),
-                        _list(which.astype(np.int32) if with_places else none, pa.int32()),
-                    ],
-                    schema=_GROUPS,
-                )
+            block, local, gid, places = batch.columns
+            start = 0
+            for end in np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                held.append((local.slice(start, end - start).to_numpy(), gid.slice(start, end - start).to_numpy()))
+                both = [np.concatenate(c) for c in zip(*held)]
+                held, start = [], end + 1
+                if len(both[0]):
+                    yield from block_rows(block[end].as_py(), *both, places[end].as_py())
+            if start < len(block):
+                held.append((local.slice(start).to_numpy(), gid.slice(start).to_numpy()))
 
     return run
 
 
-def _counted(blocks: DataFrame, keys: list[str], source: dict[str, str], least: int) -> DataFrame:
-    """(block, local, keys, f, gid) of the groups with ``least`` places or more; ``source``: key to its array.
+def _counted(blocks: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys, block, local, f, gid, first) of the groups with ``least`` places or more.
 
     One shuffle by the group: a group's rows are one for each block. ``gid`` is
-    the first (block, local) that holds the group.
+    the first (block, local) that holds the group; that row is marked ``first``.
     """
-    arrays = [F.col(a).alias(k) for k, a in source.items()]
-    # n is null where a block's list has a place that is no word.
-    flat = blocks.select(*[k for k in keys if k not in source], "block", F.posexplode(F.arrays_zip(*arrays, F.col("counts").alias("n"))).alias("local", "g"))
     here = F.shiftleft(F.col("block"), _LOCAL_BITS).bitwiseOR(F.col("local").cast("bigint"))
-    flat = flat.select(*[F.col(f"g.{k}").alias(k) if k in source else F.col(k) for k in keys], here.alias("here"), F.col("g.n").alias("n"))
     of_group = Window.partitionBy(*keys)
-    flat = flat.filter("n > 0").select(
-        *keys, "here", F.sum("n").over(of_group).alias("f"), F.min("here").over(of_group).alias("gid")
-    )
+    flat = blocks.filter("local is not null").select(*keys, here.alias("here"), "n")
+    flat = flat.select(*keys, "here", F.sum("n").over(of_group).alias("f"), F.min("here").over(of_group).alias("gid"))
     block, local = F.shiftright("here", _LOCAL_BITS), F.col("here").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).cast("int")
-    return flat.filter(F.col("f") >= least).select(*keys, block.alias("block"), local.alias("local"), "f", "gid", (F.col("here") == F.col("gid")).alias("first"))
+    return flat.filter(F.col("f") >= least).select(
+        *keys, block.alias("block"), local.alias("local"), "f", "gid", (F.col("here") == F.col("gid")).alias("first")
+    )
 
 
 def _longer(blocks: DataFrame, kept: DataFrame, with_places: bool) -> DataFrame:
-    """Occurrences one word longer: blocks meet their groups (bounded by the block), then the merge-join."""
-    mine = kept.groupBy("block").agg(F.collect_list(F.struct("local", "gid")).alias("kept"))
-    met = blocks.select("block", "piece", "pos", "item").join(mine, "block")
-    met = met.select("block", "piece", "pos", "item", F.col("kept.local").alias("local"), F.col("kept.gid").alias("gid"))
+    """Occurrences one word longer: the semi-join with the groups kept, then the merge-join, block by block."""
+    none = F.lit(None)
+    groups = kept.select("block", "local", "gid", none.cast("binary").alias("places"))
+    places = blocks.filter("places is not null").select("block", none.cast("int").alias("local"), none.cast("bigint").alias("gid"), "places")
+    met = groups.unionByName(places).repartition("block").sortWithinPartitions("block", F.col("local").asc_nulls_last())
     return met.mapInArrow(_extend(with_places), _GROUPS_DDL)
 
 
@@ -234,17 +250,6 @@ def _div(top: Column, bottom: Column) -> Column:
     return F.call_function("div", top, bottom)
 
 
-@contextmanager
-def _few_blocks(spark: SparkSession):
-    """Inside, batches hold few rows: a block is one long row, and a batch of many would not fit into a worker."""
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(BLOCKS_AT_ONCE))
-    try:
-        yield
-    finally:
-        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
-
-
 def collocations(
     df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, inside: int = 50, top: int | None = 2000,
     block_words: int = BLOCK_WORDS,
@@ -257,9 +262,9 @@ def collocations(
     scratch = Scratch(df.sparkSession, "collocations")
     read = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).cast("string").cast("binary").alias("text"))
     blocks = scratch.keep(read.mapInArrow(_gather(block_words), _WORDS_DDL), "words")
-    totals = scratch.keep(blocks.groupBy("lang").agg(F.sum(F.size("item")).cast("bigint").alias("n")), "totals")
+    totals = scratch.keep(blocks.groupBy("lang").agg(F.sum("size").alias("n")), "totals")
 
-    kept = scratch.keep(_counted(blocks, ["lang", "w"], {"w": "words"}, least), "kept")
+    kept = scratch.keep(_counted(blocks, ["lang", "w"], least), "kept")
     none = F.array().cast("array<bigint>")
     # Every group once: its phrase, last word, counts of its beginnings and ends from 1 word on.
     word = F.col("w").cast("string")
@@ -268,12 +273,11 @@ def collocations(
     )
     candidates: list[DataFrame] = []
     for length in range(2, longest + 1):
-        with _few_blocks(df.sparkSession):
-            more = scratch.keep(_longer(blocks, kept, length < longest), "places")
+        more = scratch.keep(_longer(blocks, kept, length < longest), "places")
         scratch.drop(blocks)
         scratch.drop(kept)
         blocks = more
-        kept = scratch.keep(_counted(blocks, ["x", "y"], {"x": "x", "y": "y"}, least), "kept")
+        kept = scratch.keep(_counted(blocks, ["x", "y"], least), "kept")
         left = groups.select(
             F.col("gid").alias("x"), "lang", F.col("phrase").alias("head"), F.concat("starts", F.array("f")).alias("starts")
         )
