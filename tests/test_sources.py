@@ -326,3 +326,53 @@ def test_log_records_keep_events_without_or_with_negative_number(spark, monkeypa
     monkeypatch.setattr(registry.I, "log", lambda s, d: s.createDataFrame(rows, fields))
     got = registry._log_lines(spark, "").collect()
     assert sorted((r.run_id, r.event_id) for r in got) == [(f"r{i}", n) for i, n in enumerate(numbers)]
+
+
+PAYLOADS = [
+    ('{"a":1,"b":{"c":[1,"x",null,true,{"d":2.5}],"e":{}},"k é.":"q"}',
+     [("a", "number", "1", 1.0), ("b.c[0]", "number", "1", 1.0), ("b.c[1]", "string", "x", None), ("b.c[2]", "null", "null", None),
+      ("b.c[3]", "boolean", "true", None), ("b.c[4].d", "number", "2.5", 2.5), ("b.e", "object", "{}", None), ("k é.", "string", "q", None)]),
+    ("[1,[2]]", [("[0]", "number", "1", 1.0), ("[1][0]", "number", "2", 2.0)]),
+    ("nope {", [("", "bad", "nope {", None)]), ("", [("", "bad", "", None)]), ('{"a":1,"a":2}', [("", "bad", '{"a":1,"a":2}', None)]),
+    (None, []), ('"s"', [("", "string", "s", None)]), ("{}", [("", "object", "{}", None)]), ("null", [("", "null", "null", None)]),
+    ('{"1":{"2":{"3":{"4":{"5":6}}}}}', [("1.2.3.4", "object", '{"5":6}', None)]),
+    ("12345678901234567890123", [("", "number", "12345678901234567890123", 1.2345678901234568e22)]),
+]
+
+
+def test_payload_fields_are_typed_and_bad_ones_counted(spark):
+    from tillroll.sources.jsonlog import bad_payloads, payload_fields
+
+    rows = [(i, text, text if i % 2 else None, "kept") for i, (text, _) in enumerate(PAYLOADS)]
+    df = spark.createDataFrame(rows, "id int, input string, output string, side_note string")
+    fields = payload_fields(df, ["input", "output"])
+    got = sorted((tuple(r) for r in fields.collect()), key=repr)
+    want = [(i, "kept", side, *f) for i, (_, fs) in enumerate(PAYLOADS) for f in fs for side in (["input", "output"] if i % 2 else ["input"])]
+    assert got == sorted(want, key=repr)
+    n_bad = sum(f[1] == "bad" for _, fs in PAYLOADS for f in fs)
+    counts = {r.side: (r.n_bad, r.n_values) for r in bad_payloads(fields).collect()}
+    assert counts["input"] == (n_bad, sum(len(fs) for _, fs in PAYLOADS) - n_bad)
+    assert payload_fields(df.limit(0), ["input"]).collect() == []
+    plan = fields._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_log_of_many_runs_in_one_append(spark, tmp):
+    """Records of many runs name their run; appends add up; odd names and null runs come back; few files are written."""
+    runs = ["run_001", "a b/c=%2B+é", None, "hot"]
+    rows = [(runs[3 if i % 3 else i % 4], f"2025-01-01T00:00:{i % 60:02d}", f"tool{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "run_id string, timestamp string, tool string").coalesce(2)
+    for part in (df.filter("tool < 'tool2'"), df.filter("tool >= 'tool2'")):
+        sinks.append_records(part, tmp)
+    got = read_tool_calls(spark, tmp)
+    assert sorted(((r.run_id or ""), r.tool) for r in got.collect()) == sorted(((run or ""), tool) for run, _, tool in rows)
+    assert got.filter("ts is null").count() == 0
+    assert len([f for f in os.listdir(f"{tmp}/_many/tool_calls.jsonl") if f.startswith("part-")]) <= 4
+    sinks.append_log(spark, tmp, "run_001", "last", {"rows": 3})
+    assert read_tool_calls(spark, tmp).filter("run_id = 'run_001'").count() == sum(r[0] == "run_001" for r in rows) + 1
+    artifact = spark.createDataFrame([("x", "n", "p", "q", "t")], "run_id string, name string, path string, produced_by string, artifact_type string")
+    sinks.append_artifact_rows(artifact, tmp)
+    sinks.append_artifacts(spark, tmp, "y", [("n2", "p2", "q2", "t2")])
+    assert sorted((r.run, r.name) for r in sinks.read_artifacts(spark, tmp).collect()) == [("x", "n"), ("y", "n2")]
+    with pytest.raises(ValueError):
+        sinks.append_records(df.drop("run_id"), tmp)

@@ -601,7 +601,7 @@ ORACLE["log_records"] = with_views(
     LOG,
 )
 ORACLE["artifact_list"] = with_views(
-    """SELECT tool AS name, run_id || '/' || tool AS path, min(agent) AS produced_by, 'table' AS artifact_type
+    """SELECT run_id AS run, tool AS name, run_id || '/' || tool AS path, min(agent) AS produced_by, 'table' AS artifact_type
     FROM runlog WHERE success GROUP BY run_id, tool""",
     LOG,
 )
@@ -652,3 +652,16 @@ ORACLE["calls_in_lifetime"] = with_views(
        JOIN runlog l ON l.session = s.session AND l.ts BETWEEN s.started_at AND s.finished_at GROUP BY ALL""",
     LOG,
 )
+
+ORACLE["payload_fields"] = with_views(
+    """SELECT event_id, 'input' AS side, 'id' AS path, 'number' AS kind, CAST(event_id AS VARCHAR) AS text, CAST(event_id AS DOUBLE) AS number FROM runlog
+       UNION ALL SELECT event_id, 'data', '', 'bad', '{broken ' || event_id, NULL FROM runlog WHERE event_id % 11 = 0
+       UNION ALL SELECT event_id, 'data', p.path, p.kind, p.text, p.number FROM runlog, LATERAL (
+         SELECT unnest([
+           {'path': 'kind', 'kind': 'string', 'text': event_type, 'number': NULL::DOUBLE},
+           {'path': 'props.k', 'kind': 'number', 'text': json_extract_string(props, '$.k'), 'number': CAST(json_extract_string(props, '$.k') AS DOUBLE)},
+           {'path': 'by[0]', 'kind': 'string', 'text': agent, 'number': NULL}, {'path': 'by[1]', 'kind': 'string', 'text': tool, 'number': NULL},
+           {'path': 'state.ok', 'kind': 'boolean', 'text': CAST(success AS VARCHAR), 'number': NULL},
+           {'path': 'state.none', 'kind': 'array', 'text': '[]', 'number': NULL}], recursive := false) AS p) WHERE event_id % 11 <> 0""",
+    LOG,
+)

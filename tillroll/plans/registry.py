@@ -39,7 +39,7 @@ from tillroll.session import scratch_dir
 from tillroll.sources import invoices as INV
 from tillroll.sources import sinks
 from tillroll.sources.csv import read_invoice_csv
-from tillroll.sources.jsonlog import read_tool_calls
+from tillroll.sources.jsonlog import TOOL_CALL_SCHEMA, payload_fields, read_records, read_tool_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,7 +102,7 @@ def _clean_sink(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _log_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The run log written as JSON lines, even events in one record shape and all others in the other, and read back."""
+    """The run log appended as JSON lines, even events in one record shape and all others in the other, and read back."""
     log = I.log(spark, d)
     base = _scratch(spark, "runs")
     error = F.when(~F.col("success"), F.col("props"))
@@ -110,27 +110,47 @@ def _log_lines(spark: SparkSession, d: str) -> DataFrame:
     data = F.struct(F.when(F.col("success"), "success").otherwise("error").alias("status"), error.alias("message"), F.col("event_id"))
     even = F.coalesce(F.col("event_id") % 2 == 0, F.lit(False))
     short = log.filter(even).select(stamp.alias("timestamp"), "run_id", "tool", data.alias("data"))
-    short.write.json(f"{base}/all/tool_calls.jsonl")
+    sinks.append_records(short, base)
     output = F.struct(F.col("event_id"), F.col("run_id"))
     long = log.filter(~even).select(
         stamp.alias("timestamp"), "run_id", F.col("agent").alias("agent_name"), F.col("tool").alias("tool_name"),
         F.struct(F.lit("x").alias("file_path")).alias("input"), output.alias("output"), "success", error.alias("error"),
     )
-    long.write.mode("append").json(f"{base}/all/tool_calls.jsonl")
+    sinks.append_records(long, base)
     calls = read_tool_calls(spark, base)
     event = F.get_json_object("payload", "$.event_id").cast("bigint")
     return calls.select(event.alias("event_id"), "ts", "run_id", "agent", "tool", "success", "error")
 
 
+def _payload_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The run log appended with nested payloads (every eleventh one broken), read back and opened."""
+    log = I.log(spark, d)
+    base = _scratch(spark, "payloads")
+    nested = F.struct(
+        F.col("event_type").alias("kind"), F.parse_json("props").alias("props"), F.array("agent", "tool").alias("by"),
+        F.struct(F.col("success").alias("ok"), F.array().cast("array<string>").alias("none")).alias("state"),
+    )
+    broken = F.col("event_id") % 11 == 0
+    data = F.when(broken, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(nested))
+    records = log.select(
+        "run_id", F.col("event_id").cast("string").alias("tool"), data.alias("data"),
+        F.struct(F.col("event_id").alias("id")).alias("input"),
+    )
+    sinks.append_records(records, base)
+    raw = read_records(spark, base, "tool_calls.jsonl", TOOL_CALL_SCHEMA)
+    return payload_fields(raw.select(F.col("tool").cast("bigint").alias("event_id"), "input", "data"), ["input", "data"])
+
+
 def _artifact_list(spark: SparkSession, d: str) -> DataFrame:
-    """One artifact record for each run and tool of the log, written and read back."""
+    """One artifact record for each run and tool of the log, appended and read back."""
     base = _scratch(spark, "artifacts")
     log = I.log(spark, d)
     rows = log.filter("success").groupBy("run_id", "tool").agg(F.min("agent").alias("produced_by")).select(
-        F.col("tool").alias("name"), F.concat_ws("/", "run_id", "tool").alias("path"), "produced_by", F.lit("table").alias("artifact_type")
-    )
-    rows.write.json(f"{base}/artifacts.json")
-    return spark.read.schema(sinks.ARTIFACT_SCHEMA).json(f"{base}/artifacts.json")
+        "run_id", F.col("tool").alias("name"), F.concat_ws("/", "run_id", "tool").alias("path"), "produced_by",
+        F.lit("table").alias("artifact_type"),
+    )
+    sinks.append_artifact_rows(rows, base)
+    return sinks.read_artifacts(spark, base)
 
 
 def _insights_raw(spark: SparkSession, d: str) -> DataFrame:
@@ -256,6 +276,7 @@ QUERIES: dict[str, Query] = {
     "run_status": lambda s, d: RL.run_status(I.log(s, d)),
     "tool_calls": lambda s, d: RL.tool_calls(I.log(s, d)),
     "log_records": _log_lines,
+    "payload_fields": _payload_fields,
     "artifact_list": _artifact_list,
 }
 

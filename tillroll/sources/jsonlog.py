@@ -1,7 +1,8 @@
 """Run logs on disk: tool calls, decisions, run metadata, KPI documents.
 
 Layout: ``<base>/<run_id>/tool_calls.jsonl``, ``<base>/<run_id>/decisions.jsonl``
-and ``<base>/<run_id>/metadata.json``. A tool-call file mixes two record
+and ``<base>/<run_id>/metadata.json``; logs that one job writes for many runs
+lie in ``<base>/_many/`` and name their run. A tool-call file mixes two record
 shapes, ``{timestamp, run_id, tool, data}`` and ``{timestamp, agent_name,
 tool_name, input, output, success, error}``; both are read with one fixed
 schema (no inference) and coalesced. Nested objects are kept as JSON text.
@@ -89,10 +90,12 @@ KPI_DOC_SCHEMA = T.StructType(
 )
 
 _RUN_FROM_PATH = r"/([^/]+)/[^/]+\.jsonl?(/[^/]*)?$"
+# The folder of logs that one job writes for many runs.
+MANY_RUNS = "_many"
 
 
 def _run_of_path(path: str = "_metadata.file_path") -> F.Column:
-    return F.regexp_extract(F.col(path), _RUN_FROM_PATH, 1)
+    return F.nullif(F.regexp_extract(F.col(path), _RUN_FROM_PATH, 1), F.lit(MANY_RUNS))
 
 
 def _read(spark: SparkSession, pattern: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
@@ -104,6 +107,13 @@ def _read(spark: SparkSession, pattern: str, schema: T.StructType, multi_line: b
     return raw.select("*", F.col("_metadata.file_path").alias("_file"))
 
 
+def read_records(spark: SparkSession, base: str, kind: str, schema: T.StructType) -> DataFrame:
+    """The records of a kind of all runs, with their run (their own, else their folder's) as ``run``."""
+    own = [] if "run_id" in schema.names else [T.StructField("run_id", T.StringType())]
+    raw = _read(spark, f"{base.rstrip('/')}/*/{kind}", T.StructType([*schema.fields, *own]))
+    return raw.select(*schema.names, F.coalesce("run_id", _run_of_path("_file")).alias("run"))
+
+
 def _ts(text: F.Column) -> F.Column:
     return F.try_to_timestamp(text).cast("timestamp_ntz")
 
@@ -130,15 +140,73 @@ def unify_tool_calls(raw: DataFrame) -> DataFrame:
     )
 
 
+# Nested values are opened this many levels deep; what lies deeper stays as JSON text.
+PAYLOAD_LEVELS = 4
+
+
+def _kind(v: str) -> F.Column:
+    """The JSON kind of a variant."""
+    schema = F.schema_of_variant(v)
+    named = F.when(schema == "VOID", "null").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
+    return named.when(F.startswith(schema, F.lit("OBJECT<")), "object").when(F.startswith(schema, F.lit("ARRAY<")), "array").otherwise("number")
+
+
+def _members(v: str, path: str) -> F.Column:
+    """(path, value) of an object's or array's members; any other value, and an empty one, is its own only member."""
+    dot = F.when(F.col(path) == "", F.lit("")).otherwise(F.lit("."))
+    of_object = F.transform(
+        F.map_entries(F.try_variant_get(v, "$", "map<string, variant>")),
+        lambda e: F.struct(F.concat(F.col(path), dot, e["key"]).alias(path), e["value"].alias(v)),
+    )
+    of_array = F.transform(
+        F.try_variant_get(v, "$", "array<variant>"),
+        lambda e, i: F.struct(F.concat(F.col(path), F.lit("["), i.cast("string"), F.lit("]")).alias(path), e.alias(v)),
+    )
+    kind = _kind(v)
+    itself = F.array(F.struct(F.col(path), F.col(v)))
+    opened = F.when(kind == "object", of_object).when(kind == "array", of_array)
+    return F.when(F.size(opened) > 0, opened).otherwise(itself)
+
+
+def payload_fields(calls: DataFrame, columns: list[str], levels: int = PAYLOAD_LEVELS) -> DataFrame:
+    """The values inside JSON columns, one row each: (<other columns>, side, path, kind, text, number).
+
+    ``side`` names the column. ``path`` is the place (``a.b[0].c``), ``kind`` one of
+    string, number, boolean, null, object, array, bad; ``text`` holds strings
+    as they are and other values as JSON, ``number`` numbers as doubles.
+    Objects and arrays are opened down to ``levels``; an empty one, and what lies
+    below that, is a row of its own. Text that is no JSON (an object that names
+    a key twice included) is one row of kind ``bad``; a null column has no row.
+    One pass over the rows, no shuffle and no Python.
+    """
+    keep = [f"`{c}`" for c in calls.columns if c not in columns]
+    sides = [F.struct(F.lit(c).alias("side"), F.col(f"`{c}`").cast("string").alias("__json")) for c in columns]
+    rows = calls.select(*keep, F.inline(F.array(*sides))).filter(F.col("__json").isNotNull())
+    bad = F.when(F.try_parse_json("__json").isNull(), F.col("__json")).alias("__bad")
+    rows = rows.select(*keep, "side", F.lit("").alias("path"), bad, F.try_parse_json("__json").alias("__v"))
+    for _ in range(levels):
+        rows = rows.select(*keep, "side", "__bad", F.inline(_members("__v", "path")))
+    kind = F.when(F.col("__v").isNull(), "bad").otherwise(_kind("__v"))
+    rows = rows.withColumn("kind", kind)
+    text = F.when(F.col("kind") == "bad", F.col("__bad")).when(F.col("kind") == "string", F.try_variant_get("__v", "$", "string"))
+    number = F.when(F.col("kind") == "number", F.try_variant_get("__v", "$", "double"))
+    return rows.select(*keep, "side", "path", "kind", text.otherwise(F.to_json("__v")).alias("text"), number.alias("number"))
+
+
+def bad_payloads(fields: DataFrame) -> DataFrame:
+    """(side, n_bad, n_values) of :func:`payload_fields`: texts that are no JSON, and values found."""
+    bad = F.col("kind") == "bad"
+    return fields.groupBy("side").agg(F.count_if(bad).alias("n_bad"), F.count_if(~bad).alias("n_values"))
+
+
 def read_tool_calls(spark: SparkSession, base: str) -> DataFrame:
-    raw = _read(spark, f"{base.rstrip('/')}/*/tool_calls.jsonl", TOOL_CALL_SCHEMA)
-    return unify_tool_calls(raw.withColumn("file_run", _run_of_path("_file")))
+    return unify_tool_calls(read_records(spark, base, "tool_calls.jsonl", TOOL_CALL_SCHEMA).withColumnRenamed("run", "file_run"))
 
 
 def read_decisions(spark: SparkSession, base: str) -> DataFrame:
-    raw = _read(spark, f"{base.rstrip('/')}/*/decisions.jsonl", DECISION_SCHEMA)
+    raw = read_records(spark, base, "decisions.jsonl", DECISION_SCHEMA)
     return raw.select(
-        _run_of_path("_file").alias("run_id"),
+        F.col("run").alias("run_id"),
         _ts(F.col("timestamp")).alias("ts"),
         F.col("timestamp").alias("timestamp_text"),
         "agent",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.schema import ALIASES, to_source_headers
+from tillroll.sources.jsonlog import MANY_RUNS, read_records
 
 LOG_RECORD_SCHEMA = T.StructType(
     [
@@ -69,14 +70,28 @@ def _now() -> str:
     return dt.datetime.now().isoformat()
 
 
+def append_records(records: DataFrame, base: str, kind: str = "tool_calls.jsonl", run_id: str | None = None) -> None:
+    """Append log records, one JSON line each.
+
+    ``records`` holds the record's fields; those with nested values are structs
+    or variants. With ``run_id`` they all go to that run's folder. Otherwise
+    the records name their runs in ``run_id`` and go to one folder for many
+    runs, as many files as the records have tasks: a folder for each of very
+    many runs would be a file for each of them in every append.
+    """
+    if run_id is None and "run_id" not in records.columns:
+        raise ValueError("records of many runs must have a column run_id")
+    records.write.mode("append").json(f"{base.rstrip('/')}/{run_id or MANY_RUNS}/{kind}")
+
+
 def append_log(spark: SparkSession, base: str, run_id: str, tool: str, data: dict) -> None:
-    """Append one tool-call record ``{timestamp, run_id, tool, data}`` to the run's log.
+    """S7 for one step: append a tool-call record ``{timestamp, run_id, tool, data}`` to the run's log.
 
     ``data`` is a small dict of step figures (counts, paths), never lines.
     """
     row = (_now(), run_id, tool, json.dumps(data, ensure_ascii=False, default=str))
     frame = spark.createDataFrame([row], LOG_RECORD_SCHEMA).withColumn("data", F.parse_json("data"))
-    frame.coalesce(1).write.mode("append").json(f"{base.rstrip('/')}/{run_id}/tool_calls.jsonl")
+    append_records(frame.coalesce(1), base, run_id=run_id)
 
 
 def append_decision(spark: SparkSession, base: str, run_id: str, agent: str, decision: str, reason: str) -> None:
@@ -95,6 +110,17 @@ def write_metadata(spark: SparkSession, base: str, run_id: str, status: str, com
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(f"{base.rstrip('/')}/{run_id}/metadata.json")
 
 
+def append_artifact_rows(artifacts: DataFrame, base: str, run_id: str | None = None) -> None:
+    """Append artifact records {name, path, produced_by, artifact_type}, of one run or of the runs in column ``run_id``."""
+    columns = [*ARTIFACT_SCHEMA.names, *([] if run_id is not None else ["run_id"])]
+    append_records(artifacts.select(*columns), base, "artifacts.json", run_id)
+
+
 def append_artifacts(spark: SparkSession, base: str, run_id: str, rows: list[tuple[str, str, str, str]]) -> None:
-    """Append artifact records {name, path, produced_by, artifact_type}."""
-    spark.createDataFrame(rows, ARTIFACT_SCHEMA).coalesce(1).write.mode("append").json(f"{base.rstrip('/')}/{run_id}/artifacts.json")
+    """S9 for one step: a few artifact records."""
+    append_artifact_rows(spark.createDataFrame(rows, ARTIFACT_SCHEMA).coalesce(1), base, run_id)
+
+
+def read_artifacts(spark: SparkSession, base: str) -> DataFrame:
+    """The artifact records of all runs under ``base``, with their run as ``run``."""
+    return read_records(spark, base, "artifacts.json", ARTIFACT_SCHEMA)
