@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -324,3 +325,28 @@ def test_occurrences_are_persisted_sorted(spark):
             assert at == sorted(set(at)) and len(at) == r.size
             places.update((r.lang, words[r.block, i], p) for i, p in zip(item, pos))
     assert places == Counter({("en", "a", 0): 1, ("en", "b", 1): 1, ("en", "c", 0): 1, ("en", "a", 1): 1, ("fr", "a", 0): 1, ("fr", "b", 1): 1, ("en", "b", 0): 1})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_are_counted_across_batches(seed):
+    """Sorted rows cut anywhere: totals, members and numbers as a plain grouping gives them."""
+    rng = np.random.default_rng(seed)
+    rows = sorted((str(rng.integers(0, 4)), int(rng.integers(0, 5)), here, int(rng.integers(1, 4))) for here in range(300))
+    schema = pa.schema([("a", pa.string()), ("b", pa.int64()), ("here", pa.int64()), ("gid", pa.int64()), ("f", pa.int64())])
+    groups, out, at = collocations._Groups(schema, 2, 25), [], 0
+    while at < len(rows):
+        size = int(rng.integers(0, 3 if seed % 2 else 60))
+        part, at = rows[at : at + size], at + size
+        cols = list(zip(*part)) or [[]] * 4
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["a", "b", "here", "n"])
+        out += [r for b in groups.add(batch) for r in b.to_pylist()]
+    out += [r for b in groups.end() for r in b.to_pylist()]
+    total, first = Counter(), {}
+    for a, b, here, n in rows:
+        total[a, b] += n
+        first.setdefault((a, b), here)
+    kept = {k for k, n in total.items() if n >= 25}
+    assert 0 < len(kept) < len(total)
+    assert sorted((r["a"], r["b"], r["gid"], r["f"]) for r in out if r["f"] is not None) == sorted((*k, first[k], total[k]) for k in kept)
+    assert sorted((r["here"], r["gid"]) for r in out if r["f"] is None) == sorted((h, first[a, b]) for a, b, h, _ in rows if (a, b) in kept)

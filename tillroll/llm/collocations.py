@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ from tillroll.llm.common import Scratch
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 NO_LANG = "und"
 # Words of a block, about; blocks of a task; groups of a block (bits of a group's number).
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 20
 _SEQ_BITS, _LOCAL_BITS = 16, 25
 # Rows handed back to Spark at once.
 ROWS = 1 << 16
@@ -205,26 +206,100 @@ def _extend(with_places: bool):
     return run
 
 
+class _Groups:
+    """Counts groups of rows (keys, here, n) that come sorted by keys and here, holding less than ``least`` rows.
+
+    A group is known to be kept as soon as its places reach ``least``; from
+    then on its rows pass by, and its total follows when it ends.
+    """
+
+    def __init__(self, schema: pa.Schema, n_keys: int, least: int):
+        self.schema, self.n_keys, self.least = schema, n_keys, least
+        self.held: pa.RecordBatch | None = None  # rows of the last group, not yet known to be kept
+        self.key: list | None = None  # the last group, known to be kept: key, gid, places so far
+        self.gid = self.places = 0
+
+    def _rows(self, keys: list, here, gid, f) -> pa.RecordBatch:
+        size = len(gid)
+        given = [*(keys or [None] * self.n_keys), here, gid, f]
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(size, t.type) if c is None else c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(given, self.schema)],
+            schema=self.schema,
+        )
+
+    def _close(self) -> Iterator[pa.RecordBatch]:
+        if self.key is not None:
+            yield self._rows([pa.array([k], t.type) for k, t in zip(self.key, self.schema)], None, [self.gid], [self.places])
+        self.key = None
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            batch = pa.Table.from_batches([self.held, batch]).combine_chunks().to_batches()[0]
+            self.held = None
+        if not batch.num_rows:
+            return
+        keys, (here, n) = batch.columns[: self.n_keys], (batch.column(self.n_keys + i).to_numpy() for i in range(2))
+        new = np.zeros(len(here), bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(new)
+        sizes = np.diff(np.append(start, len(here)))
+        places, gid = np.add.reduceat(n, start), here[start].copy()
+        if self.key is not None:
+            if self.key == [k[0].as_py() for k in keys]:
+                places[0] += self.places
+                gid[0] = self.gid
+                self.key = None
+            else:
+                yield from self._close()
+        kept = places >= self.least
+        rows = np.repeat(kept, sizes)
+        if rows.any():
+            yield self._rows(None, here[rows], np.repeat(gid[kept], sizes[kept]), None)
+        if kept[-1]:
+            self.key, self.gid, self.places = [k[int(start[-1])].as_py() for k in keys], int(gid[-1]), int(places[-1])
+        else:
+            self.held = batch.slice(int(start[-1]))
+        whole = np.flatnonzero(kept[:-1])
+        if len(whole):
+            at = pa.array(start[whole])
+            yield self._rows([k.take(at) for k in keys], None, gid[whole], places[whole])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self._close()
+
+
 def _counted(blocks: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(keys, block, local, f, gid, first) of the groups with ``least`` places or more.
+    """Groups with ``least`` places or more: a row (gid, f, keys) for each, and a row (gid, here) for each block's group.
 
-    One shuffle by the group: a group's rows are one for each block. ``gid`` is
-    the first (block, local) that holds the group; that row is marked ``first``.
+    One shuffle by the group: its rows are one for each block, so they are the
+    counts before the last sum. ``here`` numbers a block's group, ``gid`` is the
+    least of them.
     """
     here = F.shiftleft(F.col("block"), _LOCAL_BITS).bitwiseOR(F.col("local").cast("bigint"))
-    of_group = Window.partitionBy(*keys)
     flat = blocks.filter("local is not null").select(*keys, here.alias("here"), "n")
-    flat = flat.select(*keys, "here", F.sum("n").over(of_group).alias("f"), F.min("here").over(of_group).alias("gid"))
-    block, local = F.shiftright("here", _LOCAL_BITS), F.col("here").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).cast("int")
-    return flat.filter(F.col("f") >= least).select(
-        *keys, block.alias("block"), local.alias("local"), "f", "gid", (F.col("here") == F.col("gid")).alias("first")
-    )
+    kinds = dict(flat.dtypes)
+    ddl = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", here bigint, gid bigint, f bigint"
+    arrow = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
+    schema = pa.schema([*((k, arrow[kinds[k]]) for k in keys), ("here", pa.int64()), ("gid", pa.int64()), ("f", pa.int64())])
+    n_keys = len(keys)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = _Groups(schema, n_keys, least)
+        for batch in batches:
+            yield from groups.add(batch)
+        yield from groups.end()
+
+    return flat.repartition(*keys).sortWithinPartitions(*keys, "here").mapInArrow(count, ddl)
 
 
 def _longer(blocks: DataFrame, kept: DataFrame, with_places: bool) -> DataFrame:
     """Occurrences one word longer: the semi-join with the groups kept, then the merge-join, block by block."""
     none = F.lit(None)
-    groups = kept.select("block", "local", "gid", none.cast("binary").alias("places"))
+    block, local = F.shiftright("here", _LOCAL_BITS), F.col("here").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).cast("int")
+    members = kept.filter("here is not null").select(block.alias("block"), local.alias("local"), "gid")
+    groups = members.withColumn("places", none.cast("binary"))
     places = blocks.filter("places is not null").select("block", none.cast("int").alias("local"), none.cast("bigint").alias("gid"), "places")
     met = groups.unionByName(places).repartition("block").sortWithinPartitions("block", F.col("local").asc_nulls_last())
     return met.mapInArrow(_extend(with_places), _GROUPS_DDL)
@@ -269,7 +344,7 @@ def collocations(
     # Every group once: its phrase, last word, counts of its beginnings and ends from 1 word on.
     word = F.col("w").cast("string")
     groups = scratch.keep(
-        kept.filter("first").select("gid", "lang", "f", word.alias("phrase"), word.alias("last"), none.alias("starts"), none.alias("ends")), "groups"
+        kept.filter("f is not null").select("gid", "lang", "f", word.alias("phrase"), word.alias("last"), none.alias("starts"), none.alias("ends")), "groups"
     )
     candidates: list[DataFrame] = []
     for length in range(2, longest + 1):
@@ -282,7 +357,7 @@ def collocations(
             F.col("gid").alias("x"), "lang", F.col("phrase").alias("head"), F.concat("starts", F.array("f")).alias("starts")
         )
         right = groups.select(F.col("gid").alias("y"), "last", F.concat("ends", F.array("f")).alias("ends"))
-        new = kept.filter("first").select("gid", "f", "x", "y").join(left, "x").join(right, "y")
+        new = kept.filter("f is not null").select("gid", "f", "x", "y").join(left, "x").join(right, "y")
         longer = scratch.keep(
             new.select("gid", "lang", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "starts", "ends", "x", "y"), "groups"
         )
