@@ -665,3 +665,9 @@ ORACLE["payload_fields"] = with_views(
            {'path': 'state.none', 'kind': 'array', 'text': '[]', 'number': NULL}], recursive := false) AS p) WHERE event_id % 11 <> 0""",
     LOG,
 )
+
+ORACLE["live_run_status"] = with_views(
+    """SELECT run_id, CASE WHEN n_errors > 0 THEN 'failed' ELSE 'running' END AS status, n_calls, n_errors, started_at,
+         finished_at AS last_call_at FROM status""",
+    LOG, STATUS,
+)

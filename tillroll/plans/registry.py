@@ -40,11 +40,15 @@ from tillroll.sources import invoices as INV
 from tillroll.sources import sinks
 from tillroll.sources.csv import read_invoice_csv
 from tillroll.sources.jsonlog import TOOL_CALL_SCHEMA, payload_fields, read_records, read_tool_calls
+from tillroll.streaming.run_status import live_status, start_live_status
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Fixed value: the date that splits the view into the two period files of ``union_periods``.
 PERIOD_SPLIT = "1998-01-01"
+# Fixed value: the delay within which the log of ``live_run_status`` comes, as its files have no order of time.
+LIVE_DELAY = "3650 days"
 # Fixed value: the name of all months together.
 ALL_MONTHS = "all"
 # The run that ``dashboard_payload`` is published for, and its folder.
@@ -122,6 +126,21 @@ def _log_lines(spark: SparkSession, d: str) -> DataFrame:
     return calls.select(event.alias("event_id"), "ts", "run_id", "agent", "tool", "success", "error")
 
 
+def _live_run_status(spark: SparkSession, d: str) -> DataFrame:
+    """Run status by the event-time stream over the log as it was appended: every third record twice, in two parts."""
+    log = I.log(spark, d)
+    base = _scratch(spark, "live")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+    error = F.when(F.col("failed"), F.lit("failed")).alias("error")
+    records = log.select(stamp, "run_id", F.col("agent").alias("agent_name"), F.col("tool").alias("tool_name"), F.struct("event_id").alias("input"), error)
+    sinks.append_records(records, base)
+    sinks.append_records(records.filter(F.col("input.event_id") % 3 == 0), base)
+    query = start_live_status(spark, base, f"{base}/status", delay=LIVE_DELAY, available_now=True)
+    query.awaitTermination()
+    status = live_status(spark, f"{base}/status")
+    return status.select("run_id", "status", "n_calls", "n_errors", "started_at", "last_call_at")
+
+
 def _payload_fields(spark: SparkSession, d: str) -> DataFrame:
     """The run log appended with nested payloads (every eleventh one broken), read back and opened."""
     log = I.log(spark, d)
@@ -276,6 +295,7 @@ QUERIES: dict[str, Query] = {
     "run_status": lambda s, d: RL.run_status(I.log(s, d)),
     "tool_calls": lambda s, d: RL.tool_calls(I.log(s, d)),
     "log_records": _log_lines,
+    "live_run_status": _live_run_status,
     "payload_fields": _payload_fields,
     "artifact_list": _artifact_list,
 }

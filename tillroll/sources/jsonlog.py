@@ -129,7 +129,7 @@ def unify_tool_calls(raw: DataFrame) -> DataFrame:
     failed = error.isNotNull() | F.coalesce(status == "error", F.lit(False))
     success = F.when(failed, F.lit(False)).otherwise(F.coalesce(F.col("success"), F.lit(True)))
     return raw.select(
-        F.xxhash64("file_run", "timestamp", "tool", "tool_name", "data", "input", "output").alias("event_id"),
+        F.xxhash64("file_run", *[c for c in TOOL_CALL_SCHEMA.names]).alias("event_id"),
         _ts(F.col("timestamp")).alias("ts"),
         F.coalesce(F.col("run_id"), F.col("file_run")).alias("run_id"),
         F.col("agent_name").alias("agent"),
