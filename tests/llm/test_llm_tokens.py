@@ -79,6 +79,14 @@ def test_op1_rows(spark, small_dir):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_word_ids_equal_library_on_every_code_point():
+    """Controls, letters and marks, alone and inside words: no token is lost."""
+    library, own = Tokenizer.from_file(WORD), packing.WordIds(WORD)
+    for c in map(chr, [*range(0x3000), *range(0xFE00, 0x10100), *range(0x1F600, 0x1F620)]):
+        for text in (f"a{c}b", f"x {c} It'S{c}", f"{c}{c}A1."):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_word_ids_equal_library():
     library, own = Tokenizer.from_file(WORD), packing.WordIds(WORD)
     for text in odd_texts(1500, 3):
@@ -147,6 +155,41 @@ def test_crossing_improves_a_poor_start():
     assert len(best.loads) == 120
 
 
+def test_crossing_beats_best_fit():
+    """Four sizes that best fit by decreasing length pairs badly: disordered starts save bins, crossings save more."""
+    for seed in range(4):
+        lengths = np.sort(np.array([510] * 120 + [270] * 120 + [260] * 120 + [230] * 240))[::-1]
+        plain = packing.decreasing(lengths, 1000)
+        starts, best = (packing.evolve([], lengths, 1000, children, seed) for children in (0, 60))
+        assert np.bincount(best.bins, weights=lengths).max() <= 1000
+        assert 180 <= len(best.loads) < len(starts.loads) < len(plain.loads) == 220
+
+
+def test_islands_start_apart_and_waste_counts():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 700, 500)
+    first, second = (packing.evolve([], lengths, 1000, 0, 7 + i, plain=i == 0) for i in range(2))
+    assert not np.array_equal(first.bins, second.bins)
+    solution = packing.Solution(np.array([0, 0, 1, 2, 3, 4, 5]), np.array([60, 40, 90, 80, 10, 20, 30]), 100)
+    assert solution.waste == 10 and sorted(solution.loads[solution.open_bins(100)]) == [10, 20, 30, 80]
+
+
+@pytest.mark.parametrize("shard,merged", [(40, 3), (300, 32)])
+def test_many_shards_pack_as_well_as_one(spark, monkeypatch, shard, merged):
+    """Small shards hand their least filled bins on: the whole needs at most one sequence more than its bound."""
+    monkeypatch.setattr(packing, "SHARD_PIECES", shard)
+    monkeypatch.setattr(packing, "MERGED", merged)
+    rng = np.random.default_rng(shard)
+    lengths = np.minimum(2048, 1 + rng.exponential(350, 1500)).astype(int)
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "row bigint, length bigint")
+    got = packing.pack(df).join(df, "row").toPandas()
+    assert len(got) == len(lengths) and got.row.is_unique
+    bound = -(-lengths.sum() // 2048)
+    assert got.sequence_id.nunique() <= bound + 1
+    for _, bin_ in got.sort_values("offset").groupby("sequence_id"):
+        assert bin_.offset.tolist() == [0, *bin_.length.cumsum().tolist()[:-1]] and bin_.length.sum() <= 2048
+
+
 def brute_chat(rows):
     convs = {}
     for conv, turn, role, text in rows:

@@ -4,8 +4,12 @@ Method: a solution is a grouping of pieces into bins. Crossover injects whole
 well-filled bins of one parent into the other, removes the bins that now hold
 duplicates and best-fits the displaced pieces again. Pieces are dealt over
 shards of bounded size by a hash; each shard is evolved on several islands
-(tasks) apart, the elite of every island migrates to the next, and after the
-last epoch the islands of a shard meet and their best solution is taken.
+(tasks) apart, from different starts; the elite of every island migrates to the
+next, and after the last epoch the islands of a shard meet and their best
+solution is taken. What counts is the whole table: a solution is better if it
+has fewer bins, then if less room is lost outside its least filled bins. These
+few bins of every shard are taken apart and evolved anew together, round by
+round, until one group is left.
 
 Tokens: a text's ids by a public tokenizer file with word ends, then one id 0.
 White space never survives in that file's tokens, so the stretches between
@@ -21,6 +25,7 @@ is the same for the same stored pieces: ties go by length, then row number.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,13 +44,18 @@ CAPACITY = 2048
 SEPARATOR = 0
 # Fixed value: the word pattern of the tokenizer file with word ends.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORD_CACHE, STRETCH_CACHE = 500_000, 400_000
+WORD_CACHE, STRETCH_CACHE = 500_000, 500_000
+# Marks that often end a stretch of letters.
+_ENDS = frozenset(".,!?;:|")
 # Pieces of a shard (about), islands, epochs between migrations, children of an epoch, solutions on an island.
 SHARD_PIECES = 16384
 ISLANDS = 2
 EPOCHS = 2
 CHILDREN = 12
 POPULATION = 4
+# Least filled bins that a shard hands on, and shards that pack them anew together.
+OPEN_BINS = 4
+MERGED = 32
 
 
 class WordIds:
@@ -63,26 +73,27 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             self._special = [t["content"] for t in json.load(f)["added_tokens"]]
         self._letters = byte_alphabet()
+        self._tokenize = self._tokenizer.model.tokenize
         self._words = regex.compile(WORD).findall
         self._word = Known(self._of_word, WORD_CACHE).__getitem__
         self._stretch = Known(self._of_stretch, STRETCH_CACHE).__getitem__
 
     def _of_word(self, word: str) -> bytes:
-        if not word.isascii():
+        if not word.isascii() or not word.isprintable():  # the alphabet's own letters stand for themselves
             word = "".join(map(self._letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self._tokenizer.model.tokenize(word)], "<u4").tobytes()
+        ids = [t.id for t in self._tokenize(word)]
+        return struct.pack("<%dI" % len(ids), *ids)
 
     def _of_stretch(self, stretch: str) -> bytes:
-        if not stretch:
-            return b""
+        low = stretch.lower()
+        if stretch.isascii():
+            if low.isalpha():
+                return self._word(low)
+            if low[-1:] in _ENDS and low[:-1].isalpha():
+                return self._word(low[:-1]) + self._word(low[-1])
         # Below U+0300 nothing is composed, and one letter's lower case does not depend on its neighbours.
-        if max(stretch) >= "̀" or any(s in stretch for s in self._special):
+        if stretch and (max(stretch) >= "̀" or any(s in stretch for s in self._special)):
             return np.array(self._tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-        low = stretch.lower()
-        if low.isalpha():
-            return self._word(low)
-        if low[-1] in ".,!?;:|" and low[:-1].isalpha():
-            return self._word(low[:-1]) + self._word(low[-1])
         return b"".join(map(self._word, self._words(low)))
 
     def encode(self, text: str | None) -> bytes:
@@ -160,8 +171,15 @@ class Solution:
     def __init__(self, bins: np.ndarray, lengths: np.ndarray, capacity: int):
         used, self.bins = np.unique(bins, return_inverse=True)
         self.loads = np.bincount(self.bins, weights=lengths, minlength=len(used)).astype(np.int64)
-        # Fewer bins first, then fuller ones.
-        self.worth = (-len(used), float(((self.loads / capacity) ** 2).sum()))
+        # Room that stays unused: what the least filled bins leave can still be used by other shards' pieces.
+        self.waste = int((capacity - np.sort(self.loads)[OPEN_BINS:]).sum())
+        # Fewer bins first, then less waste, then fuller bins.
+        self.worth = (-len(used), -self.waste, float(((self.loads / capacity) ** 2).sum()))
+
+    def open_bins(self, capacity: int) -> np.ndarray:
+        """The least filled bins with room, the ones to be packed anew."""
+        least = np.argsort(self.loads, kind="stable")[:OPEN_BINS]
+        return least[self.loads[least] < capacity]
 
 
 def decreasing(lengths: np.ndarray, capacity: int, rng: np.random.Generator | None = None) -> Solution:
@@ -174,14 +192,16 @@ def decreasing(lengths: np.ndarray, capacity: int, rng: np.random.Generator | No
 
 def cross(a: Solution, b: Solution, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> Solution:
     """Whole well-filled bins of ``b`` go into ``a``; pieces of the bins they disturb are best-fitted again."""
-    full = np.argsort(-b.loads, kind="stable")[: max(1, len(b.loads) // 2)]
+    well = np.flatnonzero(b.loads == capacity)
+    if not len(well):
+        well = np.argsort(-b.loads, kind="stable")[: max(1, len(b.loads) // 2)]
     taken = np.zeros(len(b.loads), bool)
-    taken[full[rng.random(len(full)) < rng.uniform(0.05, 0.3)]] = True
+    taken[well[rng.random(len(well)) < rng.uniform(0.05, 0.9)]] = True
     moved = taken[b.bins]
     hit = np.zeros(len(a.loads), bool)
     hit[a.bins[moved]] = True
     # The emptiest bins of ``a`` are dissolved too, so that their pieces get another chance.
-    hit[np.argsort(a.loads, kind="stable")[: 1 + len(a.loads) // 50]] = True
+    hit[np.argsort(a.loads, kind="stable")[: 1 + int(len(a.loads) * rng.uniform(0.0, 0.1))]] = True
     displaced = np.flatnonzero(hit[a.bins] & ~moved)
     bins = np.where(moved, len(a.loads) + b.bins, a.bins)
     bins[displaced] = -1
@@ -189,22 +209,34 @@ def cross(a: Solution, b: Solution, lengths: np.ndarray, capacity: int, rng: np.
     if len(displaced):
         used, inverse = used[1:], inverse - 1
     loads = np.bincount(inverse[inverse >= 0], weights=lengths[inverse >= 0], minlength=len(used)).astype(int).tolist()
-    order = displaced[np.argsort(-lengths[displaced], kind="stable")]
-    best_fit(order, lengths, inverse, loads, capacity)
+    # By decreasing length, with some disorder, or the same pieces would meet again.
+    key = -lengths[displaced] * rng.uniform(rng.uniform(0.5, 1.0), 1.0, len(displaced))
+    best_fit(displaced[np.argsort(key, kind="stable")], lengths, inverse, loads, capacity)
     return Solution(inverse, lengths, capacity)
 
 
-def evolve(start: list[Solution], lengths: np.ndarray, capacity: int, children: int, seed: int) -> Solution:
-    """The best solution after ``children`` crossings, from ``start`` and fresh ones."""
+def evolve(start: list[Solution], lengths: np.ndarray, capacity: int, children: int, seed: int, spare: int = 0, plain: bool = True) -> Solution:
+    """The best solution after ``children`` crossings, from ``start`` and fresh ones.
+
+    It ends early only where nothing better can matter: no grouping has fewer
+    bins, and no more than ``spare`` tokens of room are lost to the whole table.
+    ``plain`` adds best fit by decreasing length itself; the other fresh
+    solutions are disordered by ``seed``, so islands start apart.
+    """
     rng = np.random.default_rng(seed)
-    alive = list(start) or [decreasing(lengths, capacity)]
+    alive = list(start) or ([decreasing(lengths, capacity)] if plain else [])
     least = -(-int(lengths.sum()) // capacity)
-    while len(alive) < POPULATION:
-        alive.append(decreasing(lengths, capacity, rng))
+
+    def done(s: Solution) -> bool:
+        return len(s.loads) <= least and s.waste <= spare
+
+    if not any(map(done, alive)):
+        while len(alive) < POPULATION:
+            alive.append(decreasing(lengths, capacity, rng))
     for _ in range(children):
         alive.sort(key=lambda s: s.worth, reverse=True)
-        if -alive[0].worth[0] <= least:
-            break  # no grouping has fewer bins
+        if done(alive[0]):
+            break
         i, j = rng.choice(len(alive), 2, replace=False) if len(alive) > 1 else (0, 0)
         child = cross(alive[min(i, j)], alive[max(i, j)], lengths, capacity, rng)
         if child.worth > alive[-1].worth:
@@ -212,27 +244,21 @@ def evolve(start: list[Solution], lengths: np.ndarray, capacity: int, children:
     return max(alive, key=lambda s: s.worth)
 
 
-def pack(stored: DataFrame, capacity: int = CAPACITY, row: str = "row", length: str = "length") -> DataFrame:
-    """(row, sequence_id, offset) for the stored pieces (``row`` is unique; lengths from 1 to ``capacity``)."""
-    n = stored.count()
-    shards = max(1, round(n / SHARD_PIECES))
-    sizes = stored.select(
-        F.col(row).alias("row"), F.col(length).cast("int").alias("length"),
-        F.pmod(F.xxhash64(F.col(row)), F.lit(shards)).alias("shard"),
-    )
-    scratch = Scratch(stored.sparkSession, "packing")
+def _evolved(sizes: DataFrame, capacity: int, spare: int, scratch: Scratch) -> DataFrame:
+    """(shard, row, length, bin, offset, open) of (shard, row, length): islands evolve apart, migrate, and meet."""
 
-    def island(frame: pd.DataFrame, children: int) -> tuple[pd.DataFrame, Solution]:
+    def island(frame: pd.DataFrame) -> tuple[pd.DataFrame, Solution]:
         # Rows of a shard, once for each solution that has come here (origin; -1: none yet).
         frame = frame.sort_values(["origin", "length", "row"], ascending=[True, False, True], kind="stable")
         lots = [lot for _, lot in frame.groupby("origin", sort=True)]
         lengths = lots[0]["length"].to_numpy(np.int64)
         start = [Solution(lot["bin"].to_numpy(np.int64), lengths, capacity) for lot in lots if lot["origin"].iloc[0] >= 0]
-        seed = int(frame["shard"].iloc[0]) * 1009 + int(frame["island"].iloc[0])
-        return lots[0], evolve(start, lengths, capacity, children, seed)
+        own = int(frame["island"].iloc[0])
+        seed = int(frame["shard"].iloc[0]) * 1009 + own
+        return lots[0], evolve(start, lengths, capacity, CHILDREN, seed, spare, plain=own == 0)
 
     def epoch(frame: pd.DataFrame) -> pd.DataFrame:
-        lot, best = island(frame, CHILDREN)
+        lot, best = island(frame)
         return pd.DataFrame({"shard": lot["shard"], "island": lot["island"], "row": lot["row"], "length": lot["length"], "bin": best.bins})
 
     ddl = "shard bigint, island int, row bigint, length int, bin bigint"
@@ -248,16 +274,51 @@ def pack(stored: DataFrame, capacity: int = CAPACITY, row: str = "row", length:
         lots = here.unionByName(there)
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        lot, best = island(frame, CHILDREN)
-        placed = pd.DataFrame({"row": lot["row"].to_numpy(), "bin": best.bins, "length": lot["length"].to_numpy()})
+        lot, best = island(frame)
+        opened = np.zeros(len(best.loads), bool)
+        opened[best.open_bins(capacity)] = True
+        placed = pd.DataFrame({"row": lot["row"].to_numpy(), "bin": best.bins, "length": lot["length"].to_numpy(), "open": opened[best.bins]})
         placed = placed.sort_values(["bin", "length", "row"], ascending=[True, False, True])
-        offset = placed.groupby("bin")["length"].cumsum() - placed["length"]
-        return pd.DataFrame({
-            "row": placed["row"], "sequence_id": int(frame["shard"].iloc[0]) * (1 << 32) + placed["bin"], "offset": offset,
-        })
+        placed["offset"] = placed.groupby("bin")["length"].cumsum() - placed["length"]
+        placed["shard"] = int(frame["shard"].iloc[0])
+        return placed[["shard", "row", "length", "bin", "offset", "open"]]
 
     met = best.withColumn("origin", F.col("island")).withColumn("island", F.lit(ISLANDS))
-    return met.groupBy("shard").applyInPandas(meet, "row bigint, sequence_id bigint, offset bigint")
+    return met.groupBy("shard").applyInPandas(meet, "shard bigint, row bigint, length int, bin bigint, offset bigint, open boolean")
+
+
+def pack(stored: DataFrame, capacity: int = CAPACITY, row: str = "row", length: str = "length") -> DataFrame:
+    """(row, sequence_id, offset) for the stored pieces (``row`` is unique; lengths from 1 to ``capacity``).
+
+    Shards are evolved first; then the least filled bins of every ``MERGED``
+    shards are taken apart and evolved together, and theirs again, until one
+    group is left. A round's groups are bounded by the bins they take.
+    """
+    shards = max(1, round(stored.count() / SHARD_PIECES))
+    sizes = stored.select(
+        F.col(row).alias("row"), F.col(length).cast("int").alias("length"),
+        F.pmod(F.xxhash64(F.col(row)), F.lit(shards)).alias("shard"),
+    )
+    scratch = Scratch(stored.sparkSession, "packing")
+    # The whole table reaches its least number of sequences if no more room than this is lost in each shard.
+    spare = (capacity - 1) // shards
+    parts, level = [], 0
+    while True:
+        placed = _evolved(sizes, capacity, spare, scratch)
+        last = shards == 1
+        if not last:
+            placed = scratch.keep(placed, "placed")
+        done = placed if last else placed.filter("not open")
+        sequence = F.shiftleft(F.col("shard"), 24).bitwiseOR(F.col("bin")).bitwiseOR(F.lit(level << 56).cast("bigint"))
+        parts.append(done.select("row", sequence.alias("sequence_id"), "offset"))
+        if last:
+            break
+        sizes = placed.filter("open").select("row", "length", F.floor(F.col("shard") / F.lit(MERGED)).cast("bigint").alias("shard"))
+        shards, level = -(-shards // MERGED), level + 1
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def pack_documents(
