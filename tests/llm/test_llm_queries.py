@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_llm_texts import base_spans, brute_near, brute_repeats
 from tokenizers import Tokenizer
 
@@ -11,6 +12,7 @@ import __spark_entry__ as E
 import corpus_pipeline
 from oracle_compare import duck
 from tillroll.llm import queries as Q
+from tillroll.llm.common import Scratch, split_by_ids
 from tillroll.llm.oracle_sql import ORACLE
 
 
@@ -75,3 +77,34 @@ def test_run_gives_the_last_stage(spark, small_dir):
     got = corpus_pipeline.run(spark, small_dir)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert got.count() > 0
+
+
+def test_pipeline_hands_on_columns_of_any_name(spark, small_dir):
+    """Columns named like the stages' and operators' own come through with their values; nulls and repeated rows too."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(80)
+    odd = spark.createDataFrame([(None, None), (10**9, None), (10**9 + 1, ""), (10**9 + 2, "a\x00b " * 30), (10**9 + 2, "a\x00b " * 30)], "doc_id bigint, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    names = ["_gone", "_bucket", "_score", "_spans", "_runs", "kept", "gone", "score", "spans", "__row", "n_bytes", "row", "a.b", "label", "bucket"]
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.lit("-"), F.col("doc_id").cast("string")))
+    docs = docs.withColumn("n_chars", F.length("text"))
+    scratch = Scratch(spark, "clash")
+    docs = scratch.keep(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        out = scratch.keep(stage(spark, docs, small_dir))
+        if name == "best_fit_packing":
+            assert out.count() >= docs.count()
+            break
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+        for r in out.collect():
+            assert all(r[n] == (None if r.doc_id is None else f"{n}-{r.doc_id}") for n in names)
+            assert r.n_chars == (None if r.text is None else len(r.text))
+        assert {r.doc_id for r in out.collect()} >= {None, 10**9}
+        docs = out
+
+
+def test_split_by_ids_with_clashing_columns(spark):
+    df = spark.createDataFrame([(i, i, i) for i in range(50)], "doc_id bigint, _bucket int, _BUCKET_ int")
+    touched, rest = split_by_ids(df, "doc_id", df.filter("doc_id < 5").select("doc_id"))
+    assert {r[0] for r in touched.collect()} >= set(range(5)) and touched.columns == rest.columns == df.columns
+    assert sorted(r[0] for r in touched.unionByName(rest).collect()) == list(range(50))

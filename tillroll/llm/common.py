@@ -68,7 +68,15 @@ def add_columns(
 
 
 def bucket(id_col: str) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(CHOICE_BUCKETS))
+    return F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(CHOICE_BUCKETS))
+
+
+def fresh_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``frames`` is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,10 +85,10 @@ def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame,
     What is broadcast are the ids' hash buckets: at most ``CHOICE_BUCKETS``
     short rows, whatever the data. With more ids, more rows count as touched.
     """
-    buckets = ids.select(bucket(ids.columns[0]).alias("_bucket")).distinct()
-    marked = df.withColumn("_bucket", bucket(id_col))
-    found = F.broadcast(buckets)
-    return marked.join(found, "_bucket", "left_semi").drop("_bucket"), marked.join(found, "_bucket", "left_anti").drop("_bucket")
+    name = fresh_name("_bucket", df)
+    found = F.broadcast(ids.select(bucket(ids.columns[0]).alias(name)).distinct())
+    marked = df.withColumn(name, bucket(id_col))
+    return marked.join(found, name, "left_semi").drop(name), marked.join(found, name, "left_anti").drop(name)
 
 
 class Known(dict):
