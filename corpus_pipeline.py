@@ -17,7 +17,7 @@ treated as the operators say; rows with a null id pass every filter.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import jaccard, packing, pii, quality, repeats
@@ -25,42 +25,54 @@ from tillroll.llm.common import Scratch, split_by_ids, table
 from tillroll.llm.queries import KEEP_SCORE, WORD_BPE
 
 
-def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents, ``n_chars`` (if there) as the text now has."""
-    if "n_chars" in columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        docs = docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
-    return docs.select(*columns)
+# What a stage carries beside id and text: all other columns of documents, as one.
+_ROW = "__row"
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, and one struct of the other columns), so that no column can be taken for an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*others).alias(_ROW))
+
+
+def _restored(carried: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` again, with their ``text`` and (if there) ``n_chars`` as ``text`` now is."""
+    columns = {c: F.col("text") if c == "text" else F.col(f"{_ROW}.`{c}`") for c in docs.columns}
+    if text is not None:
+        columns["text"] = F.when(F.col("text").isNotNull(), text)
+        if "n_chars" in columns:
+            length = F.length(text).cast(docs.schema["n_chars"].dataType)
+            columns["n_chars"] = F.when(F.col("text").isNull(), columns["n_chars"]).otherwise(length)
+    return carried.select(*[c.alias(name) for name, c in columns.items()])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, out="_score")
-    return scored.filter(F.col("_score") >= KEEP_SCORE).select(*docs.columns)
+    model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = quality.score(_carried(docs), model, out="score")
+    return _restored(scored.filter(F.col("score") >= KEEP_SCORE), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = jaccard.near_duplicates(docs)
+    placed = jaccard.near_duplicates(docs.select("doc_id", "text"))
     gone = Scratch(spark, "gone").keep(
-        placed.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+        placed.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
     )
-    touched, rest = split_by_ids(docs, "doc_id", gone)
-    kept = touched.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.unionByName(rest).select(*docs.columns)
+    touched, rest = split_by_ids(_carried(docs), "doc_id", gone)
+    kept = touched.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return _restored(kept.unionByName(rest), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = repeats.remove_repeats(docs, as_text=True)
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept"))
-    return _with_text(left.withColumn("text", text), docs.columns)
+    return _restored(repeats.remove_repeats(_carried(docs), as_text=True), docs, F.col("kept"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(pii.mask(pii.find(docs, out="_spans"), spans="_spans"), docs.columns)
+    masked = pii.mask(pii.find(_carried(docs), out="spans"), spans="spans")
+    return _restored(masked, docs, F.col("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE))
+    return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
 
 STAGES = [
