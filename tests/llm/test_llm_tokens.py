@@ -117,6 +117,18 @@ def _pieces(rows, capacity):
     return want
 
 
+def test_full_word_memos_start_again(monkeypatch):
+    monkeypatch.setattr(packing, "WORD_CACHE", 3)
+    monkeypatch.setattr(packing, "STRETCH_CACHE", 2)
+    monkeypatch.setattr(packing, "LOT", 2)
+    library, own = Tokenizer.from_file(WORD), packing.WordIds(WORD)
+    texts = odd_texts(60, 5)
+    for at in range(0, len(texts), 7):
+        lot = texts[at : at + 7]
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in lot]
+        assert [np.frombuffer(i, "<u4").tolist() for i in own.encode_all(lot)] == want
+
+
 def test_op4_rows(spark, small_dir):
     docs = pd.read_parquet(f"{small_dir}/documents.parquet")
     want = _pieces(zip(docs.doc_id.tolist(), docs.text.tolist()), 2048)

@@ -12,8 +12,7 @@ few bins of every shard are taken apart and evolved anew together, round by
 round, until one group is left.
 
 Tokens: a text's ids by a public tokenizer file with word ends, then one id 0.
-White space never survives in that file's tokens, so the stretches between
-spaces are encoded apart and kept in a bounded memo.
+Stretches between spaces are encoded apart and kept in a bounded memo.
 
 Defined results: a null text is the empty text (one token, the id 0); only
 documents longer than the capacity are cut; rows are packed as they come, so
@@ -24,8 +23,8 @@ is the same for the same stored pieces: ties go by length, then row number.
 
 from __future__ import annotations
 
+import itertools
 import json
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,13 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.bpe import byte_alphabet
-from tillroll.llm.common import Known, Scratch
+from tillroll.llm.common import Scratch, slices
 
 CAPACITY = 2048
 SEPARATOR = 0
 # Fixed value: the word pattern of the tokenizer file with word ends.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORD_CACHE, STRETCH_CACHE = 500_000, 500_000
+# Entries of a task's memos, which start again empty before a lot of texts if they hold more; words handed over at once.
+WORD_CACHE, STRETCH_CACHE = 400_000, 400_000
+LOT = 4096
+# The character put behind each word.
+END = "\x00"
 # Marks that often end a stretch of letters.
 _ENDS = frozenset(".,!?;:|")
 # Pieces of a shard (about), islands, epochs between migrations, children of an epoch, solutions on an island.
@@ -59,7 +62,13 @@ MERGED = 32
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer file with word ends."""
+    """Ids of whole texts by a tokenizer file with word ends.
+
+    White space never survives in that file's tokens, so the stretches between
+    spaces are encoded apart. A lot of texts is taken at once: its stretches
+    that are not yet known are cut into words, and the words not yet known are
+    handed to the tokenizer together.
+    """
 
     def __init__(self, path: str):
         import os
@@ -71,34 +80,81 @@ class WordIds:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self._special = [t["content"] for t in json.load(f)["added_tokens"]]
-        self._letters = byte_alphabet()
-        self._tokenize = self._tokenizer.model.tokenize
-        self._words = regex.compile(WORD).findall
-        self._word = Known(self._of_word, WORD_CACHE).__getitem__
-        self._stretch = Known(self._of_stretch, STRETCH_CACHE).__getitem__
-
-    def _of_word(self, word: str) -> bytes:
-        if not word.isascii() or not word.isprintable():  # the alphabet's own letters stand for themselves
-            word = "".join(map(self._letters.__getitem__, word.encode()))
-        ids = [t.id for t in self._tokenize(word)]
-        return struct.pack("<%dI" % len(ids), *ids)
-
-    def _of_stretch(self, stretch: str) -> bytes:
+            spec = json.load(f)
+        self._special = [t["content"] for t in spec["added_tokens"]]
+        self._ranks, self._last = self._ranked(spec)
+        self._find_words = regex.compile(WORD).findall
+        self._words: dict[str, bytes] = {}
+        self._stretches: dict[str, bytes] = {"": b""}
+
+    def _ranked(self, spec: dict):
+        """The file's merges as ranks, with a null character as the mark of a word's end, and which ids end a word.
+
+        A word's last byte and the mark are one symbol of the file from the
+        start; here they are the first two to be merged, as these symbols have
+        lower ids than any merge. Merges whose results are numbered in order
+        are ranks.
+        """
+        import tiktoken
+
+        vocab = spec["model"]["vocab"]
+        mark = spec["model"]["end_of_word_suffix"]
+        special = set(self._special)
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if not all(a < b for a, b in zip([2 * len(byte_of) - 1, *merged], merged)):
+            raise ValueError("the file's merges are not numbered in order")
+        ranks, last = {}, np.zeros(1 + max(vocab.values()), bool)
+        for token, i in vocab.items():
+            if token not in special:
+                last[i] = token.endswith(mark)
+                ranks[bytes(map(byte_of.__getitem__, token.removesuffix(mark))) + (END.encode() if last[i] else b"")] = i
+        return tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={}), last
+
+    def _cut(self, stretch: str) -> tuple[str, ...] | list[str] | None:
+        """The words of a stretch; None if only the whole stretch can be handed to the tokenizer."""
         low = stretch.lower()
         if stretch.isascii():
             if low.isalpha():
-                return self._word(low)
-            if low[-1:] in _ENDS and low[:-1].isalpha():
-                return self._word(low[:-1]) + self._word(low[-1])
+                return (low,)
+            if low[-1] in _ENDS and low[:-1].isalpha():
+                return (low[:-1], low[-1])
         # Below U+0300 nothing is composed, and one letter's lower case does not depend on its neighbours.
-        if stretch and (max(stretch) >= "̀" or any(s in stretch for s in self._special)):
-            return np.array(self._tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self._word, self._words(low)))
+        if max(stretch) >= "̀" or END in stretch or any(s in stretch for s in self._special):
+            return None
+        return self._find_words(low)
+
+    def _learn(self, stretches: set[str]) -> None:
+        """Puts the ids of these stretches, and of their words, among those known."""
+        words = {s: self._cut(s) for s in stretches}
+        new = list({w for ws in words.values() if ws for w in ws} - self._words.keys())
+        for at in range(0, len(new), LOT):
+            lot = new[at : at + LOT]
+            found = self._ranks.encode_to_numpy(END.join(lot) + END, disallowed_special=())
+            ids, ends = found.astype("<u4").tobytes(), (4 * np.flatnonzero(self._last[found]) + 4).tolist()
+            self._words.update(zip(lot, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+        known = self._words.__getitem__
+        for s, ws in words.items():
+            if ws is None:
+                self._stretches[s] = np.array(self._tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                self._stretches[s] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, without the separator."""
+        if len(self._stretches) > STRETCH_CACHE:
+            self._stretches = {"": b""}
+        if len(self._words) > WORD_CACHE:
+            self._words = {}
+        cut = [t.split(" ") if t else [] for t in texts]
+        unknown = set().union(*cut) - self._stretches.keys()
+        if unknown:
+            self._learn(unknown)
+        known = self._stretches.__getitem__
+        return [b"".join(map(known, stretches)) for stretches in cut]
 
     def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, without the separator."""
-        return b"".join(map(self._stretch, text.split(" "))) if text else b""
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -120,11 +176,11 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(path)
         end = np.array([SEPARATOR], "<u4").tobytes()
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(slices, batches)):
             rows: list[tuple] = []
             held = 0
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = words.encode(body) + end
+            for doc, found in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist())):
+                ids = found + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
