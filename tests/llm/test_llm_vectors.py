@@ -89,6 +89,67 @@ def test_grid_meets_every_pair_within_its_share():
             assert corner[i].tobytes() in cells[0][i] & cells[1][i]
 
 
+def test_narrower_cells_meet_every_pair_inside_their_cell():
+    """Level by level: a pair's lowest common corner lies in the path of cells that both rows are dealt into."""
+    rng = np.random.default_rng(4)
+    grid = vectors.Grid(8, 0.98)
+    x = vectors._unit(rng.normal(size=(200, 8)))
+    y = vectors._unit(x + rng.normal(size=x.shape) * 0.05)
+    tx, ty = grid.turned(x), grid.turned(y)
+    near = np.flatnonzero(((tx - ty) ** 2).sum(axis=1) <= grid.shares[0])
+    assert len(near) > 50
+    tx, ty = tx[near], ty[near]
+    outer = None
+    for level in range(len(vectors.WIDTHS)):
+        corner = np.maximum(grid.low(tx, 0, level), grid.low(ty, 0, level))
+        for t in (tx, ty):
+            rows, cells = grid.cells(t, 0, level, outer)
+            dealt = set(zip(rows.tolist(), map(bytes, cells)))
+            assert {(i, bytes(c)) for i, c in enumerate(corner)} <= dealt
+        outer = corner
+
+
+@pytest.mark.parametrize("dim,n,spread", [(8, 700, 1.0), (3, 400, 1.0), (8, 300, 0.0), (5, 500, 0.02)])
+def test_close_pairs_are_all_found_once(dim, n, spread):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(n, dim)) * spread
+    x[n // 2 :] = x[: n - n // 2] + rng.normal(size=(n - n // 2, dim)) * 0.02 * spread
+    rows = rng.permutation(n)[: n - 3]
+    found = [tuple(sorted(p)) for i, j in vectors.close_pairs(x, rows, 0.1) for p in zip(i.tolist(), j.tolist())]
+    assert len(found) == len(set(found)) and all(a != b for a, b in found)
+    near = {(a, b) for a in rows.tolist() for b in rows.tolist() if a < b and ((x[a] - x[b]) ** 2).sum() <= 0.01}
+    assert near <= set(found)
+
+
+def test_few_pairs_of_unclustered_vectors_are_compared():
+    """Dimension 64, no near copies: under 5 % of the coordinates that all pairs have are looked at, and next to no
+    whole vectors; the share falls as the table grows."""
+    grid, shares = vectors.Grid(64, 0.98), []
+    for n in (1000, 4000):
+        turned = grid.turned(vectors._unit(np.random.default_rng(9).normal(size=(n, 64))))
+        tested, whole, every = 0, 0, n * (n - 1) / 2
+        for block, where in enumerate(grid.blocks):
+            x = turned[:, where]
+            for i, j in vectors.close_pairs(x, np.arange(n), grid.radii[block]):
+                tested += len(i)
+                whole += int((((x[i] - x[j]) ** 2).sum(axis=1) <= grid.shares[block]).sum())
+        assert tested * vectors.BLOCK < 0.05 * every * 64 and whole < 1e-3 * every
+        shares.append(tested / every)
+    assert shares[1] < 0.6 * shares[0]
+
+
+@pytest.mark.parametrize("rows", [4, 20])
+def test_levels_and_parts_equal_brute_force(spark, monkeypatch, rows):
+    """So small a bound that cells are cut at every level and the fullest are dealt as parts."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", rows)
+    data = vector_rows(dim=8, seed=6)
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10**9)
+    want = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == want and sum(n for n, _ in got.values()) > 100
+
+
 def test_forest_spans_the_links():
     rng = np.random.default_rng(3)
     i, j = rng.integers(0, 60, 50), rng.integers(0, 60, 50)

@@ -13,9 +13,13 @@ A pair may meet in several cells and blocks. It is counted in the first block
 whose share it keeps, in the cell of its boxes' lowest common corner, so no
 pairs are written or shuffled: a cell gives back link counts and a spanning
 forest of its links. Exact copies are collapsed into one vector with a weight
-first. Cells with more than ``CELL_ROWS`` vectors are counted beforehand and
-dealt over tasks as pairs of parts of about that size, so a group of near
-copies of any size needs bounded memory in each task.
+first. Cells with more than ``CELL_ROWS`` vectors are counted beforehand and cut
+into narrower ones, level by level; those that are too full at the last level
+(groups of near copies) are dealt over tasks as pairs of parts of about that
+size, so any group needs bounded memory in each task. Inside a cell, rows are
+halved along one coordinate after the other, and only rows within the radius
+of a cut meet across it; what meets is tested by the block's distance, and what
+passes by the whole vectors.
 
 Defined results: rows with a null label, or a vector that is null, empty,
 zero or holds null, NaN or infinite components link with nothing (n_links 0,
@@ -39,11 +43,14 @@ from tillroll.llm.components import components
 from tillroll.llm.topk import usable
 
 COSINE = 0.98
-# Dimensions of a block; cell width in radii; vectors of a cell worked on at once; pairs verified at once.
+# Dimensions of a block; cell widths in radii, from level to level (each is the one before divided by STEP).
 BLOCK = 8
-WIDTH = 6.0
+STEP = 2
+WIDTHS = (6.0, 3.0, 1.5)
+# Vectors of a cell worked on at once; pairs verified at once; rows below which all pairs of a piece are tested.
 CELL_ROWS = 2048
 PAIRS = 1 << 16
+LEAF = 12
 SEED = 20240607
 # Slack that keeps rounding from losing a pair before the exact check; digits kept of turned coordinates.
 SLACK = 1e-9
@@ -64,21 +71,27 @@ class Grid:
         """Rotated vectors, rounded so that they are the same in whichever batch they are computed."""
         return np.round(unit @ self.turn, DIGITS)
 
-    def _corner(self, turned: np.ndarray, block: int, side: float) -> np.ndarray:
+    def _corner(self, turned: np.ndarray, block: int, side: float, level: int) -> np.ndarray:
         r = self.radii[block]
-        return np.floor((turned[:, self.blocks[block]] + side * r / 2) / (WIDTH * r)).astype(np.int16)
+        return np.floor((turned[:, self.blocks[block]] + side * r / 2) / (WIDTHS[level] * r)).astype(np.int16)
 
-    def low(self, turned: np.ndarray, block: int) -> np.ndarray:
-        return self._corner(turned, block, -1.0)
+    def low(self, turned: np.ndarray, block: int, level: int = 0) -> np.ndarray:
+        return self._corner(turned, block, -1.0, level)
 
-    def cells(self, turned: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and cells (rows of coordinates): every cell that a row's box touches."""
-        low = self.low(turned, block)
-        wide = self._corner(turned, block, 1.0) > low
+    def cells(self, turned: np.ndarray, block: int, level: int = 0, outer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and cells (rows of coordinates): every cell that a row's box touches.
+
+        ``outer``: the cells of the level before that the rows lie in; only cells inside them count.
+        """
+        low = self.low(turned, block, level)
+        wide = self._corner(turned, block, 1.0, level) > low
         rows, cells = [], []
         for mask in range(1 << low.shape[1]):
             up = np.array([mask >> d & 1 for d in range(low.shape[1])], np.int16)
-            fits = np.flatnonzero((wide | (up == 0)).all(axis=1))
+            fits = (wide | (up == 0)).all(axis=1)
+            if outer is not None:
+                fits &= ((low + up) // STEP == outer).all(axis=1)
+            fits = np.flatnonzero(fits)
             rows.append(fits)
             cells.append(low[fits] + up)
         return np.concatenate(rows), np.concatenate(cells)
@@ -127,7 +140,79 @@ def run_pairs(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         row = stop
 
 
-_KEY = ["label", "dim", "block", "cell"]
+def _halves(x: np.ndarray, rows: np.ndarray, other: np.ndarray, radius: float) -> tuple[int, float] | None:
+    """The coordinate along which the rows lie widest apart and where to halve it; None if no half would lose anything."""
+    both = x[rows] if other is rows else np.concatenate([x[rows], x[other]])
+    span = both.max(axis=0) - both.min(axis=0)
+    d = int(span.argmax())
+    return (d, float(np.median(both[:, d]))) if span[d] > 2 * radius else None
+
+
+def _across(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row of ``a`` and a row of ``b`` that may lie within ``radius``; each once."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if not len(a) or not len(b):
+            continue
+        cut = None if len(a) * len(b) <= LEAF * LEAF else _halves(x, a, b, radius)
+        if cut is None:
+            yield np.repeat(a, len(b)), np.tile(b, len(a))
+            continue
+        d, at = cut
+        xa, xb = x[a, d], x[b, d]
+        la, lb = xa <= at, xb <= at
+        parts = [(a[la], b[lb]), (a[~la], b[~lb])]
+        parts.append((a[la & (xa >= at - radius)], b[~lb & (xb <= at + radius)]))
+        parts.append((a[~la & (xa <= at + radius)], b[lb & (xb >= at - radius)]))
+        if max(len(p) * len(q) for p, q in parts) > 0.9 * len(a) * len(b):  # equal values: halving does not help
+            yield np.repeat(a, len(b)), np.tile(b, len(a))
+            continue
+        todo += parts
+
+
+def close_pairs(x: np.ndarray, rows: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``rows`` whose coordinates ``x`` may lie within ``radius``: halved, and halved again, each pair once.
+
+    Only the bands of ``radius`` beside a cut meet across it.
+    """
+    todo = [rows]
+    while todo:
+        a = todo.pop()
+        cut = None if len(a) <= LEAF else _halves(x, a, a, radius)
+        if cut is not None:
+            d, at = cut
+            left = x[a, d] <= at
+            l, r = a[left], a[~left]
+            if 0 < len(l) < len(a):
+                todo += [l, r]
+                yield from _across(x, l[x[l, d] >= at - radius], r[x[r, d] <= at + radius], radius)
+                continue
+        for i, j in run_pairs(np.full(len(a), len(a))):
+            yield a[i], a[j]
+
+
+def candidates(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one run to be tested, in lots; ``radius`` is that of each run's block."""
+    small = np.flatnonzero(sizes <= LEAF)
+    ends = np.repeat(starts[small] + sizes[small], sizes[small])
+    rows = ends - np.repeat(np.cumsum(sizes[small]), sizes[small]) + np.arange(len(ends))
+    if len(rows):
+        in_lot = np.searchsorted(rows, ends)
+        for i, j in run_pairs(in_lot):
+            yield rows[i], rows[j]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for run in np.flatnonzero(sizes > LEAF).tolist():
+        for pair in close_pairs(x, np.arange(starts[run], starts[run] + sizes[run]), float(radius[run])):
+            held.append(pair)
+            if sum(len(i) for i, _ in held) > PAIRS:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held = []
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+_KEY = ["label", "dim", "block", "level", "cell"]
 _RUN = [*_KEY, "lo", "hi"]
 
 
@@ -141,32 +226,43 @@ def _joined(frame: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
         new[1:] |= v[1:] != v[:-1]
     starts = np.flatnonzero(np.concatenate([[True], new[1:]]))
     sizes = np.diff(np.append(starts, len(frame)))
-    many = np.repeat(sizes > 1, sizes)
     dims = frame["dim"].to_numpy()
-    for dim in np.unique(dims[many]):
-        chosen = np.flatnonzero(many & (dims == dim))
+    for dim in np.unique(dims[starts[sizes > 1]]):
+        runs = np.flatnonzero((sizes > 1) & (dims[starts] == dim))
+        chosen = np.repeat(starts[runs], sizes[runs]) + np.arange(sizes[runs].sum()) - np.repeat(np.cumsum(sizes[runs]) - sizes[runs], sizes[runs])
         grid = Grid(int(dim), cosine)
         part = frame.iloc[chosen]
         unit = _unit(np.frombuffer(b"".join(part["v"]), f"<f{len(part['v'].iloc[0]) // dim}").reshape(-1, dim).astype(np.float64))
-        run = np.repeat(np.arange(len(starts)), sizes)[chosen]
-        ends = np.searchsorted(run, run, "right")
-        block, cell = part["block"].to_numpy(), part["cell"].to_numpy()
+        turned = grid.turned(unit)
+        block, level, cell = (part[c].to_numpy() for c in ("block", "level", "cell"))
+        # A run's rows are compared in its block; blocks of fewer dimensions are filled up with zeros.
+        own_block = np.zeros((len(part), BLOCK))
+        for b, where in enumerate(grid.blocks):
+            here = block == b
+            own_block[here, : where.stop - where.start] = turned[here][:, where]
         own, across = part["own"].to_numpy(), (part["lo"] != part["hi"]).to_numpy()
-        for i, j in run_pairs(ends):
-            near = (unit[i] * unit[j]).sum(axis=1) >= cosine
+        share = grid.shares[block]
+        first = np.cumsum(sizes[runs]) - sizes[runs]
+        for i, j in candidates(own_block, first, sizes[runs], grid.radii[block[first]]):
+            # The block's distance first: few pairs are left for the whole vectors.
+            gap = own_block[i] - own_block[j]
+            near = (gap * gap).sum(axis=1) <= share[i]
             near &= ~across[i] | (own[i] != own[j])
             i, j = i[near], j[near]
             if not len(i):
                 continue
-            ti, tj = grid.turned(unit[i]), grid.turned(unit[j])
-            gap = (ti - tj) ** 2
+            near = (unit[i] * unit[j]).sum(axis=1) >= cosine
+            i, j = i[near], j[near]
+            if not len(i):
+                continue
+            gap = (turned[i] - turned[j]) ** 2
             within = np.stack([gap[:, b].sum(axis=1) <= s for b, s in zip(grid.blocks, grid.shares)], axis=1)
             ok = within.argmax(axis=1) == block[i]
-            for b in np.unique(block[i][ok]):
-                here = np.flatnonzero(ok & (block[i] == b))
-                corner = np.maximum(grid.low(ti[here], b), grid.low(tj[here], b))
-                cells = np.frombuffer(b"".join(cell[i[here]]), np.int16).reshape(corner.shape)
-                ok[here] &= (corner == cells).all(axis=1)
+            for b, deep in set(zip(block[i][ok].tolist(), level[i][ok].tolist())):
+                here = np.flatnonzero(ok & (block[i] == b) & (level[i] == deep))
+                corners = [np.maximum(grid.low(turned[i[here]], b, at), grid.low(turned[j[here]], b, at)) for at in range(deep + 1)]
+                path = np.frombuffer(b"".join(cell[i[here]]), np.int16).reshape(len(here), -1)
+                ok[here] &= (np.concatenate(corners, axis=1) == path).all(axis=1)
             i, j = chosen[i[ok]], chosen[j[ok]]
             np.add.at(counts, i, weights[j])
             np.add.at(counts, j, weights[i])
@@ -186,6 +282,46 @@ def _joined(frame: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
     })
 
 
+def _deal(cosine: float, single: bool, level: int, with_vectors: bool):
+    """Vectors into the cells of a level: at level 0 of every block, later of the cell (``block``, ``cell``) they lie in."""
+
+    def pieces(batch: pd.DataFrame) -> Iterator[tuple[Grid, int, pd.DataFrame, np.ndarray]]:
+        for dim, part in batch.groupby(batch["v"].map(len) if level == 0 else batch["dim"]):
+            grid = Grid(int(dim), cosine)
+            if level == 0:
+                given = np.stack(part["v"].to_numpy())
+                part = part.assign(dim=int(dim), v=[v.astype("<f4" if single else "<f8").tobytes() for v in given])
+            else:
+                given = np.frombuffer(b"".join(part["v"]), "<f4" if single else "<f8").reshape(-1, int(dim))
+            yield grid, int(dim), part, grid.turned(_unit(given.astype(np.float64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                for grid, dim, part, turned in pieces(whole.iloc[at : at + 512]):
+                    for block in range(len(grid.blocks)):
+                        if level == 0:
+                            lot, own, outer, path = part, turned, None, None
+                        else:
+                            inside = (part["block"] == block).to_numpy()
+                            lot, own = part[inside], turned[inside]
+                            if not len(lot):
+                                continue
+                            path = lot["cell"].to_numpy()
+                            width = grid.blocks[block].stop - grid.blocks[block].start
+                            outer = np.frombuffer(b"".join(path), np.int16).reshape(len(lot), -1)[:, -width:]
+                        rows, cells = grid.cells(own, block, level, outer)
+                        names = [c.tobytes() for c in cells]
+                        if path is not None:
+                            names = [path[r] + c for r, c in zip(rows.tolist(), names)]
+                        out = {"label": lot["label"].to_numpy()[rows], "dim": dim, "block": block, "level": level, "cell": names}
+                        if with_vectors:
+                            out |= {c: lot[c].to_numpy()[rows] for c in ("id", "weight", "v")}
+                        yield pd.DataFrame(out)
+
+    return run
+
+
 def links(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(a, b, n) of (id, weight, label, v) rows of usable vectors with unique ids.
 
@@ -193,36 +329,28 @@ def links(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
     are the links of a spanning forest.
     """
     single = dict(reps.dtypes)["v"] == "array<float>"
-
-    def deal(with_vectors: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for whole in batches:
-                for at in range(0, len(whole), 512):
-                    batch = whole.iloc[at : at + 512]
-                    for dim, part in batch.groupby(batch["v"].map(len)):
-                        grid = Grid(int(dim), cosine)
-                        given = np.stack(part["v"].to_numpy())
-                        turned = grid.turned(_unit(given.astype(np.float64)))
-                        raw = np.array([v.astype("<f4" if single else "<f8").tobytes() for v in given], object)
-                        for block in range(len(grid.blocks)):
-                            rows, cells = grid.cells(turned, block)
-                            out = {"label": part["label"].to_numpy()[rows], "dim": int(dim), "block": block,
-                                   "cell": [c.tobytes() for c in cells]}
-                            if with_vectors:
-                                out |= {"id": part["id"].to_numpy()[rows], "weight": part["weight"].to_numpy()[rows], "v": raw[rows]}
-                            yield pd.DataFrame(out)
-
-        return run
-
-    key = "label bigint, dim int, block int, cell binary"
+    key = "label bigint, dim int, block int, level int, cell binary"
+    full = f"{key}, id bigint, weight bigint, v binary"
     scratch = Scratch(reps.sparkSession, "cells")
-    counted = reps.mapInPandas(deal(False), key).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows"))
-    large = scratch.keep(counted.filter(F.col("rows") > CELL_ROWS), "large")
-    dealt = reps.mapInPandas(deal(True), f"{key}, id bigint, weight bigint, v binary").join(large, _KEY, "left")
+    now, small = reps, []
+    for level in range(len(WIDTHS)):
+        counted = now.mapInPandas(_deal(cosine, single, level, False), key).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows"))
+        large = scratch.keep(counted.filter(F.col("rows") > CELL_ROWS), "large")
+        dealt = now.mapInPandas(_deal(cosine, single, level, True), full).join(large, _KEY, "left")
+        if level == len(WIDTHS) - 1 or large.isEmpty():
+            small.append(dealt)
+            break
+        # Cells with too many vectors are cut into narrower ones; the others are done.
+        dealt = scratch.keep(dealt, "dealt")
+        small.append(dealt.filter("rows is null"))
+        now = dealt.filter("rows is not null").drop("rows", "level")
+    every = small[0]
+    for part in small[1:]:
+        every = every.unionByName(part)
     parts = F.coalesce(F.ceil(F.col("rows") / CELL_ROWS), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     # A part meets every part of its cell, its own included, in a run of rows of its own.
-    met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = every.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     runs = met.select(
         *_KEY, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "weight", "v"
     )
