@@ -83,7 +83,7 @@ def test_word_ids_equal_library_on_every_code_point():
     """Controls, letters and marks, alone and inside words: no token is lost."""
     library, own = Tokenizer.from_file(WORD), packing.WordIds(WORD)
     for c in map(chr, [*range(0x3000), *range(0xFE00, 0x10100), *range(0x1F600, 0x1F620)]):
-        for text in (f"a{c}b", f"x {c} It'S{c}", f"{c}{c}A1."):
+        for text in (f"a{c}b", f"x {c} It'S{c}", f"{c}{c}A1.", f"a\x01{c}b \x01 \x00"):
             assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -117,10 +117,8 @@ def _pieces(rows, capacity):
     return want
 
 
-def test_full_word_memos_start_again(monkeypatch):
-    monkeypatch.setattr(packing, "WORD_CACHE", 3)
-    monkeypatch.setattr(packing, "STRETCH_CACHE", 2)
-    monkeypatch.setattr(packing, "LOT", 2)
+def test_lots_of_texts_and_a_full_memo(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 2)
     library, own = Tokenizer.from_file(WORD), packing.WordIds(WORD)
     texts = odd_texts(60, 5)
     for at in range(0, len(texts), 7):

@@ -162,3 +162,28 @@ ORACLE: dict[str, str] = {
     "op10_chat_format": _OP10,
     "op13_collocations": _OP13,
 }
+
+# Every 100-byte string with the first place it starts at; the others' bytes go. Bytes are read as pairs of hex digits.
+ORACLE["op3_suffix_dedup"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM again
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a AS stop FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(max(r.b), 0), length(any_value(d.h)) // 2 FROM d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+), kept AS (
+  SELECT c.doc_id, string_agg(substr(d.h, 2 * c.start + 1, 2 * (c.stop - c.start)), '' ORDER BY c.start) AS k
+  FROM cuts c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id
+), gone AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS spans FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone.n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""

@@ -12,7 +12,6 @@ few bins of every shard are taken apart and evolved anew together, round by
 round, until one group is left.
 
 Tokens: a text's ids by a public tokenizer file with word ends, then one id 0.
-Stretches between spaces are encoded apart and kept in a bounded memo.
 
 Defined results: a null text is the empty text (one token, the id 0); only
 documents longer than the capacity are cut; rows are packed as they come, so
@@ -25,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,19 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.bpe import byte_alphabet
-from tillroll.llm.common import Scratch, slices
+from tillroll.llm.common import Known, Scratch, slices
 
 CAPACITY = 2048
 SEPARATOR = 0
 # Fixed value: the word pattern of the tokenizer file with word ends.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# Entries of a task's memos, which start again empty before a lot of texts if they hold more; words handed over at once.
-WORD_CACHE, STRETCH_CACHE = 400_000, 400_000
-LOT = 4096
-# The character put behind each word.
-END = "\x00"
-# Marks that often end a stretch of letters.
-_ENDS = frozenset(".,!?;:|")
+# Stretches in a task's memo of those that go to the library alone.
+MEMO = 200_000
+# The characters put behind each word, and as a word of its own between stretches.
+END, BREAK = "\x00", "\x01"
 # Pieces of a shard (about), islands, epochs between migrations, children of an epoch, solutions on an island.
 SHARD_PIECES = 16384
 ISLANDS = 2
@@ -64,10 +61,7 @@ MERGED = 32
 class WordIds:
     """Ids of whole texts by a tokenizer file with word ends.
 
-    White space never survives in that file's tokens, so the stretches between
-    spaces are encoded apart. A lot of texts is taken at once: its stretches
-    that are not yet known are cut into words, and the words not yet known are
-    handed to the tokenizer together.
+    A lot of texts is taken at once: their words are found and merged together.
     """
 
     def __init__(self, path: str):
@@ -82,13 +76,15 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._special = [t["content"] for t in spec["added_tokens"]]
-        self._ranks, self._last = self._ranked(spec)
+        self._ranks = self._ranked(spec)
         self._find_words = regex.compile(WORD).findall
-        self._words: dict[str, bytes] = {}
-        self._stretches: dict[str, bytes] = {"": b""}
+        self._break = int(self._ranks.encode_to_numpy(BREAK + END, disallowed_special=())[0])
+        # From U+0300 on letters are composed and lower case depends on neighbours.
+        self._high = re.compile("[\u0300-\U0010ffff]").search
+        self._alone = Known(self._of_library, MEMO).__getitem__
 
     def _ranked(self, spec: dict):
-        """The file's merges as ranks, with a null character as the mark of a word's end, and which ids end a word.
+        """The file's merges as ranks, with a null character as the mark of a word's end.
 
         A word's last byte and the mark are one symbol of the file from the
         start; here they are the first two to be merged, as these symbols have
@@ -104,54 +100,52 @@ class WordIds:
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
         if not all(a < b for a, b in zip([2 * len(byte_of) - 1, *merged], merged)):
             raise ValueError("the file's merges are not numbered in order")
-        ranks, last = {}, np.zeros(1 + max(vocab.values()), bool)
+        ranks = {}
         for token, i in vocab.items():
             if token not in special:
-                last[i] = token.endswith(mark)
-                ranks[bytes(map(byte_of.__getitem__, token.removesuffix(mark))) + (END.encode() if last[i] else b"")] = i
-        return tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={}), last
-
-    def _cut(self, stretch: str) -> tuple[str, ...] | list[str] | None:
-        """The words of a stretch; None if only the whole stretch can be handed to the tokenizer."""
-        low = stretch.lower()
-        if stretch.isascii():
-            if low.isalpha():
-                return (low,)
-            if low[-1] in _ENDS and low[:-1].isalpha():
-                return (low[:-1], low[-1])
-        # Below U+0300 nothing is composed, and one letter's lower case does not depend on its neighbours.
-        if max(stretch) >= "̀" or END in stretch or any(s in stretch for s in self._special):
-            return None
-        return self._find_words(low)
-
-    def _learn(self, stretches: set[str]) -> None:
-        """Puts the ids of these stretches, and of their words, among those known."""
-        words = {s: self._cut(s) for s in stretches}
-        new = list({w for ws in words.values() if ws for w in ws} - self._words.keys())
-        for at in range(0, len(new), LOT):
-            lot = new[at : at + LOT]
-            found = self._ranks.encode_to_numpy(END.join(lot) + END, disallowed_special=())
-            ids, ends = found.astype("<u4").tobytes(), (4 * np.flatnonzero(self._last[found]) + 4).tolist()
-            self._words.update(zip(lot, map(ids.__getitem__, map(slice, [0, *ends], ends))))
-        known = self._words.__getitem__
-        for s, ws in words.items():
-            if ws is None:
-                self._stretches[s] = np.array(self._tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                self._stretches[s] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
+                end = END.encode() if token.endswith(mark) else b""
+                ranks[bytes(map(byte_of.__getitem__, token.removesuffix(mark))) + end] = i
+        return tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
+
+    def _is_odd(self, text: str) -> bool:
+        """Whether the library itself is needed: special tokens, letters that are composed, the marks used here."""
+        if END in text or BREAK in text or any(s in text for s in self._special):
+            return True
+        return not text.isascii() and self._high(text) is not None
+
+    def _of_library(self, stretch: str) -> bytes:
+        return np.array(self._tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _simple(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that need nothing but lower case and the words' merges, all texts at once."""
+        if not texts:
+            return []
+        words = self._find_words(f" {BREAK} ".join(["", *texts]).lower())
+        ids = self._ranks.encode_to_numpy(END.join(words) + END, disallowed_special=()).astype("<u4")
+        broken = ids == self._break
+        cuts = np.flatnonzero(broken)
+        starts = (4 * (cuts - np.arange(len(cuts)))).tolist()
+        found = ids[~broken].tobytes()
+        return list(map(found.__getitem__, map(slice, starts, [*starts[1:], len(found)])))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without the separator."""
-        if len(self._stretches) > STRETCH_CACHE:
-            self._stretches = {"": b""}
-        if len(self._words) > WORD_CACHE:
-            self._words = {}
-        cut = [t.split(" ") if t else [] for t in texts]
-        unknown = set().union(*cut) - self._stretches.keys()
-        if unknown:
-            self._learn(unknown)
-        known = self._stretches.__getitem__
-        return [b"".join(map(known, stretches)) for stretches in cut]
+        simple: list[str] = []
+        # Of each text: numbers of simple texts, and ids of stretches that go to the library alone.
+        parts: list[list[int | bytes]] = []
+        for text in texts:
+            own: list[int | bytes] = []
+            parts.append(own)
+            # White space never survives, so stretches between spaces can be encoded apart.
+            runs = itertools.groupby(text.split(" "), self._is_odd) if text and self._is_odd(text) else [(False, [text or ""])]
+            for odd, run in runs:
+                if odd:
+                    own += map(self._alone, run)
+                else:
+                    own.append(len(simple))
+                    simple.append(" ".join(run))
+        found = self._simple(simple)
+        return [b"".join(found[p] if isinstance(p, int) else p for p in own) for own in parts]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]

@@ -14,7 +14,8 @@ whose common bytes are the second digit, and those into single suffixes, whose
 whole string is the last digit. A pass is one shuffle sorted by digit, which
 is read as a stream: memory does not depend on the size of a group.
 
-Strings are compared by two 64-bit hashes, of the digit and of the run.
+Strings are compared by two 64-bit hashes, of the digit and of the run, which
+have different bytes' weights and bases: 128 independent bits.
 
 Defined results: a null text is the empty text; matches never cross texts;
 rows with a null id neither lose bytes nor take them from others; rows that
@@ -41,30 +42,34 @@ K = 32
 RUN = 8
 SEGMENT = 1 << 19
 
-_rng = np.random.default_rng(0xD16175)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = int(_rng.integers(0, 2**63)) << 1 | 1
-_POWER = np.ones(0, np.uint64)
-_INVERSE = np.ones(0, np.uint64)
-_C = [np.uint64(int(c) | 1) for c in _rng.integers(0, 2**63, 3, dtype=np.uint64)]
-_K_TERM = np.uint64(K * int(_C[0]) % 2**64)
+class Rolling:
+    """A 64-bit hash of any stretch of a text, from prefix sums; each seed is a hash of its own."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.byte = rng.integers(0, 2**64, 256, dtype=np.uint64)
+        self.base = int(rng.integers(0, 2**63)) << 1 | 1
+        self.power = self.inverse = np.ones(0, np.uint64)
 
+    def sums(self, raw: np.ndarray) -> np.ndarray:
+        """Prefix sums from which :meth:`of` takes any stretch's hash."""
+        if len(self.power) < len(raw) + 1:
+            n = 2 * len(raw) + 1024
+            one = np.ones(1, np.uint64)
+            self.power = np.concatenate([one, np.cumprod(np.full(n, self.base % 2**64, np.uint64))])
+            self.inverse = np.concatenate([one, np.cumprod(np.full(n, pow(self.base, -1, 2**64), np.uint64))])
+        out = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.byte[raw] * self.power[: len(raw)], out=out[1:])
+        return out
 
-def _sums(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums from which :func:`_hash` takes any stretch's hash."""
-    global _POWER, _INVERSE
-    if len(_POWER) < len(raw) + 1:
-        n = 2 * len(raw) + 1024
-        one = np.ones(1, np.uint64)
-        _POWER = np.concatenate([one, np.cumprod(np.full(n, _BASE % 2**64, np.uint64))])
-        _INVERSE = np.concatenate([one, np.cumprod(np.full(n, pow(_BASE, -1, 2**64), np.uint64))])
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _POWER[: len(raw)], out=out[1:])
-    return out
+    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _C[0])
 
 
-def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * _INVERSE[start] + (end - start).astype(np.uint64) * _C[0])
+_C = [np.uint64(int(c) | 1) for c in np.random.default_rng(0xD16176).integers(0, 2**63, 3, dtype=np.uint64)]
+_K_TERM = np.uint64(K * int(_C[0]) % 2**64)
+# The digit's hash and the run's hash have nothing in common.
+DIGIT, WHOLE = Rolling(0xD16175), Rolling(0x51AB05)
 
 
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -77,23 +82,22 @@ def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 def anchors(raw: np.ndarray, threshold: int) -> dict[str, np.ndarray]:
     """Of one segment: place, first and last suffix, and the two hashes of every run."""
-    sums = _sums(raw)
+    sums = DIGIT.sums(raw)
     at = np.arange(len(raw) - K + 1)
-    low = mix((sums[K:] - sums[:-K]) * _INVERSE[: len(at)] + _K_TERM)
+    low = mix((sums[K:] - sums[:-K]) * DIGIT.inverse[: len(at)] + _K_TERM)
     # The place in the low bits makes the leftmost of equal windows the least.
     packed = (low & ~np.uint64((1 << 20) - 1)) | at.astype(np.uint64)
     place = (_sliding_min(packed, threshold - K + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     last = np.append(first[1:], len(place)) - 1
     p = place[first]
-    run = _hash(sums, first, last + threshold)
+    run = WHOLE.of(WHOLE.sums(raw), first, last + threshold)
     run = mix(run ^ ((p - first).astype(np.uint64) * _C[1] + (last - first).astype(np.uint64) * _C[2]))
     return {"core": low[p], "span": run, "lo": first, "hi": last, "p": p}
 
 
 def digits(raw: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, threshold: int) -> dict[str, np.ndarray]:
     """The runs of ``width`` suffixes (by distance to the anchor) into which given runs are cut."""
-    sums = _sums(raw)
     near, far = (p - hi) // width, (p - lo) // width
     n = far - near + 1
     of = np.repeat(np.arange(len(p)), n)
@@ -101,8 +105,8 @@ def digits(raw: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, width
     p, lo, hi = p[of], lo[of], hi[of]
     closest, farthest = part * width, np.minimum(part * width + width - 1, threshold - K)
     first, last = np.maximum(lo, p - farthest), np.minimum(hi, p - closest)
-    core = mix(_hash(sums, p - closest, p - farthest + threshold) ^ (part.astype(np.uint64) * _C[1]))
-    run = _hash(sums, first, last + threshold)
+    core = mix(DIGIT.of(DIGIT.sums(raw), p - closest, p - farthest + threshold) ^ (part.astype(np.uint64) * _C[1]))
+    run = WHOLE.of(WHOLE.sums(raw), first, last + threshold)
     run = mix(run ^ ((p - first).astype(np.uint64) * _C[1] + (last - first).astype(np.uint64) * _C[2]))
     return {"core": core, "span": run, "lo": first, "hi": last, "p": p}
 
