@@ -380,3 +380,75 @@ def test_features_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     whole = quality.Features().of(text).tolist()
     monkeypatch.setattr(quality, "PIECE", 13)
     assert quality.Features().of(text).tolist() == whole
+
+
+def objective(w, bias, rows, scaled, signs, costs):
+    margins = np.array([y * (w[x] @ v + bias) for x, v, y in zip(rows, scaled, signs)])
+    return 0.5 * (w @ w + bias * bias) + float((costs * np.maximum(0, 1 - margins)).sum())
+
+
+def dual_optimum(rows, scaled, signs, costs, size, steps=20_000):
+    """The dual's least value by projected gradient steps on the whole matrix (bias: a last feature of ones)."""
+    x = np.zeros((len(rows), size + 1))
+    for i, (at, v) in enumerate(zip(rows, scaled)):
+        x[i, at] = v
+    x[:, -1] = 1.0
+    q = (signs[:, None] * x) @ (signs[:, None] * x).T
+    alpha, rate = np.zeros(len(rows)), 1.0 / np.linalg.eigvalsh(q).max()
+    for _ in range(steps):
+        alpha = np.clip(alpha - rate * (q @ alpha - 1), 0, costs)
+    return float(alpha.sum() - 0.5 * alpha @ q @ alpha)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dual_descent_reaches_the_optimum(monkeypatch, seed):
+    """Primal value of the descent's weights against the dual's optimum: no gap after many epochs, a small one as used."""
+    rng = np.random.default_rng(seed)
+    size, n = 40, 60
+    rows = [np.sort(rng.choice(size, rng.integers(1, 9), replace=False)) for _ in range(n)]
+    scaled = [v / np.linalg.norm(v) for v in (rng.normal(size=len(x)) for x in rows)]
+    signs = np.where(rng.random(n) < 0.4, 1.0, -1.0)
+    costs = np.where(signs > 0, 1.3, 0.6)
+    best = dual_optimum(rows, scaled, signs, costs, size)
+    used = objective(*quality.descend(rows, scaled, signs, costs, size), rows, scaled, signs, costs)
+    monkeypatch.setattr(quality, "EPOCHS", 400)
+    many = objective(*quality.descend(rows, scaled, signs, costs, size), rows, scaled, signs, costs)
+    assert best - 1e-6 <= many <= best * 1.0005 + 1e-6
+    assert many - 1e-9 <= used <= best * 1.10
+
+
+def test_class_ratios_equal_brute_force(monkeypatch):
+    """Log-count ratios of the rows fitted, counted one by one; the weights are the descent's, scaled by them."""
+    rng = np.random.default_rng(2)
+    size = 1 << quality.BITS
+    labels = rng.integers(0, 2, 50)
+    rows = [np.unique(rng.integers(0, 300, 12) + 100 * y) for y in labels]
+    seen = {}
+
+    def kept(r, scaled, signs, costs, n):
+        seen.update(rows=r, scaled=scaled, signs=signs, costs=costs)
+        seen["found"] = descend(r, scaled, signs, costs, n)
+        return seen["found"]
+
+    descend = quality.descend
+    monkeypatch.setattr(quality, "descend", kept)
+    model = quality.train(rows, labels, int(labels.sum()), int((1 - labels).sum()))
+    fitted = [i for i in range(50) if i % quality.KEPT]
+    counts = {0: np.ones(size), 1: np.ones(size)}
+    for i in fitted:
+        for feature in rows[i].tolist():
+            counts[int(labels[i])][feature] += 1
+    ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+    assert [r.tolist() for r in seen["rows"]] == [rows[i].tolist() for i in fitted]
+    for i, v in zip(fitted, seen["scaled"]):
+        want = ratio[rows[i]]
+        assert np.allclose(v, want / np.sqrt((want * want).sum()))
+    assert seen["signs"].tolist() == [1.0 if labels[i] else -1.0 for i in fitted]
+    # Both classes weigh the same in all.
+    assert np.isclose(seen["costs"][seen["signs"] > 0].sum(), seen["costs"][seen["signs"] < 0].sum())
+    w, bias = seen["found"]
+    assert np.allclose(model.weights, (w * ratio).astype(np.float32)) and np.allclose(model.squares, (ratio * ratio).astype(np.float32))
+    assert model.bias == bias
+    # A text's margin is that of its scaled indicators.
+    x = rows[0]
+    assert np.isclose(model.margin(x), w[x] @ (ratio[x] / np.linalg.norm(ratio[x])) + bias, atol=1e-5)
