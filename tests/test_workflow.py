@@ -1,6 +1,7 @@
 """The staged workflow end to end, and planted bugs in the cleaning rules."""
 
 import json
+import os
 import tempfile
 
 import pytest
@@ -140,3 +141,24 @@ def test_each_removal_rule_is_needed(spark, skip):
     good = sorted(r.invoice for r in CL.clean(raw).collect())
     bad = sorted(r.invoice for r in _mutant(skip)(raw).collect())
     assert good == ["4"] and bad != good
+
+
+def test_shipped_package_is_imported_by_workers(tmp_path):
+    """A session of its own, started where the package can't be found: tasks import it from the zip."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from tillroll.session import ship_package
+from tillroll.sources.csv import _first_line
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+ship_package(spark)
+print("rows", spark.range(5).selectExpr("cast(id as string) file").mapInArrow(_first_line, "file string").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 1" in out.stdout, out.stderr[-2000:]

@@ -10,6 +10,7 @@ scratch folder.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -73,6 +74,19 @@ def build_session(
     return spark
 
 
+def ship_package(spark: SparkSession) -> str:
+    """Hand this package to the session's executors, as ``spark-submit --py-files`` does; returns the zip's name.
+
+    Tasks that run Python import the package by name. The zip is made on the
+    driver and distributed by Spark.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tillroll-ship-")
+    package = shutil.make_archive(os.path.join(folder, "tillroll"), "zip", root, "tillroll")
+    spark.sparkContext.addPyFile(package)
+    return package
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
