@@ -9,7 +9,8 @@ is the string's least k-byte window (by hash, leftmost if equal): neighbouring
 suffixes mostly share it, so a run of them goes through the pass as one row,
 the anchor. Rows that agree in the digit and in all the bytes of their run are
 one class: every member but the earliest is repeated, and only the earliest
-goes on. A group of several classes is cut into runs of ``RUN`` suffixes,
+goes on; what a batch settles by itself is spread, not sent to its digit's task.
+A group of several classes is cut into runs of ``RUN`` suffixes,
 whose common bytes are the second digit, and those into single suffixes, whose
 whole string is the last digit. A pass is one shuffle sorted by digit, which
 is read as a stream: memory does not depend on the size of a group.
@@ -111,19 +112,42 @@ def digits(raw: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, width
     return {"core": core, "span": run, "lo": first, "hi": last, "p": p}
 
 
-_ROWS = pa.schema([("core", pa.int64()), ("span", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("p", pa.int64())])
-_ROWS_DDL = "core bigint, span bigint, doc bigint, th bigint, lo bigint, hi bigint, p bigint"
-_CLASSED = pa.schema([("goes_on", pa.bool_()), *list(_ROWS)[2:]])
+_ROWS = pa.schema([
+    ("core", pa.int64()), ("span", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("p", pa.int64()),
+    ("again", pa.bool_()),
+])
+_ROWS_DDL = "core bigint, span bigint, doc bigint, th bigint, lo bigint, hi bigint, p bigint, again boolean"
+_CLASSED = pa.schema([("goes_on", pa.bool_()), *list(_ROWS)[2:-1]])
 _CLASSED_DDL = "goes_on boolean, doc bigint, th bigint, lo bigint, hi bigint, p bigint"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _settled(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Which rows are repeated by an earlier one of the same batch, whatever other batches hold.
+
+    They need not meet their class, so of a digit that very many texts share
+    each batch sends one row for each class; the others are spread.
+    """
+    order = np.lexsort((rows["lo"], rows["doc"], rows["span"], rows["core"]))
+    core, span, doc, lo = (rows[c][order] for c in ("core", "span", "doc", "lo"))
+    new = np.ones(len(order), bool)
+    new[1:] = (core[1:] != core[:-1]) | (span[1:] != span[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    again = np.zeros(len(order), bool)
+    again[order] = ~new & ((doc != doc[head]) | (lo != lo[head]))
+    return again
+
+
 def _batch(parts: list[tuple[int, int, dict[str, np.ndarray]]]) -> pa.RecordBatch:
     sizes = [len(x["p"]) for _, _, x in parts]
     whole = {k: np.concatenate([x[k] for _, _, x in parts]) for k in ("core", "span", "lo", "hi", "p")}
     whole["doc"] = np.repeat(np.array([d for d, _, _ in parts], np.int64), sizes)
     whole["th"] = np.repeat(np.array([t for _, t, _ in parts], np.int64), sizes)
-    return pa.RecordBatch.from_arrays([pa.array(whole[f.name].astype(np.int64, copy=False)) for f in _ROWS], schema=_ROWS)
+    whole = {k: v.astype(np.int64, copy=False) for k, v in whole.items()}
+    whole["again"] = _settled(whole)
+    spread = mix(whole["doc"].view(np.uint64) * _C[1] + whole["lo"].view(np.uint64)).view(np.int64)
+    whole["core"] = np.where(whole["again"], spread, whole["core"])
+    return pa.RecordBatch.from_arrays([pa.array(whole[f.name]) for f in _ROWS], schema=_ROWS)
 
 
 def _shifted(rows: dict[str, np.ndarray], by: int) -> dict[str, np.ndarray]:
@@ -175,10 +199,15 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     core = span = doc = lo = None  # of the running class's first row
     count, waiting = 0, None  # classes of the running core (up to 2), and its first one while it is the only one
     for batch in batches:
-        n = batch.num_rows
+        rows = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
+        settled = rows["again"].astype(bool)
+        if settled.any():
+            passed = [pa.array(np.zeros(int(settled.sum()), bool)), *(pa.array(rows[f.name][settled]) for f in list(_CLASSED)[1:])]
+            yield pa.RecordBatch.from_arrays(passed, schema=_CLASSED)
+            rows = {k: v[~settled] for k, v in rows.items()}
+        n = len(rows["core"])
         if not n:
             continue
-        rows = {f.name: batch.column(i).to_numpy() for i, f in enumerate(batch.schema)}
         at = np.arange(n)
         new_core, new_class = np.ones(n, bool), np.ones(n, bool)
         new_core[1:] = rows["core"][1:] != rows["core"][:-1]
