@@ -452,20 +452,3 @@ def test_class_ratios_equal_brute_force(monkeypatch):
     # A text's margin is that of its scaled indicators.
     x = rows[0]
     assert np.isclose(model.margin(x), w[x] @ (ratio[x] / np.linalg.norm(ratio[x])) + bias, atol=1e-5)
-
-
-def test_a_common_passage_is_settled_in_its_batch():
-    """Of a passage that many texts of a batch share, one row a class goes to the digit's task; the others are spread."""
-    rng = np.random.default_rng(1)
-    passage = rng.integers(0, 256, 300, dtype=np.uint8)
-    parts = []
-    for doc in range(200):
-        raw = np.concatenate([rng.integers(0, 256, 40, dtype=np.uint8), passage, rng.integers(0, 256, 40, dtype=np.uint8)])
-        parts.append((doc, doc, repeats.anchors(raw, 100)))
-    rows = repeats._batch(parts).to_pandas()
-    left = rows[~rows.again]
-    assert rows.again.sum() > 200 * 2 and rows[rows.again].core.is_unique
-    # What goes on to its digit: no class twice.
-    assert not left.duplicated(["core", "span"]).any()
-    inside = rows[(rows.lo >= 40) & (rows.hi + 100 <= 340)]
-    assert inside.again.mean() > 0.9
